@@ -10,8 +10,31 @@ DASH = "—"
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """Fixed-point text. Formatting starts from the exact decimal expansion of the double."""
-    return F.format_string(f"%.{digits}f", x)
+    """Fixed-point text, rounding the exact value of the double half away from zero.
+
+    The scaled value is kept as product plus rounding error (error-free
+    multiplication), so 0.00035, stored slightly below the tie, shows as 0.0003
+    with four digits.
+    """
+    scale = 10**digits
+    split = float(2**27 + 1)
+    v = F.abs(x.cast("double"))
+    p = v * F.lit(float(scale))
+    hi = v * F.lit(split) - (v * F.lit(split) - v)
+    lo = v - hi
+    s_hi = scale * split - (scale * split - scale)
+    s_lo = scale - s_hi
+    err = ((hi * F.lit(s_hi) - p) + hi * F.lit(s_lo) + lo * F.lit(s_hi)) + lo * F.lit(s_lo)
+    n = F.floor(p)
+    over = ((p - (n + F.lit(0.5))) + err) >= 0
+    n = F.when(over, n + 1).otherwise(n)
+    sign = F.when((x < 0) & (n > 0), "-").otherwise("")
+    if digits == 0:
+        text = F.concat(sign, n.cast("string"))
+    else:
+        cents = n % scale
+        text = F.concat(sign, ((n - cents) / scale).cast("long").cast("string"), F.lit("."), F.lpad(cents.cast("string"), digits, "0"))
+    return F.when(p < float(2**52), text).otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
 
 
 def format_money(micros: Column, currency: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formats import format_money
 from ..functions.numbers import finish_money, known_money, merge_money, money_parts
+from ..functions.sizing import cut
 from .tree import fold_ancestors, sum_descendants
 
 PARTS = ["parts", "known", "amount", "min_cur", "max_cur", "no_cur"]
@@ -45,6 +46,7 @@ def attribution(runs: DataFrame, calls: DataFrame, allocations: DataFrame) -> Da
     state = [f"{k}_{n}" for k in KINDS for n in PARTS]
     counted = ("parts", "known", "no_cur")
     base = base.withColumns({s: F.coalesce(F.col(s), F.lit(0)) for s in state if s.endswith(counted)})
+    base = cut(base)  # read three times below
     merge, add = {}, {}
     for k in KINDS:
         for n, c in merge_money(f"{k}_").items():

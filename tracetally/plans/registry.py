@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["cost", "trees"]
+AREAS = ["cost", "trees", "tables"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
