@@ -26,22 +26,19 @@ def carry_blocks(
     """
     blocks = df.groupBy(*keys, block).agg(*[c.alias(n) for n, c in summary.items()])
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(*keys, block, *[c.over(before).alias(n) for n, c in prefix.items()])
-    on = [*keys, block]
-    left = df.alias("scan_rows")
-    right = carried.alias("scan_blocks")
-    cond = None
-    for k in on:
-        eq = F.col(f"scan_rows.{k}").eqNullSafe(F.col(f"scan_blocks.{k}"))
-        cond = eq if cond is None else cond & eq
-    return left.join(right, cond, "inner").select("scan_rows.*", *[F.col(f"scan_blocks.{n}") for n in prefix])
+    on = {k: f"_scan_{k}" for k in [*keys, block]}
+    carried = blocks.select(*[F.col(k).alias(v) for k, v in on.items()], *[c.over(before).alias(n) for n, c in prefix.items()])
+    cond = F.lit(True)
+    for k, v in on.items():
+        cond = cond & F.col(k).eqNullSafe(F.col(v))
+    return df.join(carried, cond).drop(*on.values())
 
 
 def numbered(df: DataFrame, keys: list[str], block: str, order: list, name: str = "idx") -> DataFrame:
     """0-based row number per key, computed block by block."""
-    out = carry_blocks(df, keys, block, {"_n": F.count(F.lit(1))}, {"_before": F.sum("_n")})
+    out = carry_blocks(df, keys, block, {"_n": F.count(F.lit(1))}, {"_scan_carry": F.sum("_n")})
     w = Window.partitionBy(*keys, block).orderBy(*order)
-    return out.withColumn(name, F.coalesce("_before", F.lit(0)) + F.row_number().over(w) - 1).drop("_before")
+    return out.withColumn(name, F.coalesce("_scan_carry", F.lit(0)) + F.row_number().over(w) - 1).drop("_scan_carry")
 
 
 def lagged(df: DataFrame, keys: list[str], block: str, order: list, cols: list[str]) -> DataFrame:
@@ -66,13 +63,13 @@ def lagged(df: DataFrame, keys: list[str], block: str, order: list, cols: list[s
 
 def running_sum(df: DataFrame, keys: list[str], block: str, order: list, value: str, name: str) -> DataFrame:
     """Inclusive running sum per key."""
-    out = carry_blocks(df, keys, block, {"_s": F.sum(value)}, {"_before": F.sum("_s")})
+    out = carry_blocks(df, keys, block, {"_s": F.sum(value)}, {"_scan_carry": F.sum("_s")})
     w = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn(name, F.coalesce("_before", F.lit(0)) + F.sum(value).over(w)).drop("_before")
+    return out.withColumn(name, F.coalesce("_scan_carry", F.lit(0)) + F.sum(value).over(w)).drop("_scan_carry")
 
 
 def running_max_before(df: DataFrame, keys: list[str], block: str, order: list, value: str, name: str) -> DataFrame:
     """Maximum over all earlier rows of the key (NULL for the first)."""
-    out = carry_blocks(df, keys, block, {"_m": F.max(value)}, {"_before": F.max("_m")})
+    out = carry_blocks(df, keys, block, {"_m": F.max(value)}, {"_scan_carry": F.max("_m")})
     w = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return out.withColumn(name, F.greatest(F.max(value).over(w), F.col("_before"))).drop("_before")
+    return out.withColumn(name, F.greatest(F.max(value).over(w), F.col("_scan_carry"))).drop("_scan_carry")
