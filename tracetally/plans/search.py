@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.sizing import cut
 from ..functions.vectors import cosine, l2_norm
 from ..operators import evaluate as V
 from ..operators import index as X
@@ -47,7 +48,8 @@ def asking(s, d):
 
 
 def lexical(s, d):
-    return X.build_lexical(items(s, d))
+    """The lexical index is a stored table that searches read several times."""
+    return cut(X.build_lexical(items(s, d)))
 
 
 def validate_queries(s, d):
@@ -246,8 +248,8 @@ fin AS (SELECT * FROM res WHERE rank <= lim)"""
 RELEVANT = f""",
 bq AS (SELECT 'q'||item_id AS query_id, ' '||array_to_string(regexp_extract_all({FOLD.format('text')}, '{W}'), ' ')||' ' AS p FROM benchmark),
 rel AS (SELECT query_id, id FROM bq JOIN lex ON contains(' '||array_to_string(toks, ' ')||' ', p)),
-ev AS (SELECT q.query_id, q.mode, CASE WHEN error_code IS NULL THEN q.am END AS actual_mode, error_code, r.relevant, min(f.rank) AS first_relevant_rank,
-   count(CASE WHEN f.rank <= 3 THEN 1 END) / r.relevant AS recall3, count(CASE WHEN f.rank <= 5 THEN 1 END) / r.relevant AS recall5
+ev AS (SELECT q.query_id, q.mode, CASE WHEN error_code IS NULL THEN q.am END AS actual_mode, error_code, min(f.rank) AS first_relevant_rank,
+   count(CASE WHEN f.rank <= 3 THEN 1 END) / any_value(r.relevant) AS recall3, count(CASE WHEN f.rank <= 5 THEN 1 END) / any_value(r.relevant) AS recall5
   FROM pl q JOIN (SELECT query_id, count(*) AS relevant FROM rel GROUP BY 1) r USING (query_id) LEFT JOIN (SELECT fin.* FROM fin SEMI JOIN rel ON rel.query_id = fin.query_id AND rel.id = fin.id) f USING (query_id)
   WHERE q.code IS NULL GROUP BY ALL)"""
 RI, RV = ["query_forms", "retrieval_items"], ["query_forms", "retrieval_items", "retrieval_vectors"]
