@@ -231,9 +231,12 @@ def interrupt(calls: DataFrame, attempts: DataFrame, runs: DataFrame, turns: Dat
 def request_ids(df: DataFrame, headers: str = "headers") -> DataFrame:
     """Provider request id from a header map, names compared without case."""
     pairs = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
-    found = [F.element_at(F.filter(pairs, lambda e, n=n: (e["k"] == n) & (e["v"] != "")), -1)["v"] for n in REQUEST_ID_HEADERS]
-    guarded = [F.when(F.exists(pairs, lambda e, n=n: (e["k"] == n) & (e["v"] != "")), f) for n, f in zip(REQUEST_ID_HEADERS, found)]
-    return df.withColumn("request_id", F.coalesce(*guarded))
+
+    def value(name: str) -> Column:
+        hits = F.filter(pairs, lambda e: (e["k"] == name) & (e["v"] != ""))
+        return F.when(F.size(hits) > 0, F.element_at(hits, -1)["v"])
+
+    return df.withColumn("request_id", F.coalesce(*[value(n) for n in REQUEST_ID_HEADERS]))
 
 
 def error_details(df: DataFrame) -> DataFrame:

