@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["cost", "trees", "tables", "retrieval", "search", "sessions", "measure"]
+AREAS = ["cost", "trees", "tables", "retrieval", "search", "sessions", "measure", "streams"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
