@@ -34,7 +34,8 @@ def fixed(x: Column, digits: int) -> Column:
     else:
         cents = n % scale
         text = F.concat(sign, ((n - cents) / scale).cast("long").cast("string"), F.lit("."), F.lpad(cents.cast("string"), digits, "0"))
-    return F.when(p < float(2**52), text).otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
+    shown = F.when(p < float(2**52), text).otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
+    return F.when(x.isNotNull(), shown)
 
 
 def format_money(micros: Column, currency: Column) -> Column:

@@ -10,7 +10,6 @@ from . import usage as U
 from .pricing import RATES, resolve_price
 
 MILLION = 1_000_000
-SMALL = 2**30  # five products of two such factors still fit a long
 
 
 def api_cost(df: DataFrame) -> DataFrame:
@@ -24,44 +23,45 @@ def api_cost(df: DataFrame) -> DataFrame:
     """
     df = U.select_usage(df)
     split = F.col(f"price.{RATES[4]}").isNotNull()
-    out_known = F.col("sel_output").isNotNull() & F.col("sel_reasoning").isNotNull()
-    regular = F.when(split, F.greatest(F.lit(0), F.col("sel_output") - F.col("sel_reasoning"))).otherwise(F.col("sel_output"))
-    counts = [F.col("sel_input"), F.col("sel_cache_read"), F.col("sel_cache_write"), regular, F.when(split, F.col("sel_reasoning"))]
-    rates = [F.col(f"price.{r}") for r in RATES]
-
-    usable = F.col("price").isNotNull() & (~split | out_known)
-    any_usage = F.lit(False)
-    for d in U.PRICED:
-        any_usage = any_usage | F.col(f"sel_{d}").isNotNull()
-    unsafe, small = F.lit(False), F.lit(True)
-    exact, quick = None, None
-    for t, r in zip(counts, rates):
-        usable = usable & F.when(t.isNull(), r.isNull()).otherwise((t == 0) | r.isNotNull())
-        used = F.coalesce((t != 0) & r.isNotNull(), F.lit(False))
-        bad = ~t.between(0, SAFE_MAX) | ~r.between(0, SAFE_MAX)
-        unsafe = unsafe | (used & F.coalesce(bad, F.lit(False)))
-        small = small & (~used | F.coalesce((t <= SMALL) & (r <= SMALL), F.lit(False)))
-        wide = F.when(used, t.cast("decimal(16,0)") * r.cast("decimal(16,0)")).otherwise(F.lit(0).cast("decimal(33,0)"))
-        tight = F.when(used & (t <= SMALL) & (r <= SMALL), t * r).otherwise(F.lit(0))
-        exact = wide if exact is None else exact + wide
-        quick = tight if quick is None else quick + tight
-    usable = usable & any_usage
-    df = df.select("*", usable.alias("_usable"), (usable & unsafe).alias("_unsafe"), small.alias("_small"))
+    sel = {d: F.col(f"sel_{d}") for d in U.PRICED}
+    regular = F.when(split, F.greatest(F.lit(0), sel["output"] - sel["reasoning"])).otherwise(sel["output"])
+    counts = [sel["input"], sel["cache_read"], sel["cache_write"], regular, F.when(split, sel["reasoning"])]
+    df = df.select("*", *[t.alias(f"t{i}") for i, t in enumerate(counts)], *[F.col(f"price.{r}").alias(f"r{i}") for i, r in enumerate(RATES)])
+    t, r = [F.col(f"t{i}") for i in range(5)], [F.col(f"r{i}") for i in range(5)]
+    usable = F.col("price").isNotNull() & ~U._all([c.isNull() for c in sel.values()])
+    usable = usable & (~split | (sel["output"].isNotNull() & sel["reasoning"].isNotNull()))
+    for ti, ri in zip(t, r):
+        usable = usable & (ti.eqNullSafe(F.lit(0)) | (ti.isNull() == ri.isNull()))
+    # counts and rates that enter the sum; everything else is 0
     df = df.select(
         "*",
-        F.when(F.col("_usable") & ~F.col("_unsafe") & F.col("_small"), quick + MILLION // 2).alias("_quick"),
-        F.when(F.col("_usable") & ~F.col("_unsafe") & ~F.col("_small"), exact + MILLION // 2).alias("_exact"),
-    )
-    over = F.col("_exact") >= F.lit(SAFE_MAX).cast("decimal(16,0)") * MILLION
-    amount = F.when(F.col("_quick").isNotNull(), F.expr(f"_quick div {MILLION}")).when(~over, F.expr(f"_exact div {MILLION}"))
-    reject = F.when(F.col("_unsafe"), "unsafe_integer").when(over, "cost_overflow")
+        usable.alias("usable"),
+        *[F.coalesce(ti, F.lit(0)).alias(f"n{i}") for i, ti in enumerate(t)],
+        *[F.when(ti != 0, ri).otherwise(0).alias(f"m{i}") for i, (ti, ri) in enumerate(zip(t, r))],
+    )
+    n, m = [F.col(f"n{i}") for i in range(5)], [F.coalesce(F.col(f"m{i}"), F.lit(0)) for i in range(5)]
+    quick = F.lit(MILLION // 2).cast("long")  # NULL when a long overflows
+    for ni, mi in zip(n, m):
+        quick = F.try_add(quick, F.try_multiply(ni, mi))
+    unsafe = (F.least(*n, *m) < 0) | (F.greatest(*n, *m) > SAFE_MAX)
+    df = df.select("*", F.when(F.col("usable"), unsafe).alias("unsafe"), quick.alias("quick"))
+    safe = F.col("usable") & ~F.col("unsafe")
+    exact = F.lit(MILLION // 2).cast("decimal(16,0)")
+    for ni, mi in zip(n, m):
+        exact = exact + ni.cast("decimal(16,0)") * mi.cast("decimal(16,0)")
+    df = df.withColumn("exact", F.when(safe & F.col("quick").isNull(), exact))
+    amount = F.when(safe & F.col("quick").isNotNull(), F.expr(f"quick div {MILLION}")).when(
+        safe & (F.col("exact") < F.lit(SAFE_MAX).cast("decimal(16,0)") * MILLION), F.expr(f"exact div {MILLION}")
+    )
+    df = df.withColumn("configured_micros", amount)
+    priced = F.col("configured_micros").isNotNull()
+    reject = F.when(F.col("unsafe"), "unsafe_integer").when(safe & ~priced, "cost_overflow")
     return df.select(
         "*",
-        amount.alias("configured_micros"),
-        F.when(amount.isNotNull(), F.col("price.currency")).alias("configured_currency"),
-        F.when(amount.isNotNull(), F.col("price.pricing_snapshot_id")).alias("configured_price_id"),
+        F.when(priced, F.col("price.currency")).alias("configured_currency"),
+        F.when(priced, F.col("price.pricing_snapshot_id")).alias("configured_price_id"),
         reject.alias("cost_reject"),
-    ).drop("_usable", "_unsafe", "_small", "_quick", "_exact")
+    ).drop("usable", "unsafe", "quick", "exact", *[f"{x}{i}" for x in "trnm" for i in range(5)])
 
 
 def with_fallback(df: DataFrame, registry_usd: str = "registry_cost_usd") -> DataFrame:
@@ -90,8 +90,7 @@ def attempt_cost(attempts: DataFrame, pricing: DataFrame) -> DataFrame:
 
 def finalize_calls(calls: DataFrame, attempts: DataFrame) -> DataFrame:
     """Usage, cost and timing of every call in one aggregation over its costed attempts."""
-    attempts = U.with_token_columns(attempts)
-    output = F.coalesce("reported_output_tokens", "estimated_output_tokens")
+    output = F.coalesce(*[F.col(c) for c in ("reported_output_tokens", "estimated_output_tokens") if c in attempts.columns])
     timing = F.struct(
         "first_token_at",
         "last_token_at",
@@ -103,7 +102,7 @@ def finalize_calls(calls: DataFrame, attempts: DataFrame) -> DataFrame:
     api, api_cur = strict_money(F.col("api_equivalent_cost_micros"), F.col("api_equivalent_currency"))
     metered, metered_cur = strict_money(F.col("metered_cost_micros"), F.col("metered_currency"))
     pid = F.col("pricing_snapshot_id")
-    usage = U.usage_aggregates()
+    usage = U.usage_aggregates(attempts.columns)
     per_call = attempts.groupBy("call_id").agg(
         *[c.alias(n) for n, c in usage.items()],
         F.max_by(timing, F.when(F.col("status") == "completed", number)).alias("good"),

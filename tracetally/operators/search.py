@@ -18,7 +18,7 @@ from ..functions import rules as R
 from ..functions.sizing import chunks_for
 from ..functions.text import phrases
 
-QUERY_CHUNK = 20_000  # lexical queries per scan: at most 64 phrases each are broadcast
+QUERY_CHUNK = 4_000  # lexical queries per scan: their text (<= 8 KB), grants and filter (<= 60 KB) are broadcast
 VECTOR_CHUNK = 500  # query vectors per scan held by each task (64 MB at 16,384 dimensions)
 MAX_CANDIDATES = 500
 K1, B = 1.2, 0.75  # BM25 constants
@@ -168,7 +168,7 @@ def search_lexical(q: DataFrame, items: DataFrame, lexical: DataFrame, method: s
 
 def _lexical_chunk(q: DataFrame, items: DataFrame, lexical: DataFrame, method: str) -> DataFrame:
     per_query, ph = distinct_phrases(q)
-    asks = per_query.join(q.select("query_id", "grants", "filter", "candidate_limit"), "query_id")
+    callers = q.select("query_id", "grants", "filter", "candidate_limit")
     tf = phrase_tf(lexical, ph)
     dfs = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     stats = lexical.agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("len"))
@@ -179,7 +179,8 @@ def _lexical_chunk(q: DataFrame, items: DataFrame, lexical: DataFrame, method: s
     matched = (
         weighted.select("id", "phrase", "w")
         .join(ready, "id")
-        .join(F.broadcast(asks), "phrase")
+        .join(F.broadcast(per_query), "phrase")
+        .join(F.broadcast(callers), "query_id")
         .filter(R.granted(F.col("grants")) & R.matches(F.col("filter")))
     )
     scored = matched.groupBy("id", "query_id", "revision", "candidate_limit").agg((F.sum(F.col("w") * F.col("times")) / SCALE).alias("score"))

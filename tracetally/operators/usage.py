@@ -29,39 +29,40 @@ def selected(dim: str) -> Column:
 PRICED = ["input", "cache_read", "cache_write", "output", "reasoning"]
 
 
-def provenance(source: Column) -> Column:
-    """Where the priced token counts come from."""
-    known = [selected(d).isNotNull() for d in PRICED]
-    from_report = [picked("reported", d).isNotNull() for d in PRICED]
-    any_known = F.lit(False)
-    all_reported = F.lit(True)
-    none_reported = F.lit(True)
-    for k, r in zip(known, from_report):
-        any_known = any_known | k
-        all_reported = all_reported & (~k | r)
-        none_reported = none_reported & ~r
-    trusted = source.isin("provider_reported", "unknown")
-    return (
-        F.when(~any_known, "unknown")
-        .when(all_reported, F.when(trusted, "provider_reported").otherwise("mixed"))
-        .when(none_reported, "locally_estimated")
-        .otherwise("mixed")
-    )
+def _all(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
 
 
 def select_usage(df: DataFrame, source: str = "usage_source") -> DataFrame:
-    """One value per priced dimension as sel_<dimension>, plus cost_provenance."""
+    """One value per priced dimension as sel_<dimension>, plus cost_provenance.
+
+    Each reported value is picked once in a projection of its own, which keeps
+    the generated code of the later steps small enough to be compiled.
+    """
     df = with_token_columns(df)
-    return df.select(
-        "*", *[selected(d).alias(f"sel_{d}") for d in PRICED], provenance(F.col(source)).alias("cost_provenance")
+    df = df.select("*", *[picked("reported", d).alias(f"rep_{d}") for d in PRICED])
+    df = df.select("*", *[F.coalesce(F.col(f"rep_{d}"), picked("estimated", d)).alias(f"sel_{d}") for d in PRICED])
+    sel_null = [F.col(f"sel_{d}").isNull() for d in PRICED]
+    rep_null = [F.col(f"rep_{d}").isNull() for d in PRICED]
+    trusted = F.col(source).isin("provider_reported", "unknown")
+    where = (
+        F.when(_all(sel_null), "unknown")
+        .when(_all([a == b for a, b in zip(sel_null, rep_null)]), F.when(trusted, "provider_reported").otherwise("mixed"))
+        .when(_all(rep_null), "locally_estimated")
+        .otherwise("mixed")
     )
+    return df.withColumn("cost_provenance", where).drop(*[f"rep_{d}" for d in PRICED])
 
 
-def usage_aggregates(present: str = "has_usage", source: str = "usage_source") -> dict[str, Column]:
+def usage_aggregates(columns: list[str], present: str = "has_usage", source: str = "usage_source") -> dict[str, Column]:
     """Per-call usage as aggregate expressions over its attempts.
 
     A token column is NULL as soon as one attempt lacks it or has no usage row;
-    the source is the single common one, otherwise 'mixed'.
+    the source is the single common one, otherwise 'mixed'. Token columns the
+    table does not carry (``columns`` lists what it has) stay NULL without work.
     """
     here = F.col(present)
     src = F.when(here, F.col(source))
@@ -72,6 +73,9 @@ def usage_aggregates(present: str = "has_usage", source: str = "usage_source") -
         "attempt_count": F.count(F.lit(1)),
     }
     for c in TOKEN_COLUMNS:
+        if c not in columns:
+            out[c] = F.lit(None).cast("long")
+            continue
         value = F.when(here, F.col(c))
         out[c] = F.when(F.count(value) == F.count(F.lit(1)), F.sum(value))
     return out
@@ -79,6 +83,6 @@ def usage_aggregates(present: str = "has_usage", source: str = "usage_source") -
 
 def call_usage(attempts: DataFrame) -> DataFrame:
     """Usage per call; calls whose attempts all lack usage have no row."""
-    aggs = usage_aggregates()
-    out = with_token_columns(attempts).groupBy("call_id").agg(*[c.alias(n) for n, c in aggs.items()])
+    aggs = usage_aggregates(attempts.columns)
+    out = attempts.groupBy("call_id").agg(*[c.alias(n) for n, c in aggs.items()])
     return out.filter("any_usage").drop("any_usage")

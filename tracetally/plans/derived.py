@@ -113,7 +113,7 @@ SELECT 'g'||conv_id||'-'||turn AS id, 'k'||conv_id AS conversation_id, 'm'||conv
   CASE WHEN (conv_id + turn) % 10 = 1 THEN 'socket closed' END AS error, CASE WHEN (conv_id + turn) % 5 >= 3 THEN CAST(conv_id AS BIGINT) END AS completed_at
   FROM conversations WHERE role = 'assistant'""",
     "token_events": """
-SELECT 'e'||user_id||'-'||CAST(floor(event_id / 2000) AS BIGINT) AS attempt_id, 'e'||user_id AS session_id, @MS(ts) AS at_ms, event_id AS seq,
+SELECT 'e'||user_id AS attempt_id, 'e'||user_id AS session_id, @MS(ts) AS at_ms, event_id AS seq,
   CASE event_type WHEN 'signup' THEN 'started' WHEN 'view' THEN 'response' WHEN 'click' THEN 'token' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS event,
   CASE WHEN event_type = 'view' THEN CAST(200 + user_id % 5 AS BIGINT) END AS http_status,
   CASE WHEN event_type = 'click' THEN props END AS delta, ts FROM events""",

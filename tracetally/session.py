@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM does not compile methods above this size; larger stages then run as separate compiled projections
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

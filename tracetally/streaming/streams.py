@@ -99,17 +99,15 @@ def attempt_fold(events: DataFrame) -> DataFrame:
             state.remove()
             return
         # one attempt's events of one micro-batch: bounded by a single model response
-        rows = pd.concat(list(frames)).sort_values(["at_ms", "seq"])
+        rows = sorted(r for f in frames for r in zip(f["at_ms"].tolist(), f["seq"].tolist(), f["event"].tolist(), f["http_status"].tolist()))
         s = list(state.get) if state.exists else [None] * 7
-        for e, at, http in zip(rows["event"], rows["at_ms"], rows["http_status"]):
-            s = _attempt_step(s, e, int(at), None if pd.isna(http) else int(http))
+        for at, _, e, http in rows:
+            s = _attempt_step(s, e, at, None if pd.isna(http) else int(http))
         state.update(tuple(s))
-        state.setTimeoutTimestamp(max(int(rows["at_ms"].max()), state.getCurrentWatermarkMs()) + RETENTION_MS)
+        state.setTimeoutTimestamp(max(rows[-1][0], state.getCurrentWatermarkMs()) + RETENTION_MS)
         stage = None if s[0] not in TERMINAL or s[0] == "completed" else ("stream" if s[4] is not None else "request")
-        out = pd.DataFrame([(key[0], *s, stage)], columns=[c.split()[0] for c in ATTEMPT_OUT.split(", ")])
-        for c in ("started_at", "response_received_at", "http_status", "first_token_at", "last_token_at", "completed_at"):
-            out[c] = out[c].astype("Int64")
-        yield out
+        row = dict(zip((c.split()[0] for c in ATTEMPT_OUT.split(", ")), (key[0], *s, stage)))
+        yield pd.DataFrame({c: pd.array([v], dtype="string" if c in ("attempt_id", "status", "failure_stage") else "Int64") for c, v in row.items()})
 
     return events.groupBy("attempt_id").applyInPandasWithState(fold, ATTEMPT_OUT, ATTEMPT_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
