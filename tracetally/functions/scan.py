@@ -65,7 +65,7 @@ def running_sum(df: DataFrame, keys: list[str], block: str, order: list, value:
     """Inclusive running sum per key."""
     out = carry_blocks(df, keys, block, {"_s": F.sum(value)}, {"_scan_carry": F.sum("_s")})
     w = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn(name, F.coalesce("_scan_carry", F.lit(0)) + F.sum(value).over(w)).drop("_scan_carry")
+    return out.withColumn(name, F.coalesce("_scan_carry", F.lit(0)) + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("_scan_carry")
 
 
 def running_max_before(df: DataFrame, keys: list[str], block: str, order: list, value: str, name: str) -> DataFrame:

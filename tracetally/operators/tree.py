@@ -38,45 +38,45 @@ def fold_ancestors(
     """
     names = list(state)
     base = nodes.select(
-        F.col(node).alias("v"),
-        F.col(parent).alias("p"),
+        F.col(node).alias("_node"),
+        F.col(parent).alias("_up"),
         *[c.alias(n) for n, c in state.items()],
     )
-    known = base.select(F.col("v").alias("pv"))
-    cur = base.join(known, F.col("p") == F.col("pv"), "left").select(
-        "v",
-        F.col("pv").alias("jump"),
-        (F.col("p").isNotNull() & F.col("pv").isNull()).alias("missing"),
+    known = base.select(F.col("_node").alias("_known"))
+    cur = base.join(known, F.col("_up") == F.col("_known"), "left").select(
+        "_node",
+        F.col("_known").alias("_jump"),
+        (F.col("_up").isNotNull() & F.col("_known").isNull()).alias("missing"),
         F.lit(0).cast("long").alias("depth"),
-        F.col("v").alias("root"),
+        F.col("_node").alias("root"),
         *names,
     )
     cur = cut(cur)
     total = cur.count()
     done: DataFrame | None = None
     for i in range(_rounds(total)):
-        active = cur.filter(F.col("jump").isNotNull())
+        active = cur.filter(F.col("_jump").isNotNull())
         if active.isEmpty():
             break
         upper = cur.select(
-            F.col("v").alias("u"),
-            F.col("jump").alias("u_jump"),
+            F.col("_node").alias("_u"),
+            F.col("_jump").alias("_u_jump"),
             F.col("missing").alias("u_missing"),
             F.col("root").alias("u_root"),
             F.col("depth").alias("u_depth"),
-            *[F.col(n).alias(f"u_{n}") for n in names],
+            *[F.col(n).alias(f"_u_{n}") for n in names],
         )
-        stepped = active.join(upper, F.col("jump") == F.col("u")).select(
-            "v",
-            F.col("u_jump").alias("jump"),
+        stepped = active.join(upper, F.col("_jump") == F.col("_u")).select(
+            "_node",
+            F.col("_u_jump").alias("_jump"),
             (F.col("missing") | F.col("u_missing")).alias("missing"),
-            (F.when(F.col("u_jump").isNull(), F.lit(2**i) + F.col("u_depth")).otherwise(F.lit(2 ** (i + 1)))).alias("depth"),
+            (F.when(F.col("_u_jump").isNull(), F.lit(2**i) + F.col("u_depth")).otherwise(F.lit(2 ** (i + 1)))).alias("depth"),
             F.col("u_root").alias("root"),
-            *[combine[n](F.col(f"u_{n}"), F.col(n)).alias(n) for n in names],
+            *[combine[n](F.col(f"_u_{n}"), F.col(n)).alias(n) for n in names],
         )
-        cur = cut(stepped.unionByName(cur.filter(F.col("jump").isNull())))
+        cur = cut(stepped.unionByName(cur.filter(F.col("_jump").isNull())))
     return cur.select(
-        F.col("v").alias(node), *names, "root", "depth", "missing", F.col("jump").isNotNull().alias("cyclic")
+        F.col("_node").alias(node), *names, "root", "depth", "missing", F.col("_jump").isNotNull().alias("cyclic")
     )
 
 
@@ -89,23 +89,23 @@ def sum_descendants(
     adds two states, either of which may be NULL. Nodes caught in a cycle have no
     subtree; they come back with ``cyclic`` set.
     """
-    known = nodes.select(F.col(node).alias("pv"))
-    cur = nodes.join(known, F.col(parent) == F.col("pv"), "left").select(
-        F.col(node).alias("v"), F.col("pv").alias("jump"), *state
+    known = nodes.select(F.col(node).alias("_known"))
+    cur = nodes.join(known, F.col(parent) == F.col("_known"), "left").select(
+        F.col(node).alias("_node"), F.col("_known").alias("_jump"), *state
     )
     cur = cut(cur)
     for _ in range(_rounds(cur.count())):
-        active = cur.filter(F.col("jump").isNotNull())
+        active = cur.filter(F.col("_jump").isNotNull())
         if active.isEmpty():
             break
-        below = active.groupBy("jump").agg(*[merge[n].alias(f"b_{n}") for n in state]).withColumnRenamed("jump", "bv")
-        hops = cur.select(F.col("v").alias("hv"), F.col("jump").alias("h_jump"))
-        moved = active.select("v", "jump").join(hops, F.col("jump") == F.col("hv")).select(
-            F.col("v").alias("mv"), F.col("h_jump")
+        below = active.groupBy("_jump").agg(*[merge[n].alias(f"_b_{n}") for n in state]).withColumnRenamed("_jump", "_below")
+        hops = cur.select(F.col("_node").alias("_hop"), F.col("_jump").alias("_hop_jump"))
+        moved = active.select("_node", "_jump").join(hops, F.col("_jump") == F.col("_hop")).select(
+            F.col("_node").alias("_moved"), F.col("_hop_jump")
         )
         cur = cut(
-            cur.join(below, F.col("v") == F.col("bv"), "left")
-            .join(moved, F.col("v") == F.col("mv"), "left")
-            .select("v", F.col("h_jump").alias("jump"), *[add[n](F.col(n), F.col(f"b_{n}")).alias(n) for n in state])
+            cur.join(below, F.col("_node") == F.col("_below"), "left")
+            .join(moved, F.col("_node") == F.col("_moved"), "left")
+            .select("_node", F.col("_hop_jump").alias("_jump"), *[add[n](F.col(n), F.col(f"_b_{n}")).alias(n) for n in state])
         )
-    return cur.select(F.col("v").alias(node), *state, F.col("jump").isNotNull().alias("cyclic"))
+    return cur.select(F.col("_node").alias(node), *state, F.col("_jump").isNotNull().alias("cyclic"))
