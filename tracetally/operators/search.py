@@ -168,22 +168,32 @@ def search_lexical(q: DataFrame, items: DataFrame, lexical: DataFrame, method: s
 
 def _lexical_chunk(q: DataFrame, items: DataFrame, lexical: DataFrame, method: str) -> DataFrame:
     per_query, ph = distinct_phrases(q)
-    callers = q.select("query_id", "grants", "filter", "candidate_limit")
+    callers = q.select("query_id", "filter", "candidate_limit")
+    grants = q.select("query_id", F.explode(F.array_distinct("grants")).alias("g")).select(
+        "query_id", F.col("g.kind").alias("scope_kind"), F.col("g.key").alias("scope_key")
+    )
     tf = phrase_tf(lexical, ph)
     dfs = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     stats = lexical.agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("len"))
     total = stats.select(F.col("n").cast("double")).scalar()
     mean_len = stats.select(F.col("len") / F.col("n")).scalar()
     ready = reachable(items.filter(F.col("lexical_state") == "ready"), q)
-    weighted = tf.join(F.broadcast(dfs), "phrase").withColumn("w", F.round(_weight(method, total, mean_len) * SCALE).cast("long"))
-    matched = (
-        weighted.select("id", "phrase", "w")
-        .join(ready, "id")
+    weighted = tf.join(F.broadcast(dfs), "phrase").select("id", "phrase", F.round(_weight(method, total, mean_len) * SCALE).cast("long").alias("w"))
+    # rows already sit together by document, so summing first needs no exchange and
+    # leaves one access test per document and query
+    pairs = (
+        weighted.join(ready.select("id"), "id", "left_semi")
         .join(F.broadcast(per_query), "phrase")
+        .groupBy("id", "query_id")
+        .agg((F.sum(F.col("w") * F.col("times")) / SCALE).alias("score"))
+    )
+    scored = (
+        pairs.join(ready, "id")
+        .join(F.broadcast(grants), ["query_id", "scope_kind", "scope_key"])
         .join(F.broadcast(callers), "query_id")
-        .filter(R.granted(F.col("grants")) & R.matches(F.col("filter")))
+        .filter(R.matches(F.col("filter")))
+        .select("query_id", "id", "revision", "score", "candidate_limit")
     )
-    scored = matched.groupBy("id", "query_id", "revision", "candidate_limit").agg((F.sum(F.col("w") * F.col("times")) / SCALE).alias("score"))
     return _top(scored, MAX_CANDIDATES).withColumn("score_kind", F.lit(SCORE_KIND[method]))
 
 
