@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import per_row, stored, texts
@@ -146,16 +146,38 @@ def near_links(prints: DataFrame, bits: int = 3, blocks: int = BLOCKS, bucket: i
     return pairs.union(ordered.mapInArrow(run, "a long, b long")).distinct()
 
 
+def component_ids(marks: DataFrame, least, bits: int, blocks: int, bucket: int) -> DataFrame:
+    """(fp, least) for every fingerprint: the smallest ``least`` over its component."""
+    prints = stored(marks.groupBy("fp").agg(F.min(least).alias("own")))
+    linked = stored(components(near_links(prints.select("fp"), bits, blocks, bucket)))
+    nodes = prints.join(linked.withColumnRenamed("node", "fp"), "fp")
+    groups = nodes.groupBy("component").agg(F.min("own").alias("least"))
+    moved = nodes.join(groups, "component").select("fp", "least")
+    return prints.join(moved, "fp", "left").select("fp", F.coalesce("least", "own").alias("least"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp (signed 64 bits) and component_id of every row."""
     marks = stored(fingerprints(texts(docs, id_col, text_col), words))
-    prints = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = stored(components(near_links(prints.select("fp"), bits, blocks, bucket)))
-    nodes = prints.join(linked.withColumnRenamed("node", "fp"), "fp")
-    least = nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    moved = nodes.join(least, "component").select("fp", "component_id")
-    ids = prints.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marks.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = component_ids(marks, F.col("doc_id"), bits, blocks, bucket)
+    return marks.join(ids, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
+    """One row, with all columns, of every component: the one with the smallest id (null ids last), then fingerprint, then text."""
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    marks = stored(fingerprints(texts(docs, id_col, text_col), words))
+    first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "fp")
+    stays = component_ids(marks, first, bits, blocks, bucket).select("least.doc_id", "least.fp").distinct().toDF("__keep_id", "__keep_fp")
+
+    def prints(column):
+        return column.map(lambda text: signed(simhash(text, words))).astype("int64")
+
+    rows = docs.withColumn("__fp", pandas_udf(prints, "long")(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = rows.join(stays, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__fp") == F.col("__keep_fp")), "left_semi")
+    one = Window.partitionBy(id_col, "__fp").orderBy(text_col)  # more than one row only where ids repeat
+    return kept.withColumn("__nth", F.row_number().over(one)).filter("__nth = 1").select(*[f"`{c}`" for c in docs.columns])
 
 
 def hex_fingerprint(col: str = "fp"):
