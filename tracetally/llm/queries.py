@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import chat, decontam, exact_dedup, line_dedup, packing, pii, quality, secret_scan, simhash, warc
 from .common import span_digest, table
 
@@ -101,6 +103,7 @@ QUERIES = {
         op6_line_dedup, op7_quality, op8_exact_dedup, op9_warc_revisits, op10_chat_formatting,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 
 SPACES = r"[\x20\x09-\x0D]"
 
