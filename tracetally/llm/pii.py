@@ -99,7 +99,7 @@ PLUS = re.compile(r"(?ai)(?<![a-z])plus\x20(?=[0-9])")
 AT = re.compile(r"(?ai)\x20*[\[({<]\x20*(?:at|@|arroba)\x20*[\])}>]\x20*")
 DOT = re.compile(r"(?ai)\x20*[\[({<]\x20*(?:dot|punto|point|punkt|\.)\x20*[\])}>]\x20*")
 # bare words only together: name at host dot end
-BARE = re.compile(r"(?ai)(?<=[a-z0-9])\x20+at\x20+(?=[a-z0-9-]+(?:(?:\x20+dot\x20+|\.)[a-z0-9-]+)*\x20+dot\x20+[a-z]{2,})")
+BARE = re.compile(r"(?ai)(?<=[a-z0-9])\x20+at\x20+(?=(?!dot\b)[a-z0-9-]+(?:(?:\x20+dot\x20+|\.)(?!dot\b)[a-z0-9-]+)*\x20+dot\x20+(?!dot\b)[a-z]{2,})")
 BARE_DOT = re.compile(r"(?ai)(?<=[a-z0-9])\x20+dot\x20+(?=[a-z0-9])")
 
 

@@ -120,7 +120,7 @@ f AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z]
   CASE WHEN asked % 26 = 6 THEN 'never' ELSE 'once' END AS modified,
   CASE WHEN record_id % 5 > 1 THEN 'max-age=' || (record_id % 100) END AS cache FROM c),
 g AS (SELECT *, regexp_replace(bare, '\?.*$', '') AS place, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
-  p -> p <> '' AND NOT regexp_matches(p, '^(?:ref|fbclid|gclid|utm_[a-z]+)(?:=|$)'))) AS query FROM f),
+  lambda p: p <> '' AND NOT regexp_matches(p, '^(?:ref|fbclid|gclid|utm_[a-z]+)(?:=|$)'))) AS query FROM f),
 u AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(place, '/.*$', '')), ':(?:80|443)$', ''), '^(?:www|m)\.', '')
   || regexp_replace(regexp_extract(place, '^[^/]*(/.*)$', 1), '/+$', '') || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS canonical_url FROM g),
 m AS (SELECT r.*, s.record_id AS sid, s.etag AS stag, s.modified AS smod, s.cache AS scache, row_number() OVER (PARTITION BY r.record_id ORDER BY s.captured DESC, s.record_id DESC) AS k
