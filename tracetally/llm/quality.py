@@ -128,8 +128,8 @@ def _chains(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return pad, live
 
 
-def _expected(emit: np.ndarray, live: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) per line and expected transitions of a padded batch, in probabilities scaled per line."""
+def _expected(emit: np.ndarray, live: np.ndarray, step: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) per line and expected transitions (chains weighted) of a padded batch, scaled per line."""
     n, longest = emit.shape
     e, m = np.exp(np.clip(emit, -30, 30)), np.exp(step)
     fore, back = np.zeros((longest, n, 2)), np.ones((longest, n, 2))
@@ -146,23 +146,23 @@ def _expected(emit: np.ndarray, live: np.ndarray, step: np.ndarray) -> tuple[np.
         b[:, 1] *= e[:, t + 1]
         pair = fore[t][:, :, None] * m[None] * b[:, None, :]
         pair /= pair.sum((1, 2), keepdims=True)
-        moves += pair[live[:, t + 1]].sum(0)
+        moves += np.einsum("n,nab->ab", np.where(live[:, t + 1], weight, 0.0), pair)
         b = b @ m.T
         back[t] = np.where(live[:, t + 1, None], b / b.sum(1, keepdims=True), 1.0)
     good = fore * back
     return (good[:, :, 1] / good.sum(2)).T, moves
 
 
-def _train(x: np.ndarray, live: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient ascent (Adam) on the log likelihood of the labels."""
+def _train(x: np.ndarray, live: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient ascent (Adam) on the log likelihood of the labels, chains weighted."""
     w, step = np.zeros(x.shape[2]), np.zeros((2, 2))
-    both = live[:, 1:] & live[:, :-1]
-    seen = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum() for j in (0, 1)] for i in (0, 1)], float)
-    count = live.sum()
+    both = (live[:, 1:] & live[:, :-1]) * weight[:, None]
+    seen = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j)) * both for j in (0, 1)] for i in (0, 1)]).sum((2, 3))
+    count = (live * weight[:, None]).sum()
     first, second = np.zeros(w.size + 4), np.zeros(w.size + 4)
     for k in range(1, rounds + 1):
-        p, moves = _expected(x @ w, live, step)
-        slope = np.concatenate([np.einsum("nt,ntf->f", np.where(live, y - p, 0.0), x), (seen - moves).ravel()]) / count
+        p, moves = _expected(x @ w, live, step, weight)
+        slope = np.concatenate([np.einsum("nt,ntf->f", np.where(live, y - p, 0.0) * weight[:, None], x), (seen - moves).ravel()]) / count
         slope -= decay * np.concatenate([w, step.ravel()])
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         move = rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
@@ -188,9 +188,11 @@ def fit_lines(sample: list[tuple[np.ndarray, np.ndarray, int]], train_lines: int
     parts = [(x[i : i + 50], y) for x, _, y in sample for i in range(0, min(len(x), train_lines), 50)]
     x, live = _chains([p for p, _ in parts])
     label = np.repeat(np.array([y for _, y in parts])[:, None], x.shape[1], 1)
-    w, step = _train(x, live, label)
+    lines = live.sum(1)  # both labels weigh alike, however many lines carry them
+    weight = np.where(label[:, 0] == 1, 1 / max(1, lines[label[:, 0] == 1].sum()), 1 / max(1, lines[label[:, 0] == 0].sum())) * lines.sum() / 2
+    w, step = _train(x, live, label, weight)
     alone = x @ w > 0  # bad documents hold good lines, not the other way round
-    w, step = _train(x, live, np.where(live & alone, 1, label))
+    w, step = _train(x, live, np.where(live & alone, 1, label), weight)
     field = Field(w, step, 1.0, 0.0)
     field.slope, field.offset = _curve(np.array([field.share(f, n) for f, n, _ in sample]), np.array([y for *_, y in sample]))
     return field
