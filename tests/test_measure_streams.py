@@ -118,7 +118,7 @@ def split_stream(spark, batches, schema):
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
     st = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(folder)
-    return st.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", "1 hour")
+    return st.withColumn("ts", F.timestamp_millis("at_ms"))
 
 
 def test_stream_over_several_batches_equals_batch(spark):
@@ -127,7 +127,7 @@ def test_stream_over_several_batches_equals_batch(spark):
         [("a", "token", 5, 5, None), ("a", "token", 4, 4, None), ("b", "failed", 6, 6, None)],
         [("a", "completed", 9, 8, None), ("a", "token", 8, 7, None), ("b", "token", 9, 9, None), ("c", "token", 1, 10, None)],
     ]
-    live = S.settle(S.attempt_fold(split_stream(spark, batches, EVENT)), ["attempt_id"])
+    live = S.attempt_fold(split_stream(spark, batches, EVENT))
     twin = S.attempt_fold_batch(spark.createDataFrame([r for b in batches for r in b], EVENT))
     cols = sorted(twin.columns)
     got = sorted(map(tuple, live.select(cols).collect()), key=str)
@@ -137,10 +137,33 @@ def test_stream_over_several_batches_equals_batch(spark):
     assert (rows["b"].failure_stage, rows["b"].first_token_at, rows["c"].status) == ("request", None, "streaming")
 
 
-def test_text_flushes(spark):
-    rows = [("g", 1000, 1, "x" * 10), ("g", 1100, 2, "y" * 10), ("g", 1900, 3, "z"), ("g", 1950, 4, "w" * 500), ("h", 1005, 5, "only")]
-    schema = "generation_id string, at_ms bigint, seq bigint, delta string"
-    out = S.settle(S.assemble_text(split_stream(spark, [rows], schema)), None, "append")
-    got = sorted((r.generation_id, r.flush_at, r.n_chars) for r in out.collect())
-    # first at once; the 500 ms timer set at 1100 fires at 1600; 1900 waits; 1950 exceeds 400 characters
-    assert got == [("g", 1000, 10), ("g", 1600, 20), ("g", 1950, 521), ("h", 1005, 4)]
+def test_late_events_are_not_lost(spark):
+    """Events of one key days apart, the newest first: the stream gives what the batch twin gives."""
+    day = 86_400_000
+    batches = [
+        [("a", "token", 9 * day, 5, None), ("b", "completed", 8 * day, 9, None)],
+        [("a", "started", 1, 1, None), ("a", "completed", 10 * day, 6, None)],
+        [("b", "token", 2, 2, None), ("a", "token", 2 * day, 3, None), ("a", "token", 11 * day, 7, None)],
+    ]
+    everything = spark.createDataFrame([r for b in batches for r in b], EVENT)
+    live = S.attempt_fold(split_stream(spark, batches, EVENT))
+    cols = sorted(live.columns)
+    assert sorted(map(str, live.select(cols).collect())) == sorted(map(str, S.attempt_fold_batch(everything).select(cols).collect()))
+    minutes = lambda df: df.withColumns({"code": F.lit("c"), "duration_ms": F.col("seq"), "ts": F.timestamp_millis("at_ms")})
+    added = S.add_up(minutes(split_stream(spark, batches, EVENT)), S.diagnostics_windows, ["minute_ms", "event", "code"])
+    assert added.agg(F.sum("events"), F.sum("duration_ms")).first()[:] == (7, 33)
+    once = S.settle(S.terminal_once(split_stream(spark, batches, EVENT)).select("attempt_id"), None, "append")
+    assert sorted(r.attempt_id for r in once.collect()) == ["a", "b"]
+
+
+def test_large_requests_are_packed_whole(spark):
+    docs = spark.createDataFrame([("r", i, 100 + i % 7) for i in range(5_000)] + [("s", 0, 600), ("s", 1, 5)], "request_id string, position long, tokens long")
+    packed, rejects = M.pack_batches(docs, 16, 2048, 512)
+    rows = sorted((r.position, r.tokens, r.pack) for r in packed.filter("request_id = 'r'").collect())
+    pack, seqs, used = 0, 0, 0
+    for position, tokens, got in rows:
+        if seqs >= 16 or used + tokens > 2048:
+            pack, seqs, used = pack + 1, 0, 0
+        seqs, used = seqs + 1, used + tokens
+        assert got == pack
+    assert len(rows) == 5_000 and [tuple(r) for r in rejects.collect()] == [("s", 0, 600, "INPUT_TOO_LONG")]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,15 +31,15 @@ def chunks_for(rows: int, per_chunk: int) -> int:
     return max(1, math.ceil(rows / per_chunk))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a local one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracetally-checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the checkpoint folder the cluster names, else one beside the warehouse's tables."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise to the checkpoint folder, so iterations restart from durable files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder and read it back, so later steps restart from durable columnar files."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

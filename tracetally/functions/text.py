@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
 CHUNK = r'"[^"]*"|[^\s ﻿\p{Z}"]+'
-MAX_PHRASES = 64
 
 
 @lru_cache(maxsize=1)
@@ -46,10 +45,10 @@ def tokens(text: Column) -> Column:
 
 def phrases(text: Column) -> Column:
     """Array of phrases, each an array of folded words: a quoted run is one phrase, a bare
-    chunk is one phrase, chunks without words vanish, at most 64 are kept."""
+    chunk is one phrase, chunks without words vanish."""
     chunks = F.regexp_extract_all(fold(text), F.lit(f"({CHUNK})"), F.lit(1))
     words = F.transform(chunks, lambda c: F.regexp_extract_all(c, F.lit(f"({WORD})"), F.lit(1)))
-    return F.slice(F.filter(words, lambda w: F.size(w) > 0), 1, MAX_PHRASES)
+    return F.filter(words, lambda w: F.size(w) > 0)
 
 
 def to_fixed(x: Column, digits: int) -> Column:

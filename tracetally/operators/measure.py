@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,6 @@ from ..functions.scan import numbered, running_sum
 MIB = 1024 * 1024
 SAMPLE_LIMIT = 128
 BATCH_TOKENS = 4096
-REQUEST_DOCUMENTS = 1000  # documents one batch request may hold
 SAFETY_CODES = ["LOW_MEMORY", "THERMAL_LIMIT", "SAFETY_UNAVAILABLE"]
 # Batch sizes measured per input size, and the size's optional tier.
 BATCH_TARGETS = {"short": [1, 2, 5, 10, 20, 50, 100], "128": [1, 2, 5, 10, 20, 50], "256": [1, 2, 5, 10, 20], "near512": [1, 2, 5, 10]}
@@ -128,33 +130,30 @@ def pack_batches(docs: DataFrame, max_sequences: int, max_tokens: int, n_ctx_seq
 
     ``docs``: request_id, position, tokens. A pack is closed when the next document
     would exceed the sequence or token budget; documents are never split.
-    Documents over the budget, and requests with more than 1,000 documents, are
-    rejected, so a request's ordered fold stays small.
+    Documents over the budget are rejected. Requests of any size are folded as one
+    stream of rows each, in order, with nothing kept but the open pack.
     """
-    sizes = docs.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.filter(F.col("_n") > REQUEST_DOCUMENTS).select("request_id", F.lit("INVALID_ARGUMENT").alias("_big"))
     budget = min(max_tokens, BATCH_TOKENS)
-    code = F.when(F.col("_big").isNotNull(), F.col("_big")).when((F.col("tokens") > n_ctx_seq) | (F.col("tokens") > budget), "INPUT_TOO_LONG")
-    rows = docs.join(big, "request_id", "left").withColumn("reject_code", code).drop("_big")
-    ok = rows.filter(F.col("reject_code").isNull())
-    listed = ok.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("position", "tokens"))).alias("docs"))
-    start = F.struct(
-        F.lit(0).alias("pack"), F.lit(0).alias("seqs"), F.lit(0).cast("long").alias("used"),
-        F.expr("cast(array() as array<struct<position:bigint,tokens:bigint,pack:int>>)").alias("out"),
-    )
-
-    def step(acc, doc):
-        full = (acc["seqs"] >= max_sequences) | (acc["used"] + doc["tokens"] > budget)
-        pack = acc["pack"] + F.when(full, 1).otherwise(0)
-        placed = F.struct(doc["position"].cast("long").alias("position"), doc["tokens"].cast("long").alias("tokens"), pack.alias("pack"))
-        return F.struct(
-            pack.alias("pack"),
-            (F.when(full, 0).otherwise(acc["seqs"]) + 1).alias("seqs"),
-            (F.when(full, 0).otherwise(acc["used"]) + doc["tokens"]).cast("long").alias("used"),
-            F.concat(acc["out"], F.array(placed)).alias("out"),
-        )
-
-    packed = listed.select("request_id", F.explode(F.aggregate("docs", start, step)["out"]).alias("d")).select("request_id", "d.*")
+    code = F.when((F.col("tokens") > n_ctx_seq) | (F.col("tokens") > budget), "INPUT_TOO_LONG")
+    rows = docs.withColumn("reject_code", code)
+    ok = rows.filter(F.col("reject_code").isNull()).select("request_id", F.col("position").cast("long").alias("position"), F.col("tokens").cast("long").alias("tokens"))
+    ordered = ok.repartition("request_id").sortWithinPartitions("request_id", "position", "tokens")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        request, pack, seqs, used = None, 0, 0, 0
+        for batch in batches:
+            packs = []
+            for name, tokens in zip(batch.column("request_id").to_pylist(), batch.column("tokens").to_pylist()):
+                if name != request:
+                    request, pack, seqs, used = name, 0, 0, 0
+                if seqs >= max_sequences or used + tokens > budget:
+                    pack, seqs, used = pack + 1, 0, 0
+                seqs, used = seqs + 1, used + tokens
+                packs.append(pack)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packs, pa.int32())], names=[*batch.schema.names, "pack"])
+
+    kind = docs.schema["request_id"].dataType.simpleString()
+    packed = ordered.mapInArrow(fold, f"request_id {kind}, position long, tokens long, pack int")
     return packed, rows.filter(F.col("reject_code").isNotNull()).select("request_id", "position", "tokens", "reject_code")
 
 

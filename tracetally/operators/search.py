@@ -38,8 +38,10 @@ def validate_queries(q: DataFrame) -> tuple[DataFrame, DataFrame]:
     text_ok = F.col("mode").isin("lexical", "vector", "hybrid") & R.within(F.col("text"), 8192)
     limit_ok = F.col("limit").between(1, 100) & (F.col("candidate_limit") >= F.col("limit")) & (F.col("candidate_limit") <= MAX_CANDIDATES)
     rrf_ok = finite(k) & k.between(1, 10_000) & finite(wl) & finite(wv) & (wl >= 0) & (wv >= 0) & (wl + wv > 0)
+    twice = F.count(F.lit(1)).over(Window.partitionBy("query_id")) > 1
     code = (
-        F.when(~R.valid_grants(F.col("grants")), "invalid_access")
+        F.when(F.col("query_id").isNull() | twice, "invalid_query_id")
+        .when(~R.valid_grants(F.col("grants")), "invalid_access")
         .when(~R.valid_filter(F.col("filter")), "invalid_filter")
         .when(R.no(text_ok), "invalid_query")
         .when(R.no(limit_ok), "invalid_limit")
@@ -55,15 +57,17 @@ def parse_queries(q: DataFrame) -> DataFrame:
 
 
 def in_chunks(q: DataFrame, per_chunk: int) -> list[DataFrame]:
-    """Split a query table by id hash so that every part is proven to fit ``per_chunk`` rows."""
-    n = chunks_for(q.count(), per_chunk)
+    """Split a query table by id hash so that every part is proven to fit ``per_chunk`` rows. Ids must be unique."""
+    rows = q.count()
+    n = chunks_for(rows, per_chunk)
     if n == 1:
         return [q]
-    while True:
+    while n <= 2 * rows:
         part = F.pmod(F.xxhash64("query_id"), F.lit(n))
         if q.groupBy(part.alias("p")).count().agg(F.max("count")).first()[0] <= per_chunk:
             return [q.filter(part == i) for i in range(n)]
         n += max(1, n // 4)
+    raise ValueError("query_id must be unique; validate_queries rejects repeated ids")
 
 
 # ---- access and filters --------------------------------------------------
@@ -146,10 +150,15 @@ def _weight(method: str, total: Column, mean_len: Column) -> Column:
 SCORE_KIND = {"bm25": "fts5_negative_bm25", "tfidf": "fts4_tf_idf", "cosine": "cosine"}
 
 
+def widest(q: DataFrame) -> int:
+    """The largest candidate limit that a query of the chunk asks for."""
+    return q.agg(F.max("candidate_limit")).first()[0] or 1
+
+
 def _top(scored: DataFrame, limit: int) -> DataFrame:
     """Rank per query by (score desc, id) and keep each query's candidate_limit.
 
-    The constant bound lets Spark cut every partition to its own top rows before the shuffle.
+    ``limit`` is the largest of them: a constant, so Spark cuts every partition to its own top rows before the shuffle.
     """
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
@@ -194,7 +203,7 @@ def _lexical_chunk(q: DataFrame, items: DataFrame, lexical: DataFrame, method: s
         .filter(R.matches(F.col("filter")))
         .select("query_id", "id", "revision", "score", "candidate_limit")
     )
-    return _top(scored, MAX_CANDIDATES).withColumn("score_kind", F.lit(SCORE_KIND[method]))
+    return _top(scored, widest(q)).withColumn("score_kind", F.lit(SCORE_KIND[method]))
 
 
 # ---- vector --------------------------------------------------------------
@@ -203,24 +212,48 @@ def _lexical_chunk(q: DataFrame, items: DataFrame, lexical: DataFrame, method: s
 def search_vector(q: DataFrame, items: DataFrame, vectors: DataFrame, fingerprint: str, dims: int) -> DataFrame:
     """Exact cosine top-k of query vectors (column ``query_vector``) over the eligible vectors.
 
-    Eligible: same fingerprint and dimensions, current revision, state ready,
-    visible to the query. Each task keeps its own top-k per query.
+    Eligible: same fingerprint and dimensions, finite with a positive norm, current revision,
+    state ready, visible to the query. Each task keeps its own top-k per query. ``search``
+    marks the queries that can see a stored vector which is not usable.
     """
     parts = [_vector_chunk(c, items, vectors, fingerprint, dims) for c in in_chunks(q, VECTOR_CHUNK)]
     return reduce(DataFrame.unionByName, parts)
 
 
+VECTOR_ROW = "query_id string, id string, revision string, score double, candidate_limit bigint"
+
+
+def usable_vector(v: Column) -> Column:
+    squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull()) & ~F.isnan(squares) & (squares > 0) & (squares != float("inf")), F.lit(False))
+
+
+def blocked_queries(q: DataFrame, items: DataFrame, vectors: DataFrame, fingerprint: str, dims: int) -> DataFrame:
+    """query_id of the queries that may see a current stored vector which is not usable."""
+    broken = vectors.filter((F.col("fingerprint") == fingerprint) & (F.size("vector") == dims) & ~usable_vector(F.col("vector"))).select("id", "revision")
+    ready = items.filter(F.col("vector_state") == "ready").join(broken, ["id", "revision"], "left_semi")
+    parts = []
+    for chunk in in_chunks(q.filter(F.col("mode") != "lexical"), VECTOR_CHUNK):
+        pol = policies(chunk)
+        seen = visible(ready, pol).select(F.explode("policies").alias("policy")).distinct()
+        keyed = chunk.select("query_id", _policy_key().alias("policy_key")).join(pol.select("policy_key", "policy"), "policy_key")
+        parts.append(keyed.join(seen, "policy", "left_semi").select("query_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _vector_chunk(q: DataFrame, items: DataFrame, vectors: DataFrame, fingerprint: str, dims: int) -> DataFrame:
     pol = policies(q)
     numbered = q.withColumn("policy_key", _policy_key()).join(pol.select("policy_key", "policy"), "policy_key")
     rows = numbered.select("query_id", "query_vector", "policy", "candidate_limit").collect()  # at most VECTOR_CHUNK rows
+    if not rows:
+        return q.sparkSession.createDataFrame([], f"{VECTOR_ROW}, rank int, score_kind string").drop("candidate_limit")
     names = [r["query_id"] for r in rows]
     limits = np.array([r["candidate_limit"] for r in rows], dtype=np.int64)
     matrix = np.array([r["query_vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     of_query = np.array([r["policy"] for r in rows], dtype=np.int64)
     n_policies = int(of_query.max()) + 1 if len(rows) else 0
     ready = visible(items.filter(F.col("vector_state") == "ready"), pol)
-    usable = vectors.filter((F.col("fingerprint") == fingerprint) & (F.size("vector") == dims)).select("id", "revision", "vector")
+    usable = vectors.filter((F.col("fingerprint") == fingerprint) & (F.size("vector") == dims) & usable_vector(F.col("vector"))).select("id", "revision", "vector")
     eligible = usable.join(ready, ["id", "revision"])
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,8 +264,6 @@ def _vector_chunk(q: DataFrame, items: DataFrame, vectors: DataFrame, fingerprin
                 continue
             v = np.vstack(pdf["vector"].to_numpy()).astype(np.float64)
             v_sq = np.cumsum(v * v, axis=1)[:, -1]
-            if not np.isfinite(v_sq).all() or (v_sq <= 0).any():
-                raise ValueError("invalid_vector")
             seen = np.zeros((len(pdf), n_policies), dtype=bool)
             for i, ps in enumerate(pdf["policies"]):
                 seen[i, ps] = True
@@ -257,8 +288,8 @@ def _vector_chunk(q: DataFrame, items: DataFrame, vectors: DataFrame, fingerprin
         out = [(names[j], t[1], t[2], t[0], int(limits[j])) for j in range(len(names)) for t in best[j]]
         yield pd.DataFrame(out, columns=["query_id", "id", "revision", "score", "candidate_limit"])
 
-    scored = eligible.mapInPandas(scan, "query_id string, id string, revision string, score double, candidate_limit bigint")
-    return _top(scored, MAX_CANDIDATES).withColumn("score_kind", F.lit(SCORE_KIND["cosine"]))
+    scored = eligible.mapInPandas(scan, VECTOR_ROW)
+    return _top(scored, int(limits.max())).withColumn("score_kind", F.lit(SCORE_KIND["cosine"]))
 
 
 # ---- fusion, guarded results ---------------------------------------------
@@ -331,6 +362,9 @@ def search(q: DataFrame, items: DataFrame, lexical: DataFrame, vectors: DataFram
     Every candidate is checked once more against access, filter, revision and
     readiness before it becomes a result; ranks are then renumbered and cut.
     """
+    blocked = blocked_queries(q, items, vectors, fingerprint, dims).withColumn("_blocked", F.lit(True))
+    vector_ok = F.coalesce(F.col("vector_ok"), F.lit(False)) if "vector_ok" in q.columns else F.lit(True)
+    q = q.join(blocked, "query_id", "left").withColumn("vector_ok", vector_ok & F.col("_blocked").isNull()).drop("_blocked")
     planned = plan_modes(q)
     live = planned.filter(F.col("error_code").isNull() & ~F.col("blank"))
     lex = search_lexical(live.filter(F.col("actual_mode") != "vector"), items, lexical, method)
@@ -354,7 +388,6 @@ def search(q: DataFrame, items: DataFrame, lexical: DataFrame, vectors: DataFram
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     results = (
         checked.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= 100)
         .filter(F.col("rank") <= F.col("result_limit"))
         .select("query_id", "id", "rank", "score", F.col("actual_mode").alias("mode"), "lex_rank", "lex_score", "lex_score_kind", "vec_rank", "vec_score", "vec_score_kind")
     )

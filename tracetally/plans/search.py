@@ -199,7 +199,7 @@ CHECKED = """chk AS (SELECT *, coalesce(result_limit, 10) AS lim, coalesce(candi
 PARSED = f""",
 ph AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cn) - 1 AS pno, words FROM (SELECT query_id, cn, regexp_extract_all(chunk, '{W}') AS words
     FROM (SELECT query_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS cn FROM (SELECT query_id, regexp_extract_all({FOLD.format('text')}, '"[^"]*"|[^\\s"]+') AS chunks FROM chk))) WHERE len(words) > 0),
-par AS (SELECT *, array_to_string(words, ' ') AS phrase FROM ph WHERE pno < 64)"""
+par AS (SELECT *, array_to_string(words, ' ') AS phrase FROM ph)"""
 INDEXED = f""",
 lex AS (SELECT id, regexp_extract_all({FOLD.format('content')}, '{W}') AS toks FROM retrieval_items),
 post AS (SELECT id, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos, len(toks) AS n FROM lex),

@@ -24,19 +24,23 @@ SELECT 'd'||doc_id AS id, 'docs.'||lang AS namespace, 'document' AS type, source
 )
 
 
+FILES = 4
+
+
 def stream_of(s, d, name):
-    """A derived table over streamed input (definitions without windows only)."""
+    """A derived table over streamed input (definitions without windows only): several files, one per micro-batch, in no order of time."""
     source = _refs(name)[0]
-    live = S.read_stream(s, d, f"{source}.parquet")
+    folder = S.work_folder(s)
+    given = s.read.parquet(f"{d}/{source}.parquet")
+    given.repartition(FILES, F.xxhash64(given.columns[0])).write.parquet(folder)
+    live = s.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     sql = _ms(DEFS[name], duck=False).replace("{", "{{").replace("}", "}}").replace("VARCHAR(20)", "STRING")
     df = s.sql(sql.replace(f"FROM {source}", f"FROM {{{source}}}"), **{source: live})
-    if "ts" in df.columns:
-        df = df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
-    return df
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 
 def _attempts(s, d):
-    return S.settle(S.attempt_fold(stream_of(s, d, "token_events")), ["attempt_id"])
+    return S.attempt_fold(stream_of(s, d, "token_events"))
 
 
 TIMING = ["attempt_id", "started_at", "response_received_at", "http_status", "first_token_at", "last_token_at", "completed_at"]
@@ -55,11 +59,6 @@ def attempt_timing(s, d):
     return S.attempt_fold_batch(table(s, d, "token_events")).select(*TIMING, *LIFE[1:])
 
 
-def text_assembly_stream(s, d):
-    deltas = stream_of(s, d, "token_events").filter("event = 'token'").withColumnRenamed("attempt_id", "generation_id")
-    return S.settle(S.assemble_text(deltas), None, "append")
-
-
 def assembled_text(s, d):
     deltas = table(s, d, "token_events").filter("event = 'token'").withColumnRenamed("attempt_id", "generation_id")
     return S.assembled_text(deltas).select("generation_id", "deltas", F.md5("text").alias("text_md5"))
@@ -78,7 +77,7 @@ def tool_fold_stream(s, d):
 
 
 def diagnostics_stream(s, d):
-    return S.settle(S.diagnostics_windows(stream_of(s, d, "diagnostic_events")), ["minute_ms", "event", "code"])
+    return S.add_up(stream_of(s, d, "diagnostic_events"), S.diagnostics_windows, ["minute_ms", "event", "code"])
 
 
 def running_gauge_stream(s, d):
@@ -89,15 +88,16 @@ def incremental_index_stream(s, d):
     folder = S.work_folder(s)
     empty = table(s, d, "retrieval_items").withColumn("content_hash", X.content_hash(F.col("content"))).filter(F.lit(False))
     S.incremental_index(stream_of(s, d, "new_items"), folder, FP, lambda b: 1000 + b, empty)
-    items = S.latest_version(s, folder, "items").select("id", "lexical_state", "vector_state", F.lit(None).cast("string").alias("reject_code"))
-    refused = S.latest_version(s, folder, "rejects").select("id", F.lit(None).cast("string").alias("lexical_state"), F.lit(None).cast("string").alias("vector_state"), "reject_code")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    items = S.latest(s, folder, "items").select("id", "lexical_state", "vector_state", none("reject_code"))
+    refused = S.refused(s, folder).select("id", none("lexical_state"), none("vector_state"), "reject_code")
     return items.unionByName(refused)
 
 
 QUERIES = {
     f.__name__: f
     for f in [
-        attempt_timing, attempt_timing_stream, generation_lifecycle, text_assembly_stream, assembled_text, terminal_stream, tool_fold, tool_fold_stream,
+        attempt_timing, attempt_timing_stream, generation_lifecycle, assembled_text, terminal_stream, tool_fold, tool_fold_stream,
         diagnostics_stream, running_gauge_stream, incremental_index_stream,
     ]
 }

@@ -1,34 +1,43 @@
 """Structured Streaming forms of the event folds, with their batch twins.
 
-The folds follow arrival order across micro-batches and event order inside one.
-Per-key state is dropped a retention time after the last event, by watermark.
+Events may arrive in any order and any time late: nothing is dropped by a clock. A fold that
+depends on event order appends every micro-batch to a log and computes the keys it touched anew;
+counts are kept as partial sums per micro-batch and added up when read.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.sizing import ensure_checkpoint_dir
+from ..functions.sizing import cut, shared_folder
 from ..operators import index as X
 
 TERMINAL = ["completed", "failed", "cancelled", "interrupted"]
-RETENTION_MS = 3_600_000
-FLUSH_MS, FLUSH_CHARS = 500, 400  # fixed values of the write-coalescing policy
+LOG_BUCKETS = 64  # folders of an event log; a micro-batch reads back those of its keys
 
 
 # ---- running a stream to its end ----------------------------------------
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder below the checkpoint folder the cluster names."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    """A fresh folder below the one all executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame, folder: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Run a sink over everything available now."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def newest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """The row of the highest version per key."""
+    rest = [c for c in rows.columns if c not in (*keys, version)]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*")
 
 
 def settle(stream: DataFrame, keys: list[str] | None, mode: str = "update") -> DataFrame:
@@ -37,22 +46,39 @@ def settle(stream: DataFrame, keys: list[str] | None, mode: str = "update") -> D
     Each micro-batch overwrites only its own output folder, so a repeated batch
     changes nothing.
     """
-    spark = stream.sparkSession
-    out = work_folder(spark)
+    out = work_folder(stream.sparkSession)
+    drain(stream, out, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows/batch_id={n}"), mode)
+    rows = stream.sparkSession.read.parquet(f"{out}/rows")
+    return rows.drop("batch_id") if keys is None else newest(rows, keys, "batch_id")
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    rows = spark.read.parquet(f"{out}/rows")
-    if keys is None:
-        return rows.drop("batch_id")
-    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r"))
-    return newest.select(*keys, "r.*")
+def refold(stream: DataFrame, key: str, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The batch fold of all events of each key, kept up to date batch by batch.
+
+    Events go to a log laid out by bucket of the key. Only the keys of a micro-batch are folded
+    again, from all of their events so far, so the order of arrival has no effect.
+    """
+    spark, out = stream.sparkSession, work_folder(stream.sparkSession)
+    bucket = F.pmod(F.hash(key), F.lit(LOG_BUCKETS))
+
+    def sink(batch: DataFrame, n: int) -> None:
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/log/batch={n}")
+        log = spark.read.option("basePath", f"{out}/log").parquet(f"{out}/log").filter(F.col("batch") <= n)
+        touched = log.filter(F.col("batch") == n)
+        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most LOG_BUCKETS
+        events = log.filter(F.col("bucket").isin(buckets)).join(touched.select(key).distinct(), key, "left_semi")
+        fold(events.select(*batch.columns)).write.mode("overwrite").parquet(f"{out}/rows/batch_id={n}")
+
+    drain(stream, out, sink)
+    return newest(spark.read.parquet(f"{out}/rows"), [key], "batch_id")
+
+
+def add_up(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """Partial sums of every micro-batch, added up when read; no state is kept."""
+    out = work_folder(stream.sparkSession)
+    drain(stream, out, lambda batch, n: partial(batch).write.mode("overwrite").parquet(f"{out}/rows/batch_id={n}"))
+    rows = stream.sparkSession.read.parquet(f"{out}/rows")
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in (*keys, "batch_id")])
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, max_files: int = 1) -> DataFrame:
@@ -63,53 +89,10 @@ def read_stream(spark: SparkSession, folder: str, name: str, max_files: int = 1)
 
 # ---- S1, S4: attempt timing and lifecycle -------------------------------
 
-ATTEMPT_OUT = (
-    "attempt_id string, status string, started_at bigint, response_received_at bigint, http_status bigint, first_token_at bigint, "
-    "last_token_at bigint, completed_at bigint, failure_stage string"
-)
-ATTEMPT_STATE = (
-    "status string, started_at bigint, response_received_at bigint, http_status bigint, first_token_at bigint, last_token_at bigint, completed_at bigint"
-)
-
-
-def _attempt_step(s: list, event: str, at: int, http: float | None) -> list:
-    status, started, response, code, first, last, done = s
-    if done is not None:
-        return s  # nothing after completion
-    if event == "started":
-        started = at if started is None else started
-        status = status or "connecting"
-    elif event == "response":
-        response = at
-        code = code if http is None else http
-        status = status or "connecting"
-    elif event == "token":
-        first = at if first is None else first
-        last, status = at, "streaming"
-    elif event in TERMINAL:
-        done, status = at, event
-    return [status, started, response, code, first, last, done]
-
 
 def attempt_fold(events: DataFrame) -> DataFrame:
-    """Streaming fold of attempt events (attempt_id, event, at_ms, seq, http_status, ts with watermark)."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # one attempt's events of one micro-batch: bounded by a single model response
-        rows = sorted(r for f in frames for r in zip(f["at_ms"].tolist(), f["seq"].tolist(), f["event"].tolist(), f["http_status"].tolist()))
-        s = list(state.get) if state.exists else [None] * 7
-        for at, _, e, http in rows:
-            s = _attempt_step(s, e, at, None if pd.isna(http) else int(http))
-        state.update(tuple(s))
-        state.setTimeoutTimestamp(max(rows[-1][0], state.getCurrentWatermarkMs()) + RETENTION_MS)
-        stage = None if s[0] not in TERMINAL or s[0] == "completed" else ("stream" if s[4] is not None else "request")
-        row = dict(zip((c.split()[0] for c in ATTEMPT_OUT.split(", ")), (key[0], *s, stage)))
-        yield pd.DataFrame({c: pd.array([v], dtype="string" if c in ("attempt_id", "status", "failure_stage") else "Int64") for c, v in row.items()})
-
-    return events.groupBy("attempt_id").applyInPandasWithState(fold, ATTEMPT_OUT, ATTEMPT_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    """Streaming fold of attempt events (attempt_id, event, at_ms, seq, http_status), run to the end."""
+    return refold(events, "attempt_id", attempt_fold_batch)
 
 
 def attempt_fold_batch(events: DataFrame) -> DataFrame:
@@ -133,51 +116,7 @@ def attempt_fold_batch(events: DataFrame) -> DataFrame:
     return out.withColumn("failure_stage", stage)
 
 
-# ---- S2: text assembly ---------------------------------------------------
-
-FLUSH_OUT = "generation_id string, flush_at bigint, n_chars bigint"
-FLUSH_STATE = "n_chars bigint, flushed_chars bigint, flushed_at bigint, timer_at bigint"
-
-
-def _flushes(deltas: list[tuple[int, int]], s: list) -> tuple[list[tuple[int, int]], list]:
-    """Apply (at, chars) deltas to (chars, flushed chars, flushed at, timer set at); returns the flushes."""
-    n, sent, last, timer = s
-    out = []
-    for at, size in deltas:
-        if timer is not None and timer + FLUSH_MS <= at:  # the pending timer fires first
-            last, sent, timer = timer + FLUSH_MS, n, None
-            out.append((last, n))
-        n += size
-        if last is None or at - last >= FLUSH_MS or n - sent >= FLUSH_CHARS:
-            last, sent, timer = at, n, None
-            out.append((at, n))
-        elif timer is None:
-            timer = at
-    return out, [n, sent, last, timer]
-
-
-def assemble_text(deltas: DataFrame) -> DataFrame:
-    """Flush points of streamed text (generation_id, at_ms, seq, delta, ts with watermark).
-
-    The first delta is written at once, later ones after 500 ms or 400
-    characters; what is pending when the stream goes quiet is flushed by timeout.
-    """
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cols = ["generation_id", "flush_at", "n_chars"]
-        s = list(state.get) if state.exists else [0, 0, None, None]
-        if state.hasTimedOut:
-            state.remove()
-            if s[3] is not None:
-                yield pd.DataFrame([(key[0], s[3] + FLUSH_MS, s[0])], columns=cols)
-            return
-        rows = pd.concat(list(frames)).sort_values(["at_ms", "seq"])
-        done, s = _flushes([(int(a), len(d)) for a, d in zip(rows["at_ms"], rows["delta"])], s)
-        state.update(tuple(s))
-        state.setTimeoutTimestamp(max(int(rows["at_ms"].max()), state.getCurrentWatermarkMs()) + FLUSH_MS)
-        yield pd.DataFrame([(key[0], a, n) for a, n in done], columns=cols)
-
-    return deltas.groupBy("generation_id").applyInPandasWithState(fold, FLUSH_OUT, FLUSH_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+# ---- S2: text ------------------------------------------------------------
 
 
 def assembled_text(deltas: DataFrame) -> DataFrame:
@@ -190,8 +129,8 @@ def assembled_text(deltas: DataFrame) -> DataFrame:
 
 
 def terminal_once(events: DataFrame, key: str = "attempt_id") -> DataFrame:
-    """The first arriving terminal event of each key; repeats within the watermark are dropped."""
-    return events.filter(F.col("event").isin(TERMINAL)).dropDuplicatesWithinWatermark([key])
+    """One terminal event of each key, however late others arrive; the state is one row per key."""
+    return events.filter(F.col("event").isin(TERMINAL)).dropDuplicates([key])
 
 
 CORRELATION = ["session_id", "turn_id"]
@@ -240,32 +179,41 @@ def running_gauge(events: DataFrame) -> DataFrame:
 
 
 def incremental_index(stream: DataFrame, folder: str, fingerprint: str, clock: Callable[[int], int], empty_items: DataFrame) -> None:
-    """Validate, stage and project every micro-batch into versioned snapshots under ``folder``.
+    """Validate, stage and project every micro-batch; only the rows it changes are written.
 
-    Snapshot n is built from snapshot n-1 and micro-batch n only, so repeating a
-    batch rewrites the same version.
+    Version n of a table holds the rows that micro-batch n changed; ``latest`` takes the newest per
+    id. Items that share neither id nor source with the batch cannot be affected by it.
     """
     spark = stream.sparkSession
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        items = empty_items if batch_id == 0 else spark.read.parquet(f"{folder}/items/version={batch_id - 1}")
-        lexical = X.build_lexical(empty_items) if batch_id == 0 else spark.read.parquet(f"{folder}/lexical/version={batch_id - 1}")
+    def before(name: str, n: int, empty: DataFrame) -> DataFrame:
+        if n == 0:
+            return empty
+        past = spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").filter(F.col("version") < n)
+        return newest(past, ["id"], "version").select(*empty.columns)
+
+    def apply(batch: DataFrame, n: int) -> None:
         ok, bad = X.validate_items(batch)
-        staged, rejects = X.stage(items, ok, fingerprint, clock(batch_id), f"batch{batch_id}")
-        done, postings = X.index_lexical(staged, lexical)
-        done.write.mode("overwrite").parquet(f"{folder}/items/version={batch_id}")
-        postings.write.mode("overwrite").parquet(f"{folder}/lexical/version={batch_id}")
+        ids, owners = ok.select("id").distinct(), ok.select(*X.NATURAL).distinct()
+        every = before("items", n, empty_items)
+        near = every.join(ids, "id", "left_semi").unionByName(every.join(owners, X.NATURAL, "left_semi").join(ids, "id", "left_anti"))
+        staged, rejects = X.stage(cut(near), cut(ok), fingerprint, clock(n), f"batch{n}")
+        staged = cut(staged)
+        pending = before("lexical", n, X.build_lexical(empty_items)).join(ids, "id", "left_semi")
+        done, postings = X.index_lexical(staged, pending)
+        done.join(ids, "id", "left_semi").write.mode("overwrite").parquet(f"{folder}/items/version={n}")
+        postings.write.mode("overwrite").parquet(f"{folder}/lexical/version={n}")
         refused = bad.select("id", "seq", "reject_code").unionByName(rejects)
-        refused.write.mode("overwrite").parquet(f"{folder}/rejects/version={batch_id}")
+        refused.write.mode("overwrite").parquet(f"{folder}/rejects/version={n}")
 
-    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    drain(stream, folder, apply)
+
+
+def latest(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The newest row per id of a table written by ``incremental_index``."""
+    return newest(spark.read.parquet(f"{folder}/{table}"), ["id"], "version")
 
 
-def latest_version(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """The newest snapshot of a table written by ``incremental_index``."""
-    path = f"{folder}/{table}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
-    version = max(int(f.getPath().getName().split("=")[1]) for f in found if "version=" in f.getPath().getName())
-    return spark.read.parquet(f"{path}/version={version}")
+def refused(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows that ``incremental_index`` refused."""
+    return spark.read.parquet(f"{folder}/rejects").drop("version")
