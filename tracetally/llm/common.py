@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sizing import cut
+
 SLICE_ROWS = 64  # rows turned into Python objects at a time
 
 
@@ -22,24 +22,7 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. A temporary one only on a single machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="llm-shared-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps restart from durable files."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+stored = cut  # write a table to the shared folder and read it back: later steps restart from durable files
 
 
 def per_row(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
