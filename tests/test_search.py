@@ -137,3 +137,65 @@ def test_late_vectors_are_discarded(spark):
     new = spark.createDataFrame([("d1", "r0", [1.0]), ("d2", "r1", [1.0])], "id string, revision string, vector array<float>")
     _, vec = X.index_vectors(items, empty, new, "fp", 5)
     assert [r.id for r in vec.collect()] == ["d2"]
+
+
+def vector_table(spark, *rows):
+    return spark.createDataFrame([(i, "r1", "fp", v) for i, v in rows], "id string, revision string, fingerprint string, vector array<float>")
+
+
+def with_vectors(q, v=(1.0, 0.0)):
+    return q.withColumn("query_vector", F.array(*map(F.lit, v)).cast("array<float>"))
+
+
+def test_batches_of_one_kind(spark):
+    items, vectors = corpus(spark), vector_table(spark, ("d1", [1.0, 0.0]), ("d2", [0.0, 1.0]))
+    lexical = X.build_lexical(items)
+    for rows in ([("q1", "river", "lexical")], [("q1", "river", "vector")], [("q1", " ", "hybrid")], []):
+        q = ask(spark, *rows) if rows else ask(spark, ("q1", "river", "lexical")).limit(0)
+        results, _, planned = S.search(with_vectors(q), items, lexical, vectors, "fp", 2)
+        assert len({r.id for r in results.collect()}) == (2 if rows and rows[0][1].strip() else 0)
+        assert planned.count() == len(rows)
+
+
+def test_unusable_vector_degrades_only_who_sees_it(spark):
+    items = corpus(spark)
+    vectors = vector_table(spark, ("d1", [1.0, 0.0]), ("d3", [0.0, 0.0]), ("d6", [float("nan"), 1.0]))
+    grants = F.array(F.struct(F.lit("team").alias("kind"), F.when(F.col("query_id").startswith("b"), "b").otherwise("c").alias("key")))
+    q = spark.createDataFrame([("b1", "sea", "hybrid", True), ("b2", "sea", "vector", True), ("b3", "sea", "lexical", True), ("b4", "sea", "hybrid", False), ("c1", "sea", "hybrid", True)], "query_id string, text string, mode string, allow_degraded boolean")
+    ok, _ = S.validate_queries(q.withColumn("grants", grants))
+    results, _, planned = S.search(with_vectors(ok), items, X.build_lexical(items), vectors, "fp", 2)
+    got = {r.query_id: (r.actual_mode, r.degraded_reason, r.error_code) for r in planned.collect()}
+    assert got == {
+        "b1": ("lexical", "vector_unavailable", None), "b2": (None, None, "vector_unavailable"), "b3": ("lexical", None, None),
+        "b4": (None, None, "vector_unavailable"), "c1": ("hybrid", None, None),
+    }
+    assert {r.query_id for r in results.collect()} == {"b1", "b3"}
+
+
+def test_repeated_query_ids_are_rejected(spark):
+    q = spark.createDataFrame([("q", "a", "lexical"), ("q", "b", "lexical"), (None, "c", "lexical"), ("r", "d", "lexical")], "query_id string, text string, mode string")
+    ok, bad = S.validate_queries(q.withColumn("grants", F.array(F.struct(F.lit("team").alias("kind"), F.lit("a").alias("key")))))
+    assert [r.query_id for r in ok.collect()] == ["r"]
+    assert {r.reject_code for r in bad.collect()} == {"invalid_query_id"} and bad.count() == 3
+
+
+def test_every_phrase_counts(spark):
+    q = ask(spark, ("q1", " ".join(f"word{i}" for i in range(100)), "lexical"))
+    assert S.parse_queries(q).count() == 100
+
+
+def test_gate_compares_runs_of_any_size(spark):
+    from tracetally.operators import evaluate as V
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for run in ("apart", "close", "same"):
+        vs = rng.normal(size=(300, 16))
+        if run == "close":
+            vs[211] = vs[17] * 3 + 1e-4
+        if run == "same":
+            vs[299] = vs[0]
+        rows += [(run, i, v.tolist(), v.tolist(), 5, 5) for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "run_id string, position long, baseline array<double>, batch array<double>, baseline_tokens int, batch_tokens int")
+    got = {r.run_id: (r.documents, r.outcome) for r in V.correctness_gate(df).collect()}
+    assert got == {"apart": (300, "passed"), "close": (300, "BATCH_CORRECTNESS"), "same": (300, "BATCH_CORRECTNESS")}

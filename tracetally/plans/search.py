@@ -92,6 +92,22 @@ def search_hybrid(s, d):
     )
 
 
+def search_lexical_only(s, d):
+    """A batch without any query that needs vectors."""
+    asked = good(s, d).withColumns({"mode": F.lit("lexical"), "lexical_ok": F.lit(True)})
+    out = S.search(asked, items(s, d, False), lexical(s, d), vectors(s, d), FP, DIMS)[0]
+    return out.select("query_id", "id", "rank", "mode", F.round("score", 6).alias("score"), "lex_rank", "vec_rank")
+
+
+def search_degraded(s, d):
+    """Some stored vectors are zero: only the queries that may see one lose the vector side."""
+    asked = good(s, d).withColumns({"lexical_ok": F.lit(True), "embedding_loaded": F.lit(True)})
+    broken = F.col("id").substr(F.lit(2), F.length("id")).cast("long") % 97 == 5
+    stored = vectors(s, d).withColumn("vector", F.when(broken, F.transform("vector", lambda x: x * F.lit(0.0).cast("float"))).otherwise(F.col("vector")))
+    planned = S.search(asked, items(s, d, False), lexical(s, d), stored, FP, DIMS)[2]
+    return planned.select("query_id", "actual_mode", "degraded_reason", "error_code")
+
+
 def search_modes(s, d):
     return S.plan_modes(forms(s, d)).select("query_id", "actual_mode", "degraded_reason", "error_code")
 
@@ -182,7 +198,7 @@ def summarize_vectors(s, d):
 QUERIES = {
     f.__name__: f
     for f in [
-        validate_queries, parse_queries, build_postings, phrase_tf, search_vector, search_hybrid, search_modes, search_summary, materialize,
+        validate_queries, parse_queries, build_postings, phrase_tf, search_vector, search_hybrid, search_lexical_only, search_degraded, search_modes, search_summary, materialize,
         cosine_pairs, norms, rank_similarity, evaluate, eval_summary, check_stability, correctness_gate, summarize_vectors,
     ]
 }
@@ -281,6 +297,20 @@ ORACLES = {
     "search_hybrid": with_ctes(
         RV, "SELECT query_id, id, rank, am AS mode, round(score, 6) AS score, lr AS lex_rank, round(ls, 6) AS lex_score, vr AS vec_rank, round(vs, 6) AS vec_score FROM fin", recursive=True, extra=FULL
     ),
+    "search_lexical_only": with_ctes(
+        RI, "SELECT query_id, id, rank, 'lexical' AS mode, round(score, 6) AS score, rank AS lex_rank, CAST(NULL AS INT) AS vec_rank FROM lexr JOIN chk USING (query_id) WHERE rank <= lim AND trim(text) <> ''",
+        extra=CHECKED + PARSED + INDEXED + _score("bm25"),
+    ),
+    "search_degraded": with_ctes(
+        RV,
+        """SELECT query_id, CASE WHEN error_code IS NULL THEN CASE WHEN lost AND mode = 'hybrid' THEN 'lexical' ELSE mode END END AS actual_mode,
+        CASE WHEN error_code IS NULL AND lost AND mode = 'hybrid' THEN 'vector_unavailable' END AS degraded_reason, error_code
+        FROM (SELECT *, CASE WHEN lost AND (mode = 'vector' OR mode = 'hybrid' AND NOT allow_degraded) THEN 'vector_unavailable' END AS error_code
+          FROM (SELECT *, query_id IN (SELECT query_id FROM blocked) AND trim(text) <> '' AS lost FROM chk WHERE code IS NULL))""",
+        extra=CHECKED + f""",
+blocked AS (SELECT DISTINCT query_id FROM chk, retrieval_items i JOIN retrieval_vectors v ON v.id = i.id
+   WHERE v.fingerprint = '{FP}' AND v.revision = i.revision AND vector_state = 'ready' AND CAST(substr(i.id, 2) AS BIGINT) % 97 = 5 AND {ALLOWED})""",
+    ),
     "search_modes": with_ctes(
         ["query_forms"], "SELECT query_id, CASE WHEN error_code IS NULL THEN am END AS actual_mode, CASE WHEN error_code IS NULL THEN why END AS degraded_reason, error_code FROM pl", extra=CHECKED + PLAN
     ),
