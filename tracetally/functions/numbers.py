@@ -30,10 +30,8 @@ def safe_div(num: Column, den: Column) -> Column:
 
 
 def safe_sum(total: Column) -> Column:
-    """Fail the job rather than hand out a sum beyond the safe integer range."""
-    return F.when(total.isNull() | (total.between(-SAFE_MAX, SAFE_MAX)), total).otherwise(
-        F.raise_error(F.lit("sum exceeds the safe integer range"))
-    )
+    """A sum beyond the safe integer range is unknown (NULL); other keys keep theirs."""
+    return F.when(total.between(-SAFE_MAX, SAFE_MAX), total)
 
 
 def poison_sum(x: Column) -> Column:
@@ -103,12 +101,3 @@ def known_money(amount: Column, currency: Column, present: Column | None = None)
     """(amount, currency, has_unknown) as aggregate expressions over one group."""
     p = money_parts(amount, currency, present)
     return finish_money(p["parts"], p["known"], p["amount"], p["min_cur"], p["max_cur"], p["no_cur"])
-
-
-def nearest_rank(name: str, p: float) -> Column:
-    """Exact nearest-rank percentile sorted[ceil(p*n)-1] of a column.
-
-    Spark keeps one counter per distinct value, so a hot group costs memory by
-    its distinct values, not by its rows.
-    """
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{name}`)")

@@ -8,6 +8,8 @@ the summary of everything before the block joined in.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,23 @@ def running_sum(df: DataFrame, keys: list[str], block: str, order: list, value:
     return out.withColumn(name, F.coalesce("_scan_carry", F.lit(0)) + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("_scan_carry")
 
 
+def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """keys and, per name, the value at a 1-based rank computed from the number of values of the key.
+
+    Equal values are counted first and the counts summed up in blocks of the value range, so
+    neither a hot key nor its values are gathered anywhere. NULL and NaN are left out.
+    """
+    v = F.col(value).cast("double")
+    counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    block = F.signum("_v") * F.floor(F.log2(1 + F.abs(F.col("_v"))) * 32)  # grows with the value
+    summed = running_sum(counts.withColumn("_block", block), keys, "_block", ["_v"], "_c", "_upto")
+    totals = counts.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.sum("_c").alias("_n"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    return summed.join(totals, on).groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= r(F.col("_n")), F.col("_v"))).alias(n) for n, r in ranks.items()])
+
+
 def running_max_before(df: DataFrame, keys: list[str], block: str, order: list, value: str, name: str) -> DataFrame:
     """Maximum over all earlier rows of the key (NULL for the first)."""
     out = carry_blocks(df, keys, block, {"_m": F.max(value)}, {"_scan_carry": F.max("_m")})

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import floor_zero, nearest_rank, safe_div
-from ..functions.scan import numbered, running_sum
+from ..functions.numbers import floor_zero, safe_div
+from ..functions.scan import at_ranks, numbered, running_sum
 
 MIB = 1024 * 1024
 SAMPLE_LIMIT = 128
@@ -26,6 +26,19 @@ def is_finite(x: Column) -> Column:
     return F.coalesce(x.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False))
 
 
+def nearest(p: float) -> Callable[[Column], Column]:
+    """Rank of the nearest-rank percentile."""
+    return lambda n: F.ceil(n * F.lit(p))
+
+
+def with_ranks(out: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    named = ranked.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in ranked.columns if c not in keys])
+    return out.join(named, on, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def latency_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, total, mean, median and nearest-rank p95 per key; NULLs if a value is negative or not finite."""
     bad = ~is_finite(F.col(value)) | (F.col(value) < 0)
@@ -34,21 +47,23 @@ def latency_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.max(bad).alias("invalid"),
         F.sum(value).alias("total"),
         F.avg(value).alias("mean"),
-        F.expr(f"percentile(`{value}`, 0.5)").alias("median"),
-        nearest_rank(value, 0.95).alias("p95"),
     )
+    middle = {"_low": lambda n: F.floor((n + 1) / 2), "_high": lambda n: F.ceil((n + 1) / 2)}
+    out = with_ranks(out, at_ranks(df, keys, value, {**middle, "p95": nearest(0.95)}), keys)
+    out = out.select(*keys, "count", "invalid", "total", "mean", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "p95")
     return out.withColumns({c: F.when(~F.col("invalid"), F.col(c)) for c in ("total", "mean", "median", "p95")})
 
 
 def backend_metrics(df: DataFrame, keys: list[str], ms: str = "duration_ms") -> DataFrame:
     """Nearest-rank p50 and p95 search times with candidate counts; 0 for an empty group."""
-    return df.groupBy(*keys).agg(
+    out = df.groupBy(*keys).agg(
         F.count(ms).alias("runs"),
-        F.coalesce(nearest_rank(ms, 0.5), F.lit(0)).alias("p50_ms"),
-        F.coalesce(nearest_rank(ms, 0.95), F.lit(0)).alias("p95_ms"),
         F.min("candidates").alias("min_candidates"),
         F.max("candidates").alias("max_candidates"),
     )
+    out = with_ranks(out, at_ranks(df, keys, ms, {"p50_ms": nearest(0.5), "p95_ms": nearest(0.95)}), keys)
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p50_ms", "p95_ms")]
+    return out.select(*keys, "runs", *zero, "min_candidates", "max_candidates")
 
 
 def benchmark_rollup(runs: DataFrame, items: DataFrame, samples: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ UNION ALL SELECT 'p'||page_id, 'pages', 'page', 'web', 'html', CAST(page_id - pa
 SELECT 'd'||doc_id AS id, CASE WHEN quality = 1 THEN 'r1' ELSE 'r0' END AS revision, CASE WHEN toxic = 1 THEN 'lexical' ELSE 'vector' END AS stage,
   CASE WHEN doc_id % 3 = 0 THEN 'native error: /private/path' ELSE 'OUT_OF_MEMORY' END AS code FROM labels""",
         "new_vectors": """
-SELECT 'd'||vec_id AS id, CASE WHEN label % 3 = 0 THEN 'r0' ELSE 'r1' END AS revision, embedding AS vector FROM embeddings WHERE label < 5""",
+SELECT 'd'||vec_id AS id, CASE WHEN label % 3 = 0 THEN 'r0' ELSE 'r1' END AS revision, embedding AS vector FROM embeddings""",
     }
 )
 FP = "fp-new"
@@ -179,7 +179,7 @@ def fingerprint_keys(s, d):
     f = F.struct(
         F.concat(F.lit('lab/"m"'), F.col("label").cast("string")).alias("model_id"), F.lit("v1").alias("revision"), F.lit("q8").alias("quantization"),
         F.size("embedding").alias("dimensions"), F.lit("unspecified").alias("backend_revision"), F.lit("float32_le_v1").alias("format"),
-        F.lit("embedding_service_document_v1").alias("preprocessing"), F.lit(True).alias("normalized"),
+        F.lit("plain_text_v1").alias("preprocessing"), F.lit(True).alias("normalized"),
     )
     return table(s, d, "embeddings").select(X.fingerprint_key(f).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("vectors"))
 
@@ -305,7 +305,7 @@ ORACLES = {
         FROM retrieval_items i LEFT JOIN new_vectors n ON n.id = i.id AND n.revision = i.revision LEFT JOIN retrieval_vectors v ON v.id = i.id""",
     ),
     "validate_vectors": "SELECT vec_id, CASE WHEN vec_id % 7 = 1 OR vec_id % 11 = 2 OR vec_id % 13 = 3 THEN 'invalid_vector' END AS reject_code FROM embeddings",
-    "fingerprint_keys": """SELECT '["lab/\\"m\\"'||label||'","v1","q8",'||len(embedding)||',"unspecified","float32_le_v1","embedding_service_document_v1",true]' AS key, count(*) AS vectors FROM embeddings GROUP BY 1""",
+    "fingerprint_keys": """SELECT '["lab/\\"m\\"'||label||'","v1","q8",'||len(embedding)||',"unspecified","float32_le_v1","plain_text_v1",true]' AS key, count(*) AS vectors FROM embeddings GROUP BY 1""",
     "synthetic_vectors": """WITH RECURSIVE lcg AS (SELECT item_id, 0 AS pos, (1664525 * (item_id + 1) + 1013904223) % 4294967296 AS st FROM benchmark
       UNION ALL SELECT item_id, pos + 1, (1664525 * st + 1013904223) % 4294967296 FROM lcg WHERE pos < 15)
     SELECT item_id, pos, round((st / 4294967296.0 - 0.5) / sqrt(sum((st / 4294967296.0 - 0.5) * (st / 4294967296.0 - 0.5)) OVER (PARTITION BY item_id)), 9) AS x FROM lcg""",

@@ -18,7 +18,7 @@ DEFS.update(
 SELECT 's'||o_custkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END AS title, 'chat' AS kind,
   CASE WHEN o_orderstatus = 'F' THEN 'archived' WHEN o_orderstatus = 'O' THEN 'active' END AS state, @MS(o_orderdate) AS updated_at, o_orderkey AS seq FROM orders""",
         "account_rows": """
-SELECT 'a'||s_suppkey AS id, s_name AS name, s_suppkey AS created_at FROM supplier WHERE s_acctbal > 0""",
+SELECT 'a'||(s_suppkey * 2) AS id, s_name AS name, s_suppkey AS created_at FROM supplier""",
         "account_inserts": """
 SELECT 'a'||(c_custkey % 1500) AS id, c_name AS name, c_custkey AS created_at FROM customer""",
         "price_inserts": """
