@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sizing import fits, maybe_broadcast
+from ..functions.sizing import cut, fits, maybe_broadcast
 
 RATES = [
     "input_per_million_micros",
@@ -88,10 +88,11 @@ def resolve_price(attempts: DataFrame, pricing: DataFrame, at: str = "started_at
     side matches at most once and the attempts are neither multiplied nor
     shuffled while the price list is small. A price list beyond the checked size
     is cut into month buckets and joined on (key, bucket), where Spark can split
-    a hot provider's partition.
+    a hot provider's partition. The segments are written once, so that the attempts
+    see two joins with a stored table and nothing else.
     """
-    small = fits(pricing)
-    segs = timeline(pricing)
+    segs = cut(timeline(pricing))
+    small = fits(segs)
     own = segs.filter(F.col("provider_account_id").isNotNull())
     generic = segs.filter(F.col("provider_account_id").isNull())
     out = _probe(attempts, own, ["provider", "model", "provider_account_id"], at, "own_price", small)
