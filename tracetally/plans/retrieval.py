@@ -309,6 +309,11 @@ ORACLES = {
     "synthetic_vectors": """WITH RECURSIVE lcg AS (SELECT item_id, 0 AS pos, (1664525 * (item_id + 1) + 1013904223) % 4294967296 AS st FROM benchmark
       UNION ALL SELECT item_id, pos + 1, (1664525 * st + 1013904223) % 4294967296 FROM lcg WHERE pos < 15)
     SELECT item_id, pos, round((st / 4294967296.0 - 0.5) / sqrt(sum((st / 4294967296.0 - 0.5) * (st / 4294967296.0 - 0.5)) OVER (PARTITION BY item_id)), 9) AS x FROM lcg""",
+    "drain": with_ctes(
+        ["retrieval_items"],
+        """SELECT count(*) FILTER (WHERE tried) AS attempted, count(*) FILTER (WHERE tried) AS ready, CAST(0 AS BIGINT) AS failed, count(*) FILTER (WHERE vector_state IN ('pending', 'stale') AND NOT tried) AS pending
+        FROM (SELECT *, (lexical_state = 'pending' OR vector_state IN ('pending', 'stale')) AND vector_state <> 'ready' AS tried FROM retrieval_items)""",
+    ),
     "rebuild_index": with_ctes(
         ["retrieval_items", "incoming"],
         """SELECT coalesce(n.id, o.id) AS id, coalesce(n.namespace, o.namespace) AS namespace, coalesce(n.updated_at, o.updated_at) AS updated_at, CASE WHEN n.id IS NOT NULL THEN 'pending' ELSE o.lexical_state END AS lexical_state,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.sizing import shared_folder
 from ..operators import lookups as L
 from ..operators.pricing import RATES
 from ..sources import imports as I
@@ -52,6 +55,18 @@ def typed_scan(s, d):
     )
 
 
+def stored_scan(s, d):
+    """A table written as a snapshot and read back with its fixed schema, as Parquet and as JSON."""
+    folder = f"{shared_folder(s)}/scan-{uuid.uuid4().hex}"
+    calls = table(s, d, "model_calls")
+    T.write_snapshot(calls, folder, "model_calls", "1")
+    flags = [c for c, t in calls.dtypes if t == "boolean"]
+    calls.withColumns({c: F.col(c).cast("int") for c in flags}).write.json(f"{folder}/json/model_calls")
+    cols = ["call_id", "owns_turn", "message_id", "requested_at", "metered_cost_micros"]
+    back = T.read_table(s, folder, "model_calls").select(F.lit("parquet").alias("format"), *cols)
+    return back.unionByName(T.read_table(s, f"{folder}/json", "model_calls", "json").select(F.lit("json").alias("format"), *cols))
+
+
 COLS = ["id", "title", "kind", "state", "updated_at"]
 
 
@@ -199,7 +214,7 @@ def messages_of_conversation(s, d):
 QUERIES = {
     f.__name__: f
     for f in [
-        typed_scan, upsert, patch_update, insert_missing, append_immutable, append_rejects, plan_rejects, first_terminal, soft_delete,
+        typed_scan, stored_scan, upsert, patch_update, insert_missing, append_immutable, append_rejects, plan_rejects, first_terminal, soft_delete,
         integrity_report, upgrade, normalize_usage, generation_usage, import_price_sheet, vector_codec, get_by_id, runs_by_turn,
         calls_by_status, calls_by_session, calls_of_agent, latest_call_per_turn, attempts_by_call, allocations_by_call, prices_valid_at,
         sessions_by_state, session_children, messages_of_conversation,
@@ -231,6 +246,10 @@ ORACLES = {
         ["model_calls"],
         "SELECT call_id, owns_turn, NULL::VARCHAR AS message_id, requested_at, provider_account_id, NULL::BIGINT AS metered_cost_micros FROM model_calls",
     ),
+    "stored_scan": with_ctes(
+        ["model_calls"],
+        "SELECT format, call_id, owns_turn, NULL::VARCHAR AS message_id, requested_at, NULL::BIGINT AS metered_cost_micros FROM model_calls, (VALUES ('parquet'), ('json')) AS f(format)",
+    ),
     "upsert": with_ctes(
         ["sessions", "session_changes"],
         """SELECT coalesce(c.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.title ELSE c.title END AS title, CASE WHEN n.id IS NOT NULL THEN n.kind ELSE c.kind END AS kind,
