@@ -76,6 +76,9 @@ SELECT r.session_id||'-r'||k AS agent_run_id, r.session_id, r.session_id||'-t'||
   CASE WHEN k < 4 THEN NULL ELSE r.session_id||'-r'||(k - 4) END AS parent_agent_run_id, 'agent'||k AS agent_name_snapshot, CAST(k AS BIGINT) AS started_at,
   CASE WHEN k % 5 = 4 THEN 'running' ELSE 'completed' END AS status, CASE WHEN k % 5 = 4 THEN NULL ELSE CAST(k + 100 AS BIGINT) END AS completed_at
   FROM (SELECT 's'||c_custkey AS session_id, @RANGE(12) AS k FROM customer) r""",
+    "turns": """
+SELECT t.session_id||'-t'||k AS turn_id, t.session_id, CAST(k AS BIGINT) AS started_at, CASE WHEN k % 3 = 1 THEN 'streaming' ELSE 'completed' END AS status,
+  CASE WHEN k % 3 = 1 THEN NULL ELSE CAST(k + 50 AS BIGINT) END AS completed_at FROM (SELECT 's'||c_custkey AS session_id, @RANGE(4) AS k FROM customer) t""",
     "cost_allocations": """
 SELECT 'a'||o_orderkey AS allocation_id, 'c'||o_orderkey AS call_id, CAST(floor(o_totalprice) AS BIGINT) AS amount_micros,
   CASE WHEN o_orderkey % 21 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CAST(o_orderkey AS BIGINT) AS created_at FROM orders WHERE o_orderkey % 3 = 0""",

@@ -94,23 +94,25 @@ def running_counts(s, d):
 
 
 def recover_orphans(s, d):
-    out = N.recover_orphans(table(s, d, "model_calls"), table(s, d, "attempts"), table(s, d, "agent_runs"), None, AT)
+    out = N.recover_orphans(table(s, d, "model_calls"), table(s, d, "attempts"), table(s, d, "agent_runs"), table(s, d, "turns"), AT)
     parts = [
         out["calls"].select(F.lit("call").alias("kind"), F.col("call_id").alias("id"), "status", "completed_at", "failure_stage"),
         out["attempts"].select(F.lit("attempt").alias("kind"), F.col("attempt_id").alias("id"), "status", "completed_at", "failure_stage"),
         out["runs"].select(F.lit("run").alias("kind"), F.col("agent_run_id").alias("id"), "status", "completed_at", F.lit(None).cast("string").alias("failure_stage")),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    turns = out["turns"].select(F.lit("turn").alias("kind"), F.col("turn_id").alias("id"), "status", "completed_at", F.lit(None).cast("string").alias("failure_stage"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(turns)
 
 
 def interrupt_generations(s, d):
     calls = table(s, d, "model_calls")
     cheap = table(s, d, "orders").filter("o_totalprice < 250000").select(F.concat(F.lit("g"), "o_orderkey").alias("id"))
-    out = N.interrupt(calls, table(s, d, "attempts"), table(s, d, "agent_runs"), None, cheap, AT)
+    out = N.interrupt(calls, table(s, d, "attempts"), table(s, d, "agent_runs"), table(s, d, "turns"), cheap, AT)
     a = out["attempts"].select(F.lit("attempt").alias("kind"), F.col("attempt_id").alias("id"), "status", "completed_at", "latency_ms")
     c = out["calls"].select(F.lit("call").alias("kind"), F.col("call_id").alias("id"), "status", "completed_at", F.lit(None).cast("bigint").alias("latency_ms"))
     r = out["runs"].select(F.lit("run").alias("kind"), F.col("agent_run_id").alias("id"), "status", "completed_at", F.lit(None).cast("bigint").alias("latency_ms"))
-    return a.unionByName(c).unionByName(r)
+    t = out["turns"].select(F.lit("turn").alias("kind"), F.col("turn_id").alias("id"), "status", "completed_at", F.lit(None).cast("bigint").alias("latency_ms"))
+    return a.unionByName(c).unionByName(r).unionByName(t)
 
 
 def request_ids(s, d):
@@ -243,20 +245,23 @@ ORACLES = {
         "SELECT session_id, CAST(sum(CASE type WHEN 'work_started' THEN 1 WHEN 'work_finished' THEN -1 ELSE 0 END) AS BIGINT) AS running FROM work_events GROUP BY ROLLUP (session_id)",
     ),
     "recover_orphans": with_ctes(
-        ["model_calls", "attempts", "agent_runs"],
+        ["model_calls", "attempts", "agent_runs", "turns"],
         f"""SELECT 'call' AS kind, call_id AS id, CASE WHEN status = 'streaming' AND completed_at IS NULL THEN 'interrupted' ELSE status END AS status, coalesce(completed_at, CASE WHEN status = 'streaming' THEN {AT} END) AS completed_at,
           CASE WHEN status = 'streaming' AND completed_at IS NULL THEN 'process_restart' END AS failure_stage FROM model_calls
         UNION ALL SELECT 'attempt', attempt_id, CASE WHEN h THEN 'interrupted' ELSE status END, CASE WHEN h THEN {AT} ELSE completed_at END, CASE WHEN h THEN 'process_restart' END
           FROM (SELECT *, completed_at IS NULL AND call_id IN (SELECT call_id FROM model_calls WHERE status = 'streaming') AS h FROM attempts)
-        UNION ALL SELECT 'run', agent_run_id, CASE WHEN status = 'running' THEN 'interrupted' ELSE status END, CASE WHEN status = 'running' THEN {AT} ELSE completed_at END, NULL FROM agent_runs""",
+        UNION ALL SELECT 'run', agent_run_id, CASE WHEN status = 'running' THEN 'interrupted' ELSE status END, CASE WHEN status = 'running' THEN {AT} ELSE completed_at END, NULL FROM agent_runs
+        UNION ALL SELECT 'turn', turn_id, CASE WHEN status = 'streaming' THEN 'interrupted' ELSE status END, CASE WHEN status = 'streaming' THEN {AT} ELSE completed_at END, NULL FROM turns""",
     ),
     "interrupt_generations": with_ctes(
-        ["model_calls", "attempts", "agent_runs"],
+        ["model_calls", "attempts", "agent_runs", "turns"],
         f"""SELECT 'attempt' AS kind, attempt_id AS id, CASE WHEN h THEN 'interrupted' ELSE status END AS status, CASE WHEN h THEN {AT} ELSE completed_at END AS completed_at,
           CASE WHEN h THEN greatest({AT} - started_at, 0) ELSE completed_at - started_at END AS latency_ms FROM (SELECT *, completed_at IS NULL AND call_id IN (SELECT call_id FROM hit) AS h FROM attempts)
         UNION ALL SELECT 'call', call_id, CASE WHEN h THEN 'interrupted' ELSE status END, CASE WHEN h THEN {AT} ELSE completed_at END, NULL FROM (SELECT *, call_id IN (SELECT call_id FROM hit) AS h FROM model_calls)
         UNION ALL SELECT 'run', agent_run_id, CASE WHEN h THEN 'interrupted' ELSE status END, CASE WHEN h THEN {AT} ELSE completed_at END, NULL
-          FROM (SELECT *, completed_at IS NULL AND agent_run_id IN (SELECT agent_run_id FROM hit WHERE owns_agent_run) AS h FROM agent_runs)""",
+          FROM (SELECT *, completed_at IS NULL AND agent_run_id IN (SELECT agent_run_id FROM hit WHERE owns_agent_run) AS h FROM agent_runs)
+        UNION ALL SELECT 'turn', turn_id, CASE WHEN h THEN 'interrupted' ELSE status END, CASE WHEN h THEN {AT} ELSE completed_at END, NULL
+          FROM (SELECT *, completed_at IS NULL AND turn_id IN (SELECT turn_id FROM hit WHERE owns_turn AND turn_id IS NOT NULL) AS h FROM turns)""",
         extra="hit AS (SELECT * FROM model_calls WHERE completed_at IS NULL AND generation_id IN (SELECT 'g'||o_orderkey FROM orders WHERE o_totalprice < 250000))",
     ),
     "request_ids": """SELECT event_id, CASE WHEN event_id % 4 = 2 THEN CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id::VARCHAR END WHEN event_id % 4 < 2 AND event_id % 5 <> 0 THEN event_id::VARCHAR ELSE 'ray'||event_id END AS request_id FROM events""",
