@@ -84,6 +84,7 @@ def test_novel_secrets():
     assert find(f"Authorization: Bearer {value} sent") == [("novel", value)]
     assert find(f"the word {value} alone") == []
     assert find("set credential to https://api.example.com/v1/ and client_secret in config.settings") == []
+    assert find("see https://example.com/en/825/page-17-abcdef and ftp://bob:Zk93jfLq02mXwP7a@host/x") == [("novel", "Zk93jfLq02mXwP7a")]
     assert find(f"{value} was used before; credential {value}") == []  # not new in this text
     assert find(f"password={value.replace('!', '').replace('$', '').replace('%', '')}") == []  # a fixed pattern has it
 

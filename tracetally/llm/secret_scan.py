@@ -29,7 +29,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, so the same as all runs with the short ones dropped
 
 # words after which a value may be a secret
-CONTEXT = re.compile(r"(?ai:passw|passphrase|pwd|secret|token|api[_-]?key|credential|bearer|authoriz|private[_ -]key|access[_-]?key|client[_-]?id|signature|webhook|://)")
+CONTEXT = re.compile(r"(?ai:passw|passphrase|pwd|secret|token|api[_-]?key|credential|bearer|authoriz|private[_ -]key|access[_-]?key|client[_-]?id|signature|webhook|://[^\s/:@]{1,64}:(?=[^\s/@]+@))")
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "api", "credential", "bearer", "authoriz", "private", "access", "client", "signature", "webhook", "://")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@$%^&*-]+")
 
@@ -90,7 +90,9 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty, r
                 break
             seen = m.end()
             s, e = m.span()
-            if e - s < shortest or any(s < b and a < e for a, b in taken) or not shaped(m.group()):
+            if hint.group().startswith("://"):  # the password of a URL ends before its host
+                e = text.index("@", hint.end())
+            if e - s < shortest or any(s < b and a < e for a, b in taken) or not shaped(text[s:e]):
                 continue
             cost = novelty.rate(text, s, e)
             if cost >= least:
