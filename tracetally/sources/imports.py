@@ -150,12 +150,13 @@ def encode_vectors(df: DataFrame, vector: str = "vector", blob: str = "data") ->
 
 
 def decode_vectors(df: DataFrame, blob: str = "data", dims: str = "dimensions") -> tuple[DataFrame, DataFrame]:
-    """(ok, rejects): blobs whose byte length is not dims * 4 are rejected."""
+    """(ok, rejects): blobs whose byte length is not dims * 4, or that hold a number that is not finite, are rejected."""
 
     @F.pandas_udf("array<float>")
     def unpack(b: pd.Series) -> pd.Series:
         return b.map(lambda x: None if x is None else np.frombuffer(x, dtype="<f4"))
 
     fits = F.coalesce(F.octet_length(blob) == F.col(dims) * 4, F.lit(False))
-    ok = df.filter(fits).withColumn("vector", unpack(F.col(blob)))
-    return ok, df.filter(~fits).withColumn("reject_code", F.lit("invalid_vector"))
+    finite = F.coalesce(F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+    out = df.withColumn("vector", F.when(fits, unpack(F.col(blob))))
+    return out.filter(finite), out.filter(~finite).drop("vector").withColumn("reject_code", F.lit("invalid_vector"))
