@@ -136,7 +136,15 @@ def batch_capacity(inputs: DataFrame) -> DataFrame:
     fits = F.least(F.col("max_sequences"), F.floor(F.col("max_tokens") / F.col("actual_tokens")))
     out = out.withColumn("capacity", F.when(F.col("actual_tokens") <= F.col("n_ctx_seq"), fits).otherwise(0))
     skipped = (F.col("capacity") == 0) | (F.col("optional") & (F.col("capacity") < F.col("target")))
-    out = out.withColumns({"chunk_size": F.least("target", "capacity", "count"), "skipped": skipped})
+    why = F.when(F.col("actual_tokens") > F.col("n_ctx_seq"), "input_exceeds_context").when(F.col("capacity") == 0, "no_sequence_fits").otherwise("target_exceeds_capacity")
+    out = out.withColumns(
+        {
+            "chunk_size": F.least("target", "capacity", "count"),
+            "skipped": skipped,
+            "skip_reason": F.when(skipped, why),
+            "required_tokens": F.col("target") * F.col("actual_tokens"),
+        }
+    )
     return out.withColumn("reject_code", F.when(~valid, "BATCH_LIMITS_UNAVAILABLE"))
 
 

@@ -394,8 +394,9 @@ def search(q: DataFrame, items: DataFrame, lexical: DataFrame, vectors: DataFram
     return results, merged, planned
 
 
-def search_summary(results: DataFrame, merged: DataFrame, planned: DataFrame, method: str = "bm25") -> DataFrame:
-    """Per query: modes, degradation, candidate counts and backend names."""
+def search_summary(results: DataFrame, merged: DataFrame, planned: DataFrame, fingerprint: str, method: str = "bm25") -> DataFrame:
+    """Per query: modes, degradation, candidate counts, backend names, the embedding fingerprint
+    where vectors were asked, and the fusion settings of hybrid queries."""
     found = merged.groupBy("query_id").agg(
         F.count("lex_rank").alias("lexical_candidates"), F.count("vec_rank").alias("vector_candidates"), F.count(F.lit(1)).alias("merged")
     )
@@ -406,4 +407,6 @@ def search_summary(results: DataFrame, merged: DataFrame, planned: DataFrame, me
         "query_id", F.col("mode").alias("requested_mode"), "actual_mode", "degraded_reason", "error_code",
         zero("lexical_candidates"), zero("vector_candidates"), zero("merged"), zero("final"),
         F.lit("fts5_unicode61" if method == "bm25" else "fts4_unicode61").alias("lexical_backend"), F.lit("exact_flat").alias("vector_backend"),
+        F.when(F.col("actual_mode").isin("vector", "hybrid") & ~F.col("blank"), F.lit(fingerprint)).alias("fingerprint"),
+        *[F.when(F.col("mode") == "hybrid", F.col(c)).alias(c) for c in ("rrf_k", "weight_lexical", "weight_vector")],
     )

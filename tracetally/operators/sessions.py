@@ -136,11 +136,25 @@ def recover_generations(generations: DataFrame, live: DataFrame, at: int, note:
     ).select(*generations.columns, "interrupted")
 
 
-def interrupt_messages(messages: DataFrame, generations: DataFrame) -> DataFrame:
-    """Mark the messages of freshly interrupted generations (``recover_generations`` output)."""
+def interrupt_messages(messages: DataFrame, generations: DataFrame, at: int, note: str = "Generation was interrupted.") -> DataFrame:
+    """Mark the messages of freshly interrupted generations (``recover_generations`` output): status, error if none, updated_at."""
     hit = generations.filter("interrupted").select(F.col("message_id").alias("m_id")).distinct()
     out = messages.join(hit, F.col("id") == F.col("m_id"), "left")
-    return out.withColumn("status", F.when(F.col("m_id").isNotNull(), "interrupted").otherwise(F.col("status"))).select(*messages.columns)
+    touched = F.col("m_id").isNotNull()
+    old = lambda c, t: F.col(c) if c in messages.columns else F.lit(None).cast(t)
+    return out.withColumns(
+        {
+            "status": F.when(touched, "interrupted").otherwise(F.col("status")),
+            "error": F.when(touched, F.coalesce(old("error", "string"), F.lit(note))).otherwise(old("error", "string")),
+            "updated_at": F.when(touched, F.lit(at)).otherwise(old("updated_at", "bigint")),
+            "interrupted": touched,
+        }
+    ).drop("m_id")
+
+
+def touched_conversations(messages: DataFrame, at: int) -> DataFrame:
+    """(conversation_id, updated_at) of the conversations in which ``interrupt_messages`` changed a message."""
+    return messages.filter("interrupted").select("conversation_id", F.lit(at).cast("long").alias("updated_at")).distinct()
 
 
 def overlay(messages: DataFrame, live: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def load_deltas(s, d):
 
 
 def batch_capacity(s, d):
-    return M.batch_capacity(table(s, d, "sizing")).select("p_partkey", "target", "max_sequences", "max_tokens", "capacity", "chunk_size", "optional", "skipped", "reject_code")
+    return M.batch_capacity(table(s, d, "sizing")).select("p_partkey", "target", "max_sequences", "max_tokens", "capacity", "chunk_size", "optional", "skipped", "skip_reason", "required_tokens", "reject_code")
 
 
 def pack_batches(s, d):
@@ -287,7 +287,7 @@ ORACLES = {
     "load_deltas": with_ctes(["loads"], "SELECT event_id, pss_after - pss_before AS observed_pss_delta_bytes FROM loads"),
     "batch_capacity": with_ctes(
         ["sizing"],
-        """SELECT p_partkey, target, ms AS max_sequences, mt AS max_tokens, cap AS capacity, least(target, cap, count) AS chunk_size, opt AS optional, cap = 0 OR (opt AND cap < target) AS skipped, CASE WHEN backend_max_parallel_sequences IS NULL THEN 'BATCH_LIMITS_UNAVAILABLE' END AS reject_code
+        """SELECT p_partkey, target, ms AS max_sequences, mt AS max_tokens, cap AS capacity, least(target, cap, count) AS chunk_size, opt AS optional, cap = 0 OR (opt AND cap < target) AS skipped, CASE WHEN cap = 0 OR (opt AND cap < target) THEN CASE WHEN actual_tokens > n_ctx_seq THEN 'input_exceeds_context' WHEN cap = 0 THEN 'no_sequence_fits' ELSE 'target_exceeds_capacity' END END AS skip_reason, target * actual_tokens AS required_tokens, CASE WHEN backend_max_parallel_sequences IS NULL THEN 'BATCH_LIMITS_UNAVAILABLE' END AS reject_code
         FROM (SELECT *, CASE WHEN actual_tokens <= n_ctx_seq THEN least(ms, mt // actual_tokens) ELSE 0 END AS cap FROM (SELECT *, least(target, max_parallel_sequences, coalesce(backend_max_parallel_sequences, 1000)) AS ms, least(4096, n_batch, n_ubatch, n_ctx) AS mt,
           (size = '128' AND target = 50) OR (size = '256' AND target = 20) OR (size = 'near512' AND target = 10) AS opt
           FROM (SELECT *, unnest(CASE size WHEN 'short' THEN [1, 2, 5, 10, 20, 50, 100] WHEN '128' THEN [1, 2, 5, 10, 20, 50] WHEN '256' THEN [1, 2, 5, 10, 20] ELSE [1, 2, 5, 10] END) AS target FROM sizing)))""",

@@ -113,7 +113,7 @@ def search_modes(s, d):
 
 
 def search_summary(s, d):
-    return S.search_summary(*_all(s, d))
+    return S.search_summary(*_all(s, d), FP)
 
 
 def materialize(s, d):
@@ -318,7 +318,9 @@ blocked AS (SELECT DISTINCT query_id FROM chk, retrieval_items i JOIN retrieval_
         RV,
         """SELECT p.query_id, mode AS requested_mode, CASE WHEN error_code IS NULL THEN am END AS actual_mode, CASE WHEN error_code IS NULL THEN why END AS degraded_reason, error_code,
         (SELECT count(*) FROM lx WHERE lx.query_id = p.query_id) AS lexical_candidates, (SELECT count(*) FROM vx WHERE vx.query_id = p.query_id) AS vector_candidates,
-        (SELECT count(*) FROM mg WHERE mg.query_id = p.query_id) AS merged, (SELECT count(*) FROM fin WHERE fin.query_id = p.query_id) AS final, 'fts5_unicode61' AS lexical_backend, 'exact_flat' AS vector_backend
+        (SELECT count(*) FROM mg WHERE mg.query_id = p.query_id) AS merged, (SELECT count(*) FROM fin WHERE fin.query_id = p.query_id) AS final, 'fts5_unicode61' AS lexical_backend, 'exact_flat' AS vector_backend,
+        CASE WHEN error_code IS NULL AND am IN ('vector', 'hybrid') AND trim(text) <> '' THEN 'fp-new' END AS fingerprint, CASE WHEN mode = 'hybrid' THEN coalesce(rrf_k, 60.0)::DOUBLE END AS rrf_k,
+        CASE WHEN mode = 'hybrid' THEN 1.0::DOUBLE END AS weight_lexical, CASE WHEN mode = 'hybrid' THEN 1.0::DOUBLE END AS weight_vector
         FROM pl p WHERE code IS NULL""",
         recursive=True,
         extra=FULL,

@@ -80,8 +80,17 @@ def recover_generations(s, d):
     return _recovered(s, d).select("id", "status", "completed_at", "error", "interrupted")
 
 
+def _interrupted(s, d):
+    stored = table(s, d, "messages").withColumn("error", F.when(F.col("status") == "failed", "stored"))
+    return N.interrupt_messages(stored, _recovered(s, d), AT)
+
+
 def interrupted_messages(s, d):
-    return N.interrupt_messages(table(s, d, "messages"), _recovered(s, d)).select("id", "status")
+    return _interrupted(s, d).select("id", "status", "error", "updated_at")
+
+
+def touched_conversations(s, d):
+    return N.touched_conversations(_interrupted(s, d), AT)
 
 
 def live_overlay(s, d):
@@ -149,7 +158,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         archive_subtree, archive_rejects, active_ancestry, restore_sessions, restore_rejects, build_context, retry_context, titles, recover_generations,
-        interrupted_messages, live_overlay, running_counts, recover_orphans, interrupt_generations, request_ids, error_details, usage_report, turn_report,
+        interrupted_messages, touched_conversations, live_overlay, running_counts, recover_orphans, interrupt_generations, request_ids, error_details, usage_report, turn_report,
         price_report,
     ]
 }
@@ -233,7 +242,14 @@ ORACLES = {
         extra=RECOVERED,
     ),
     "interrupted_messages": with_ctes(
-        ["messages", "generations"], "SELECT id, CASE WHEN id IN (SELECT message_id FROM rec WHERE interrupted) THEN 'interrupted' ELSE status END AS status FROM messages", extra=RECOVERED
+        ["messages", "generations"],
+        f"""SELECT id, CASE WHEN hit THEN 'interrupted' ELSE status END AS status, coalesce(CASE WHEN status = 'failed' THEN 'stored' END, CASE WHEN hit THEN 'Generation was interrupted.' END) AS error,
+        CASE WHEN hit THEN CAST({AT} AS BIGINT) END AS updated_at FROM (SELECT *, id IN (SELECT message_id FROM rec WHERE interrupted) AS hit FROM messages)""",
+        extra=RECOVERED,
+    ),
+    "touched_conversations": with_ctes(
+        ["messages", "generations"],
+        f"SELECT DISTINCT conversation_id, CAST({AT} AS BIGINT) AS updated_at FROM messages WHERE id IN (SELECT message_id FROM rec WHERE interrupted)", extra=RECOVERED,
     ),
     "live_overlay": with_ctes(
         ["messages", "live_states"],

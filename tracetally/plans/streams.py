@@ -80,6 +80,12 @@ def diagnostics_stream(s, d):
     return S.add_up(stream_of(s, d, "diagnostic_events"), S.diagnostics_windows, ["minute_ms", "event", "code"])
 
 
+def recent_diagnostics(s, d):
+    """The last 200 diagnostics of the stream: what its log holds, newest first."""
+    stream = stream_of(s, d, "diagnostic_events")
+    return S.recent(S.settle(stream, None, "append"), ["ts", "event", "code", "duration_ms"]).select(F.unix_micros("ts").alias("at_us"), "event", "code", "duration_ms")
+
+
 def running_gauge_stream(s, d):
     return S.settle(S.running_gauge(stream_of(s, d, "work_events")), ["session_id"])
 
@@ -98,7 +104,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         attempt_timing, attempt_timing_stream, generation_lifecycle, assembled_text, terminal_stream, tool_fold, tool_fold_stream,
-        diagnostics_stream, running_gauge_stream, incremental_index_stream,
+        diagnostics_stream, recent_diagnostics, running_gauge_stream, incremental_index_stream,
     ]
 }
 
@@ -127,6 +133,10 @@ ORACLES = {
         ["diagnostic_events"],
         "SELECT epoch_us(date_trunc('minute', ts)) // 1000 AS minute_ms, event, code, count(*) AS events, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM diagnostic_events GROUP BY 1, 2, 3",
     ),
+    "recent_diagnostics": with_ctes(
+        ["diagnostic_events"],
+        "SELECT epoch_us(ts) AS at_us, event, code, duration_ms FROM diagnostic_events ORDER BY ts DESC, event DESC, code DESC, duration_ms DESC LIMIT 200",
+    ),
     "running_gauge_stream": with_ctes(
         ["work_events"], "SELECT session_id, CAST(sum(CASE type WHEN 'work_started' THEN 1 WHEN 'work_finished' THEN -1 ELSE 0 END) AS BIGINT) AS running FROM work_events GROUP BY 1"
     ),

@@ -169,6 +169,11 @@ def diagnostics_windows(events: DataFrame) -> DataFrame:
     ).select(F.unix_millis("w.start").alias("minute_ms"), "event", "code", "events", "duration_ms")
 
 
+def recent(events: DataFrame, order: list[str], limit: int = 200) -> DataFrame:
+    """The newest events, for display; Spark keeps ``limit`` rows per partition."""
+    return events.orderBy(*[F.desc(c) for c in order]).limit(limit)
+
+
 def running_gauge(events: DataFrame) -> DataFrame:
     """Unfinished work per session."""
     change = F.when(F.col("type") == "work_started", 1).when(F.col("type") == "work_finished", -1).otherwise(0)
