@@ -35,7 +35,9 @@ SIMILARITY = (4, 5)
 SHORTEST = 8
 SLOTS = 1 << 17  # counters of word frequency
 PART = 20_000  # occurrences of a slot from which its words are cut into parts
-NAMED = 3  # candidates that a set names per word in the first pass
+TOGETHER = 100_000  # rows of words that are compared at once
+NAMED = 2  # candidates that a set names per word in the first pass
+WANTED = 500_000  # documents (id and a few line numbers) that are broadcast; more are joined by shuffle
 SET = ["sid", "bits", "n"]
 U = np.uint64
 
@@ -59,9 +61,10 @@ def word_counts(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                h = hashes((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split())
-                total += np.bincount((h & U(slots - 1)).astype(np.int64), minlength=slots)
+            for s in range(0, batch.num_rows, SLICE_ROWS):
+                words = [w for text in batch.column("text").slice(s, SLICE_ROWS).to_pylist() for w in text.encode("utf-8", "surrogatepass").lower().split()]
+                used, n = np.unique((hashes(words) & U(slots - 1)).astype(np.int32), return_counts=True)
+                total[used] += n
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
 
@@ -75,89 +78,80 @@ def prefix_length(n: np.ndarray, t: tuple[int, int] = SIMILARITY) -> np.ndarray:
     return n + (-t[0] * n) // t[1] + 1  # n - ceil(t * n) + 1
 
 
-def slice_sets(lines: list[list[bytes]], counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Word hashes of many lines, each line's ones different and by rarity: line, hash, place, then per line n, sid, bits."""
-    sizes = np.array([len(x) for x in lines], np.int64)
+def slice_sets(lines: list[set[bytes]]) -> tuple[np.ndarray, ...]:
+    """Word hashes of many sets with the line each belongs to, and n, sid, bits per line."""
+    n = np.array([len(x) for x in lines], np.int64)
     h = hashes([w for x in lines for w in x])
-    line = np.repeat(np.arange(len(lines)), sizes)
-    order = np.lexsort((h, counts[(h & U(len(counts) - 1)).astype(np.int64)], line))
-    h, line = h[order], line[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])  # equal words have equal counts and stand together
-    h, line = h[fresh], line[fresh]
-    n = np.bincount(line, minlength=len(lines))
-    start = np.concatenate(([0], np.cumsum(n)[:-1]))
-    place = np.arange(len(h)) - start[line]
-    has = n > 0
-    sid, bits = np.zeros(len(lines), U), np.zeros(len(lines), U)
-    if len(h):
-        sid[has] = np.add.reduceat(mixed(h), start[has])
-        bits[has] = np.bitwise_xor.reduceat(U(1) << (h >> U(58)), start[has])
-    return line, h, place, n, sid, bits
-
-
-def line_sets(docs: DataFrame, counts: np.ndarray, shortest: int, t: tuple[int, int] = SIMILARITY, part: int = PART) -> DataFrame:
-    """doc_id, line_no, sid, bits, n of every line with enough words; keys and places of the prefix words.
-
-    Prefix words are written once per set and task, with the smallest id seen so far.
+    start = np.cumsum(n) - n
+    sid = np.add.reduceat(mixed(h), start)
+    bits = np.bitwise_xor.reduceat(U(1) << (h >> U(58)), start)
+    return np.repeat(np.arange(len(lines)), n), h, n, sid, bits
+
+
+def by_rarity(line: np.ndarray, h: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each line with the rarest word first, and their places; equal counts are ordered by hash."""
+    rarity = line * (int(counts.max(initial=0)) + 1) + counts[(h & U(len(counts) - 1)).astype(np.int64)]
+    return h[np.lexsort((h, rarity))], np.arange(len(h)) - (np.cumsum(n) - n)[line]
+
+
+def sliced_sets(batches: Iterator[pa.RecordBatch], shortest: int):
+    """Few rows at a time: ids, rows and numbers of the lines with enough different words, and what ``slice_sets`` says of them."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, SLICE_ROWS):
+            piece = batch.slice(s, SLICE_ROWS)
+            row, no, lines = [], [], []
+            for d, text in enumerate(piece.column("text").to_pylist()):
+                for i, words in enumerate(line_words(text)):
+                    if len(words) >= shortest and len(words := set(words)) >= shortest:
+                        row.append(d)
+                        no.append(i)
+                        lines.append(words)
+            if lines:
+                yield piece.column("doc_id"), np.array(row), np.array(no, np.int32), slice_sets(lines)
+
+
+def line_sets(docs: DataFrame, shortest: int) -> DataFrame:
+    """doc_id, line_no, sid, bits, n of every line with enough different words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, row, no, (_, _, n, sid, bits) in sliced_sets(batches, shortest):
+            cols = [no, sid.view(np.int64), bits.view(np.int64), n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *map(pa.array, cols)], names=["doc_id", "line_no", *SET])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, sid long, bits long, n int")
+
+
+def prefix_words(docs: DataFrame, counts: np.ndarray, shortest: int, t: tuple[int, int] = SIMILARITY, part: int = PART) -> DataFrame:
+    """key, SET, place, doc_id, line_no for every prefix word of a set.
+
+    A set is written once per task, and again for a smaller id than before.
     """
-    kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, object] = {}
-        for batch in batches:
-            for s in range(0, batch.num_rows, SLICE_ROWS):
-                piece = batch.slice(s, SLICE_ROWS)
-                ids, where, lines = piece.column("doc_id").to_pylist(), [], []
-                for d, text in enumerate(piece.column("text").to_pylist()):
-                    for no, words in enumerate(line_words(text)):
-                        if len(words) >= shortest:
-                            where.append((d, no))
-                            lines.append(words)
-                if not lines:
-                    continue
-                line, h, place, n, sid, bits = slice_sets(lines, counts)
-                inside = place < prefix_length(n, t)[line]
-                first = np.searchsorted(line[inside], np.arange(len(lines) + 1))
-                words, spots = h[inside], place[inside]
-                parts = counts[(words & U(len(counts) - 1)).astype(np.int64)] // part + 1
-                out = []
-                for i, (d, no) in enumerate(where):
-                    if n[i] < shortest:
-                        continue
-                    key, keys, places = (int(sid[i]), int(bits[i])), None, None
-                    if key not in seen or (ids[d] is not None and (seen[key] is None or ids[d] < seen[key])):
-                        if len(seen) > 300_000:
-                            seen.clear()
-                        seen[key] = ids[d]
-                        a, b = first[i], first[i + 1]
-                        keys, places = words[a:b], spots[a:b]
-                        if (parts[a:b] > 1).any():
-                            keys, places = cut_words(keys, places, parts[a:b], sid[i])
-                        keys, places = keys.view(np.int64), places.astype(np.int32)
-                    out.append((ids[d], no, sid[i], bits[i], int(n[i]), keys, places))
-                if out:
-                    c = list(zip(*out))
-                    u64 = lambda x: pa.array(np.array(x, U).view(np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[0], piece.column("doc_id").type), pa.array(c[1], pa.int32()), u64(c[2]), u64(c[3]), pa.array(c[4], pa.int32()),
-                         pa.array(c[5], pa.list_(pa.int64())), pa.array(c[6], pa.list_(pa.int32()))],
-                        names=["doc_id", "line_no", "sid", "bits", "n", "keys", "places"],
-                    )
-
-    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, line_no int, sid long, bits long, n int, keys array<long>, places array<int>")
-
-
-def cut_words(words: np.ndarray, places: np.ndarray, parts: np.ndarray, sid: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """A word cut into P parts becomes one key per pair of its own part with any part."""
-    keys, spots = [], []
-    for w, s, p in zip(words, places, parts):
-        own, p = int(sid) % int(p), int(p)
-        for other in range(p):
-            pair = U(min(own, other) * p + max(own, other) + 1) if p > 1 else U(0)
-            keys.append(mixed(np.array([w + pair], U))[0] if p > 1 else w)
-            spots.append(s)
-    return np.array(keys, U), np.array(spots)
+        seen: dict[tuple[int, int], object] = {}
+        for ids, row, no, (line, h, n, sid, bits) in sliced_sets(batches, shortest):
+            h, place = by_rarity(line, h, n, counts)
+            fresh, names = np.zeros(len(n), bool), ids.to_pylist()
+            for i, key in enumerate(zip(sid.tolist(), bits.tolist())):
+                new = names[row[i]]
+                if key not in seen or (new is not None and (seen[key] is None or new < seen[key])):
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen[key], fresh[i] = new, True
+            inside = fresh[line] & (place < prefix_length(n, t)[line])
+            line, words, spots = line[inside], h[inside], place[inside]
+            cuts = counts[(words & U(len(counts) - 1)).astype(np.int64)] // part + 1
+            own = (sid[line] % cuts.astype(U)).astype(np.int64)
+            # a word cut into P parts has one key for each pair of its own part with any part
+            times = np.repeat(np.arange(len(words)), cuts)
+            other = np.arange(len(times)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            line, words, spots, cuts, own = line[times], words[times], spots[times], cuts[times], own[times]
+            pair = (np.minimum(own, other) * cuts + np.maximum(own, other) + 1).astype(U)
+            key = np.where(cuts > 1, mixed(words + pair), words)
+            cols = [key.view(np.int64), sid[line].view(np.int64), bits[line].view(np.int64), n[line].astype(np.int32), spots.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), ids.take(pa.array(row[line])), pa.array(no[line])], names=["key", *SET, "place", "doc_id", "line_no"])
+
+    return docs.mapInArrow(run, f"key long, sid long, bits long, n int, place int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int")
 
 
 def group_candidates(group: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, active: np.ndarray, named: int | None, t: tuple[int, int] = SIMILARITY):
@@ -190,96 +184,129 @@ def group_candidates(group: np.ndarray, n: np.ndarray, place: np.ndarray, bits:
     return np.concatenate(left or [none]), np.concatenate(right or [none]), more
 
 
+PLACE = ["doc_id", "line_no"]
+
+
+def side(s: str) -> list[str]:
+    return [f"{s}_{c}" for c in [*SET, *PLACE]]
+
+
 def candidates(postings: DataFrame, named: int | None, t: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Pairs of sets (l_sid, l_bits, l_n later, r_... earlier) that pass the filters; r_ is null where a set had more.
+    """Pairs of sets (l_ later, r_ earlier, each with SET and the place of its first line) that pass the filters.
 
-    postings: key, SET, place, age (sortable position of a set's first line) and active.
+    Where a set had more candidates, r_n is null and key tells under which word. All lines of a set
+    stand under the same words, so the first of them in a group is the first of all.
+    postings: key, SET, place, doc_id, line_no and active.
     """
-    ordered = postings.repartition("key").sortWithinPartitions("key", "age", "sid", "bits")
-    cols = ["key", *SET, "place", "active"]
-    names = [f"{s}_{c}" for s in "lr" for c in SET]
+    ordered = postings.repartition("key").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "line_no", "sid", "bits")
+    cols = ["key", *SET, "place", "active", "line_no"]
+    names = ["key", *side("l"), *side("r")]
+    kind = postings.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def solve(c):
-            key, sid, bits, n, place, active = c
+        held, waiting = [], 0
+
+        def solve(c, ids):
+            order = np.lexsort((c[2], c[1], c[0]))  # stable, so the oldest line of a set stays in front
+            again = np.zeros(len(order), bool)
+            again[1:] = np.all([x[order][1:] == x[order][:-1] for x in c[:3]], axis=0)
+            first = np.sort(order[~again])
+            key, sid, bits, n, place, active, no = (x[first] for x in c)
             i, j, more = group_candidates(key, n.astype(np.int64), place.astype(np.int64), bits.view(U), active.astype(bool), named, t)
-            differs = (sid[i] != sid[j]) | (bits[i] != bits[j])
-            i, j, m = i[differs], j[differs], np.nonzero(more)[0]
-            left = np.concatenate([i, m])
+            m = np.nonzero(more)[0]
+            left, right = np.concatenate([i, m]), np.concatenate([j, m])
             gone = np.concatenate([np.zeros(len(i), bool), np.ones(len(m), bool)])
-            right = np.concatenate([j, m])
             if len(left):
-                arrays = [pa.array(x[left]) for x in (sid, bits, n)] + [pa.array(x[right], mask=gone) for x in (sid, bits, n)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                sets = [[pa.array(x[k]) for x in (sid, bits, n)] + [ids.take(pa.array(first[k])), pa.array(no[k])] for k in (left, right)]
+                sets[1][2] = pa.array(n[right], mask=gone)
+                yield pa.RecordBatch.from_arrays([pa.array(key[left], mask=~gone), *sets[0], *sets[1]], names=names)
+
+        def gathered():
+            return [np.concatenate(x) for x in zip(*[c for c, _ in held])], pa.concat_arrays([x for _, x in held])
 
         for batch in batches:
-            c = [batch.column(x).to_numpy(zero_copy_only=False) for x in cols]
-            if not len(c[0]):
+            held.append(([batch.column(x).to_numpy(zero_copy_only=False) for x in cols], batch.column("doc_id")))
+            waiting += batch.num_rows
+            if waiting < TOGETHER:
                 continue
-            if held is not None:
-                c = [np.concatenate(x) for x in zip(held, c)]
+            c, ids = gathered()
             whole = int(np.searchsorted(c[0], c[0][-1]))  # the last group may go on
-            held = [x[whole:] for x in c]
+            held, waiting = [([x[whole:] for x in c], ids[whole:])], len(ids) - whole
             if whole:
-                yield from solve([x[:whole] for x in c])
-        if held is not None:
-            yield from solve(held)
+                yield from solve([x[:whole] for x in c], ids[:whole])
+        if waiting:
+            yield from solve(*gathered())
 
-    return ordered.select(*cols).mapInArrow(run, ", ".join(f"{x} {'int' if x[2:] == 'n' else 'long'}" for x in names))
+    types = {"n": "int", "line_no": "int", "doc_id": kind}
+    return ordered.select(*cols, "doc_id").mapInArrow(run, "key long, " + ", ".join(f"{x} {types.get(x[2:], 'long')}" for x in names[1:]))
 
 
 def word_arrays(docs: DataFrame, wanted: DataFrame, shortest: int) -> DataFrame:
-    """SET and word hashes of the wanted sets, read from the documents that hold their first lines."""
+    """SET and word hashes of the wanted sets, read from the documents that hold their first lines (at_doc, at_line)."""
     ids = wanted.groupBy("at_doc").agg(F.collect_set("at_line").alias("at_lines"))
-    held = docs.join(maybe_broadcast(ids, fits(ids, 50_000)), F.col("doc_id").eqNullSafe(F.col("at_doc"))).select("text", "at_lines")
+    held = docs.join(maybe_broadcast(ids, fits(ids, WANTED)), F.col("doc_id").eqNullSafe(F.col("at_doc"))).select("text", "at_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = np.zeros(1, np.int64)
         for batch in batches:
             for text, picked in zip(batch.column("text"), batch.column("at_lines")):
                 every = line_words(text.as_py())
-                lines = [every[i] for i in picked.as_py() if i < len(every) and len(every[i]) >= shortest]
+                lines = [x for i in picked.as_py() if i < len(every) and len(x := set(every[i])) >= shortest]
                 if not lines:
                     continue
-                line, h, _, n, sid, bits = slice_sets(lines, flat)
-                cuts = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-                words = pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64)))
+                _, h, n, sid, bits = slice_sets(lines)
+                words = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(sid.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(n.astype(np.int32)), words], names=[*SET, "words"])
 
-    return held.mapInArrow(run, "sid long, bits long, n int, words array<long>").dropDuplicates(SET)
+    return held.mapInArrow(run, "sid long, bits long, n int, words array<long>")
 
 
-def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, shortest: int, t: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The later sets of those pairs whose Jaccard similarity is at least t."""
-    sides = [pairs.select(*[F.col(f"{s}_{c}").alias(c) for c in SET]) for s in "lr"]
-    wanted = firsts.join(sides[0].union(sides[1]).distinct(), SET, "left_semi").select(F.col("age.doc_id").alias("at_doc"), F.col("age.line_no").alias("at_line"))
-    words = stored(word_arrays(docs, wanted, shortest))
+def similar_pairs(pairs: DataFrame, words: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The left sets of those pairs whose Jaccard similarity is at least t."""
     for s in "lr":
         pairs = pairs.join(words.select(*[F.col(c).alias(f"{s}_{c}") for c in SET], F.col("words").alias(f"{s}_words")), [f"{s}_{c}" for c in SET])
     shared = F.size(F.array_intersect("l_words", "r_words"))
-    return pairs.filter(t[1] * shared >= t[0] * (F.col("l_n") + F.col("r_n") - shared)).select(*[F.col(f"l_{c}").alias(c) for c in SET]).distinct()
+    same = t[1] * shared >= t[0] * (F.col("l_n") + F.col("r_n") - shared)
+    return pairs.filter(same).select(*[F.col(f"l_{c}").alias(c) for c in SET]).distinct()
+
+
+def verified(named: DataFrame, docs: DataFrame, shortest: int, t: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The left sets that are similar enough to a right set of theirs.
+
+    Whole sets are moved for one pair of each left set first, the one with most words in common so
+    far; the other pairs only follow for left sets that this one did not settle.
+    """
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        ends = F.array(*[F.struct(F.col(f"{s}_doc_id").alias("at_doc"), F.col(f"{s}_line_no").alias("at_line")) for s in "lr"])
+        words = stored(word_arrays(docs, pairs.select(F.explode(ends).alias("e")).select("e.*"), shortest))
+        return similar_pairs(pairs.select(*[f"{s}_{c}" for s in "lr" for c in SET]), words, t)
+
+    left = [f"l_{c}" for c in SET]
+    pairs = stored(named.groupBy(*side("l"), *side("r")).agg(F.count(F.lit(1)).alias("votes")))
+    best = pairs.groupBy(*side("l")).agg(F.max(F.struct("votes", *side("r"))).alias("r")).select(*side("l"), *[F.col(f"r.{c}") for c in side("r")])
+    settled = stored(settle(best))
+    rest = stored(pairs.drop("votes").join(settled.select(*[F.col(c).alias(f"l_{c}") for c in SET]), left, "left_anti"))
+    return settled.union(settle(rest)).distinct()
 
 
 def removed_lines(docs: DataFrame, shortest: int = SHORTEST, t: tuple[int, int] = SIMILARITY, part: int = PART, named: int = NAMED, slots: int = SLOTS) -> DataFrame:
     """doc_id and line_no (from 0) of all lines that an earlier line makes superfluous."""
     counts = word_counts(docs, slots)
-    lines = stored(line_sets(docs, counts, shortest, t, part))
+    lines = stored(line_sets(docs, shortest))
     age = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
-    firsts = stored(lines.groupBy(*SET).agg(F.min(age).alias("age"), F.count(F.lit(1)).alias("lines")))
-    heads = lines.filter("keys IS NOT NULL").join(firsts, SET).filter(age == F.col("age"))
-    postings = heads.select(*SET, "age", "places", F.posexplode("keys").alias("i", "key")).withColumn("place", F.element_at("places", F.col("i") + 1)).drop("places", "i")
-    named_pairs = stored(candidates(postings.withColumn("active", F.lit(True)), named, t).distinct())
-    similar = stored(verified(named_pairs.filter("r_n IS NOT NULL"), firsts, docs, shortest, t))
-    more = named_pairs.filter("r_n IS NULL").select(*[F.col(f"l_{c}").alias(c) for c in SET]).join(similar, SET, "left_anti").withColumn("open", F.lit(True))
+    postings = prefix_words(docs, counts, shortest, t, part)
+    named_pairs = stored(candidates(postings.withColumn("active", F.lit(True)), named, t))
+    similar = stored(verified(named_pairs.filter("r_n IS NOT NULL"), docs, shortest, t))
+    more = named_pairs.filter("r_n IS NULL").select(*[F.col(f"l_{c}").alias(c) for c in SET], "key")
+    more = stored(more.distinct().join(similar, SET, "left_anti").withColumn("open", F.lit(True)))
     if not more.isEmpty():
-        marked = postings.join(more, SET, "left").withColumn("active", F.coalesce("open", F.lit(False)))
-        similar = similar.union(verified(stored(candidates(marked, None, t).distinct()), firsts, docs, shortest, t)).distinct()
-    marked = firsts.filter("lines > 1").select(*SET, "age").withColumn("all", F.lit(False)).join(similar, SET, "left_anti").unionByName(
-        firsts.join(similar, SET, "left_semi").select(*SET, "age", F.lit(True).alias("all"))
-    )
-    later = lines.select("doc_id", "line_no", *SET).join(marked, SET).filter(F.col("all") | (age > F.col("age")))
+        keys = more.select("key").distinct()
+        under = postings.join(maybe_broadcast(keys, fits(keys, WANTED)), "key", "left_semi")
+        marked = under.join(more, ["key", *SET], "left").withColumn("active", F.coalesce("open", F.lit(False)))
+        similar = stored(similar.union(verified(candidates(marked, None, t), docs, shortest, t)).distinct())
+    firsts = lines.groupBy(*SET).agg(F.min(age).alias("age"), F.count(F.lit(1)).alias("lines"))
+    repeated = firsts.join(similar.withColumn("all", F.lit(True)), SET, "left").withColumn("all", F.coalesce("all", F.lit(False))).filter("all OR lines > 1")
+    later = lines.join(repeated.select(*SET, F.col("age").alias("first"), "all"), SET).filter(F.col("all") | (age > F.col("first")))
     return later.select("doc_id", "line_no").distinct()
 
 
@@ -302,6 +329,6 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """All rows and columns, the text without removed lines; a text that loses none is not changed."""
     gone = removed_lines(texts(docs, id_col, text_col), **settings)
     gone = stored(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("__removed")).withColumnRenamed("doc_id", "__doc"))
-    joined = docs.join(maybe_broadcast(gone, fits(gone, 50_000)), F.col(id_col).eqNullSafe(F.col("__doc")), "left")
+    joined = docs.join(maybe_broadcast(gone, fits(gone, WANTED)), F.col(id_col).eqNullSafe(F.col("__doc")), "left")
     text = without_lines(F.col(text_col), F.coalesce("__removed", F.array().cast("array<int>")))
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
