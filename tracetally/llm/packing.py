@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from .common import per_row, stored, texts
 
 SIZE = 2048
 CLOSING = (0).to_bytes(4, "little")
-CACHE = 400_000  # encoded words of one generation; two are kept
+CACHE = 120_000  # words that are remembered, and their letters in each of two generations
 LONG_WORD = 48  # longer words are encoded anew each time
 RANKED = 20_000  # pieces of one length that are numbered together, on average
 SPREAD = 10_000  # slots that one planned row expands to at a time
@@ -36,40 +37,63 @@ class WordEncoder:
     """Ids of a text, as bytes, from the ids of its words.
 
     This vocabulary's tokenizer turns white space into single spaces and never joins characters across
-    them, so words between spaces or line ends can be encoded one by one and remembered.
+    them, so words between spaces or line ends can be encoded one by one and remembered. It also never
+    joins letters with a final point or comma and reads letters in lower case, so such words share
+    the ids of their letters.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.young: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.letters = tokenizer.encode_batch_fast, tokenizer.model.tokenize
+        self.words: dict[str, bytes] = {}  # as they stand in texts
+        self.young: dict[str, bytes] = {}  # letters, and words of other characters
         self.old: dict[str, bytes] = {}
+        self.tails = {c: self._fresh([c])[c] for c in ".,"}
 
     def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        found = self.encode(words, add_special_tokens=False)
-        return {w: b"".join(i.to_bytes(4, "little") for i in e.ids) for w, e in zip(words, found)}
+        """Lower-case ASCII letters reach the tokenizer's model as they are; all else goes through the whole tokenizer."""
+        plain = [w for w in words if w.isascii() and w.isalpha() and w.islower()]
+        other = [w for w in words if not (w.isascii() and w.isalpha() and w.islower())]
+        out = {w: array("I", [t.id for t in self.letters(w)]).tobytes() for w in plain}
+        found = self.encode(other, add_special_tokens=False)
+        out.update((w, array("I", e.ids).tobytes()) for w, e in zip(other, found))
+        return out
+
+    @staticmethod
+    def _stem(word: str) -> tuple[str, str]:
+        body, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
+        if not body.isalpha():
+            return word, ""
+        return (body.lower() if body.isascii() else body), tail
+
+    def _ids(self, words: list[str]) -> dict[str, bytes]:
+        stems = {w: self._stem(w) for w in words}
+        wanted = {s for s, _ in stems.values()}
+        known = {s: v for s in wanted if (v := self.young.get(s) or self.old.get(s)) is not None}
+        fresh = self._fresh([s for s in wanted if s not in known])
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        known.update(fresh)
+        self.young.update((s, v) for s, v in known.items() if len(s) <= LONG_WORD)
+        return {w: known[s] + self.tails[t] if t else known[s] for w, (s, t) in stems.items()}
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        known, old = self.young, self.old
+        if len(self.words) > CACHE:
+            self.words = {}
+        known = self.words
         missing = [w for w in set(words) if w not in known]
-        unknown = []
-        for w in missing:
-            if w in old:
-                known[w] = old[w]
-            else:
-                unknown.append(w)
-        if not unknown:
+        if not missing:
             return b"".join(map(known.__getitem__, words))
-        fresh = self._fresh(unknown)
-        known.update((w, v) for w, v in fresh.items() if len(w) <= LONG_WORD)
-        if len(fresh) and max(map(len, unknown)) > LONG_WORD:
-            return b"".join([fresh[w] if w in fresh else known[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+        fresh = self._ids(missing)
+        known.update(fresh)
+        ids = b"".join(map(known.__getitem__, words))
+        for w in [w for w in fresh if len(w) > LONG_WORD]:
+            del known[w]
+        return ids
 
 
 _encoders: dict[str, WordEncoder] = {}
