@@ -12,8 +12,11 @@ earliest few candidates per word. Sets that none of those verifies and that had
 all of them in a second pass, so nothing is left out. Words of hot slots are cut into parts that
 meet pairwise, each pair of parts in a task of its own.
 
-Defined results: null text counts as empty; lines with fewer than ``shortest`` different words are
-never removed; rows that repeat an id hold the same positions, so neither is later than the other;
+Every line that is not blank takes part. Sets too small to be similar to any other set (below four
+words at 0.8) only meet equal ones, which needs the grouping by set and no words.
+
+Defined results: null text counts as empty; blank lines are never removed, nor are lines with fewer
+than ``shortest`` different words where a caller sets that bound; rows that repeat an id hold the same positions, so neither is later than the other;
 null ids come after all others. An empty table gives an empty result; other columns are kept as
 they are.
 """
@@ -32,7 +35,8 @@ from ..functions.sizing import fits, maybe_broadcast
 from .common import SLICE_ROWS, stored, texts
 
 SIMILARITY = (4, 5)
-SHORTEST = 8
+SHORTEST = 1  # different words of a line that takes part: every line but blank ones
+BOUND = 8  # the bound of line_report and drop_repeated_lines where the caller names none
 SLOTS = 1 << 17  # counters of word frequency
 PART = 20_000  # occurrences of a slot from which its words are cut into parts
 TOGETHER = 100_000  # rows of words that are compared at once
@@ -96,6 +100,7 @@ def by_rarity(line: np.ndarray, h: np.ndarray, n: np.ndarray, counts: np.ndarray
 
 def sliced_sets(batches: Iterator[pa.RecordBatch], shortest: int):
     """Few rows at a time: ids, rows and numbers of the lines with enough different words, and what ``slice_sets`` says of them."""
+    shortest = max(shortest, 1)
     for batch in batches:
         for s in range(0, batch.num_rows, SLICE_ROWS):
             piece = batch.slice(s, SLICE_ROWS)
@@ -122,7 +127,7 @@ def line_sets(docs: DataFrame, shortest: int) -> DataFrame:
 
 
 def prefix_words(docs: DataFrame, counts: np.ndarray, shortest: int, t: tuple[int, int] = SIMILARITY, part: int = PART) -> DataFrame:
-    """key, SET, place, doc_id, line_no for every prefix word of a set.
+    """key, SET, place, doc_id, line_no for every prefix word of a set that can be similar to another one.
 
     A set is written once per task, and again for a smaller id than before.
     """
@@ -132,7 +137,10 @@ def prefix_words(docs: DataFrame, counts: np.ndarray, shortest: int, t: tuple[in
         for ids, row, no, (line, h, n, sid, bits) in sliced_sets(batches, shortest):
             h, place = by_rarity(line, h, n, counts)
             fresh, names = np.zeros(len(n), bool), ids.to_pylist()
+            meets = (t[1] * n >= t[0] * (n + 1)).tolist()  # sets of n and n + 1 words can reach t
             for i, key in enumerate(zip(sid.tolist(), bits.tolist())):
+                if not meets[i]:
+                    continue
                 new = names[row[i]]
                 if key not in seen or (new is not None and (seen[key] is None or new < seen[key])):
                     if len(seen) > 100_000:
@@ -310,10 +318,10 @@ def removed_lines(docs: DataFrame, shortest: int = SHORTEST, t: tuple[int, int]
     return later.select("doc_id", "line_no").distinct()
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = BOUND, **settings) -> DataFrame:
     """doc_id, n_lines and the removed line numbers (sorted) of every row."""
     rows = texts(docs, id_col, text_col)
-    gone = removed_lines(rows, **settings).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed")).withColumnRenamed("doc_id", "d")
+    gone = removed_lines(rows, shortest, **settings).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed")).withColumnRenamed("doc_id", "d")
     slim = rows.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
     joined = slim.join(gone, F.col("doc_id").eqNullSafe(F.col("d")), "left")
     return joined.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
@@ -325,9 +333,9 @@ def without_lines(text: Column, removed: Column) -> Column:
     return F.when(F.size(removed) > 0, F.array_join(kept, "\n")).otherwise(text)
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = BOUND, **settings) -> DataFrame:
     """All rows and columns, the text without removed lines; a text that loses none is not changed."""
-    gone = removed_lines(texts(docs, id_col, text_col), **settings)
+    gone = removed_lines(texts(docs, id_col, text_col), shortest, **settings)
     gone = stored(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("__removed")).withColumnRenamed("doc_id", "__doc"))
     joined = docs.join(maybe_broadcast(gone, fits(gone, WANTED)), F.col(id_col).eqNullSafe(F.col("__doc")), "left")
     text = without_lines(F.col(text_col), F.coalesce("__removed", F.array().cast("array<int>")))

@@ -48,7 +48,7 @@ def op5_decontamination(s, d):
 
 def op6_line_dedup(s, d):
     """One row per document: how many lines it has, and which an earlier line makes superfluous."""
-    report = line_dedup.line_report(table(s, d, "documents"))
+    report = line_dedup.line_report(table(s, d, "documents"), shortest=line_dedup.SHORTEST)
     return report.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
 
 
