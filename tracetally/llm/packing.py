@@ -38,8 +38,9 @@ class WordEncoder:
 
     This vocabulary's tokenizer turns white space into single spaces and never joins characters across
     them, so words between spaces or line ends can be encoded one by one and remembered. It also never
-    joins letters with a final point or comma and reads letters in lower case, so such words share
-    the ids of their letters.
+    joins ASCII letters with a final point or comma and reads them in lower case, so such words share
+    the ids of their letters. Other letters may end in a mark once lower-cased or composed, which
+    does join what follows; words with such letters are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -65,9 +66,7 @@ class WordEncoder:
     @staticmethod
     def _stem(word: str) -> tuple[str, str]:
         body, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
-        if not body.isalpha():
-            return word, ""
-        return (body.lower() if body.isascii() else body), tail
+        return (body.lower(), tail) if body.isascii() and body.isalpha() else (word, "")
 
     def _ids(self, words: list[str]) -> dict[str, bytes]:
         stems = {w: self._stem(w) for w in words}
