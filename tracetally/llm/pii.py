@@ -182,7 +182,8 @@ class Chained(Rewritten):
         return self.before.source(self._one(start)[0], self._one(end - 1)[1])
 
 
-HINT = re.compile(r"(?ai)[\[({<]\x20*(?:at|dot|@|\.|arroba|punto|point|punkt)\x20*[\])}>]|\x20dot\x20|\b(?:zero|one|two|three|four|five|six|seven|eight|nine)[\x20,-]")
+# every text that one of the transducers below can change has a match
+HINT = re.compile(r"(?ai)[\[({<]\x20*(?:at|dot|@|\.|arroba|punto|point|punkt)\x20*[\])}>]|\x20dot\x20|(?<![a-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\x20,-]|(?<![a-z])plus\x20[0-9]")
 
 
 def hidden_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
