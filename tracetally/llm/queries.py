@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontam, exact_dedup, line_dedup, packing, pii, quality, secret_scan, simhash, warc
+from . import chat, decontam, exact_dedup, line_dedup, packing, pii, pitman_yor, quality, secret_scan, simhash, turn_repair, warc, whitening
 from .common import span_digest, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -96,17 +96,76 @@ def op10_chat_formatting(s, d):
     return chat.format_chats(table(s, d, "conversations"))
 
 
+def op11_pitman_yor(s, d):
+    return pitman_yor.scores(table(s, d, "documents"))
+
+
+def op12_whitening(s, d):
+    white = whitening.whiten(table(s, d, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op13_turn_repair(s, d):
+    return turn_repair.repair(table(s, d, "conversations"), damage=turn_repair.damaged)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_best_fit_packing, op3_simhash, op4_pii, op5_decontamination,
         op6_line_dedup, op7_quality, op8_exact_dedup, op9_warc_revisits, op10_chat_formatting,
+        op11_pitman_yor, op12_whitening, op13_turn_repair,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
 SPACES = r"[\x20\x09-\x0D]"
 
+
+def repair_sql() -> str:
+    """Reference SQL of op13: the least (cost, audit) per state, row after row; a state is one text, cost and audit first."""
+
+    def put(v: str, cost: str, letter: str, line: str = "''", when: str = "true") -> str:
+        at = f"strpos({v}, chr(1))"
+        return f"CASE WHEN {when} THEN printf('%09d', CAST(substr({v}, 1, 9) AS INTEGER) + {cost}) || substr({v}, 10, {at} - 10) || '{letter}' || substr({v}, {at}) || {line} END"
+
+    kept, user, assistant = "chr(10) || role || ':' || text", "chr(10) || 'user:' || text", "chr(10) || 'assistant:' || text"
+    add_user, add_assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    may, late = "NOT gone", "(CASE WHEN cut THEN 3 ELSE 0 END)"
+    before_user = "least(c0, cs, ca)"
+    return rf"""
+WITH RECURSIVE bytes AS (SELECT range AS i FROM range(256)),
+{", ".join(f"b{k + 1} AS (SELECT i, xor(c >> 1, 3988292384 * (c & 1)) AS c FROM (SELECT i, {'i' if k == 0 else 'c'} AS c FROM {'bytes' if k == 0 else f'b{k}'}))" for k in range(8))},
+crc AS (SELECT list(c ORDER BY i) AS lot FROM b8),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS spot FROM conversations),
+lots AS (SELECT n.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(spot, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: xor(c >> 8, lot[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS lot FROM named n, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+  CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN lot = 3 THEN 2 ELSE 1 END)) AS copy FROM lots WHERE lot <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM hurt),
+seen AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+  NOT regexp_matches(text, '[.!?]{SPACES}*$') AS cut, substr(role, 1, 1) AS ini, lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS next_ini FROM placed),
+marked AS (SELECT *, blank OR again AS gone FROM seen),
+w AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, '000000000' || chr(1) AS c0, CAST(NULL AS VARCHAR) AS cs,
+  '000000003I' || chr(1) || {add_user} AS cu, '000000006II' || chr(1) || {add_user} || {add_assistant} AS ca FROM marked
+ UNION ALL
+ SELECT conv_id, pos, c0, cs, cu, least(ca, {put("cu", "3", "I", add_assistant)}) AS ca FROM (
+  SELECT conv_id, pos, c0, cs, least(cu, {put("c0", "3", "I", add_user)}, {put("cs", "3", "I", add_user)}, {put("ca", "3", "I", add_user)}) AS cu, ca FROM (
+   SELECT w.conv_id, m.pos, {put("c0", "4", "D")} AS c0,
+    least({put("cs", "4", "D")}, {put("c0", late, "K", kept, may + " AND ini = 's'")}) AS cs,
+    least({put("cu", "4", "D")}, {put(before_user, late, "K", kept, may + " AND ini = 'u'")}, {put(before_user, "3 + " + late, "R", user, may)}) AS cu,
+    least({put("ca", "4", "D")}, {put("cu", late, "K", kept, may + " AND ini = 'a'")}, {put("cu", "3 + " + late, "R", assistant, may)}) AS ca
+   FROM w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.pos = w.pos + 1))),
+ended AS (SELECT conv_id, least(c0, ca) AS v FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS k FROM w) WHERE k = 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+  count(*) FILTER (NOT gone AND cut) AS truncated, count(*) FILTER (next_ini IS NOT NULL AND ini || next_ini NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+all_ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(substr(v, 1, 9) AS BIGINT), 0) AS cost, coalesce(substr(v, 10, strpos(v, chr(1)) - 10), '') AS audit, sha256(coalesce(substr(v, strpos(v, chr(1)) + 2), '')) AS repaired_sha256
+FROM all_ids i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
+
 ORACLES = {
     "op8_exact_dedup": rf"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '{SPACES}', '', 'g') AS body FROM documents),
@@ -140,4 +199,5 @@ f AS (SELECT p.* FROM p WHERE pos = n_turns AND NOT EXISTS (SELECT 1 FROM b WHER
 k AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS copies FROM f GROUP BY upto, n_turns)
 SELECT k.conv_id, k.n_turns, k.copies, string_agg('<|im_start|>' || role || chr(10) || replace(replace(text, '<|im_', '< |im_'), '|>', '| >') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
 FROM k JOIN t ON t.conv_id = k.conv_id GROUP BY ALL""",
+    "op13_turn_repair": repair_sql(),
 }
