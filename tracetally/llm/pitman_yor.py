@@ -365,35 +365,62 @@ def _cells(key: np.ndarray, shards: int) -> tuple[np.ndarray, list[int]]:
 
 
 KNOWN, ASKED, ROWS = range(3)  # parts of the model come before what asks for them
-MESSAGE = "shard int, kind int, rare boolean, task long, keys binary, first binary, second binary"
+GATHERED = 1_000_000  # rows of the model that are sent together
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Small whole numbers in one, two or four bytes each."""
+    top = int(values.max(initial=0))
+    return values.astype("u1" if top < 2**8 else "u2" if top < 2**16 else "u4").tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers with their first bytes, second bytes, ... side by side, so that leading zeros compress."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _whole(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.int64).reshape(-1)
 
 
 def score(docs: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text)."""
     id_type = docs.schema["doc_id"].dataType
-    arrow_id = to_arrow_type(id_type)
+    arrow_id, id_name = to_arrow_type(id_type), id_type.simpleString()
     small = {k: getattr(model, k) for k in ("tokens", "words", "head", "head_counts", "parent", "customers", "shared", "rare", "shards")}
+    dishes = len(model.head) + 1
+    texts_of_task = [("ids", pa.list_(arrow_id)), ("held", pa.list_(pa.bool_()))]
+    message = [("shard", pa.int32()), ("kind", pa.int32()), ("rare", pa.bool_()), ("task", pa.int64()), ("low", pa.int64()),
+               ("keys", pa.binary()), ("counts", pa.binary()), ("values", pa.binary()), *texts_of_task]
+    sums = [("task", pa.int64()), ("low", pa.int64()), ("n", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary()), *texts_of_task]
+    lists = f"ids array<{id_name}>, held array<boolean>"
 
-    def message(shard, kind, rare, task, keys, first, second, rows=None):
-        return {"shard": shard, "kind": kind, "rare": rare, "task": task, "keys": keys, "first": first, "second": second, "rows": rows}
-
-    names = ["shard", "kind", "rare", "task", "keys", "first", "second", "rows"]
-    row_type = pa.struct([("at", pa.int64()), ("doc_id", arrow_id), ("held", pa.bool_())])
-    types = [pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(row_type)]
-    schema = f"{MESSAGE}, rows array<struct<at:long,doc_id:{id_type.simpleString()},held:boolean>>"
-
-    def batch_of(m: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([m[n]], t) for n, t in zip(names, types)], names=names)
+    def one(fields, **values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([values.get(n)], t) for n, t in fields], names=[n for n, _ in fields])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(**small, discounts=(0, 0), counts=None)
-        task, waiting = TaskContext.get().partitionId(), []
+        task, waiting, listed = TaskContext.get().partitionId(), [], 0
         pairs = _pairs(own.head)()
         head_base = _base(own.head_counts, own.tokens, own.words)
 
-        def seen(part: pa.RecordBatch, first: int) -> None:
-            ids, held = part.column(0), part.column(2).to_pylist()
-            waiting.extend({"at": first + k, "doc_id": i, "held": h} for k, (i, h) in enumerate(zip(ids.to_pylist(), held)))
+        def seen(part: pa.RecordBatch, _: int) -> None:
+            waiting.append((part.column(0).to_pylist(), part.column(2).to_pylist()))
+
+        def rows(low: int, stats: np.ndarray, base: np.ndarray, **lists) -> pa.RecordBatch:
+            return one(message, shard=task % own.shards, kind=ROWS, rare=False, task=task, low=low, counts=stats.tobytes(), values=base.tobytes(), **lists)
+
+        def names() -> Iterator[pa.RecordBatch]:
+            nonlocal listed
+            if waiting:
+                ids, held = [i for a, _ in waiting for i in a], [h for _, b in waiting for h in b]
+                waiting.clear()
+                yield rows(listed, np.zeros(0, np.int64), np.zeros(0), ids=ids, held=held)
+                listed += len(ids)
 
         for hashes, of in _chunks(batches, 1, chunk, seen):
             dish = own.dish(hashes)
@@ -405,85 +432,108 @@ def score(docs: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
                         k, t = key[order[a:b]], text[order[a:b]]
                         begins = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
                         counts = np.diff(np.concatenate((begins, [len(k)])))
-                        yield batch_of(message(s, ASKED, rare, task, k[begins].tobytes(), counts.astype(np.int32).tobytes(), t.astype(np.int32).tobytes()))
-            lo, hi = int(of[0]), int(of[-1]) + 1
-            n = np.bincount(of - lo, minlength=hi - lo)
-            known = np.bincount(of[~hidden] - lo, minlength=hi - lo)
-            base = np.bincount(of[~hidden] - lo, head_base[dish[~hidden]], hi - lo) if len(head_base) else np.zeros(hi - lo)
-            stats = np.stack([n, known]).astype(np.int64)
-            yield batch_of(message(task % own.shards, ROWS, False, task, np.arange(lo, hi).tobytes(), stats.tobytes(), base.tobytes(), waiting))
-            waiting = []
-        if waiting:
-            yield batch_of(message(task % own.shards, ROWS, False, task, b"", b"", b"", waiting))
+                        low = int(t.min())
+                        yield one(message, shard=s, kind=ASKED, rare=rare, task=task, low=low, keys=_planes(k[begins]), counts=_narrow(counts), values=_narrow(t - low))
+            low, n = int(of[0]), int(of[-1] - of[0]) + 1
+            stats = np.stack([np.bincount(of - low, minlength=n), np.bincount(of[~hidden] - low, minlength=n)]).astype(np.int64)
+            base = np.bincount(of[~hidden] - low, head_base[dish[~hidden]], n) if len(head_base) else np.zeros(n)
+            yield rows(low, stats, base)
+            yield from names()
+        yield from names()
 
     def known_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rare, key, c, kept = (col.to_numpy(zero_copy_only=False) for col in batch.columns)
+        held, n = [], 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            rare, key, c, kept = (np.concatenate(col) for col in zip(*held))
             for kind in (False, True):
                 here = np.flatnonzero(rare == kind)
                 order, limits = _cells(key[here], small["shards"])
                 for s, (a, b) in enumerate(zip(limits, limits[1:])):
                     if a < b:
                         rows = here[order[a:b]]
-                        yield batch_of(message(s, KNOWN, kind, 0, key[rows].tobytes(), c[rows].tobytes(), kept[rows].tobytes()))
+                        yield one(message, shard=s, kind=KNOWN, rare=kind, task=0, low=0, keys=_planes(key[rows]), counts=_narrow(c[rows]) if kind else None, values=kept[rows].tobytes())
 
-    out_names = ["task", "at", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    out_types = [pa.int64(), pa.int64(), arrow_id, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-
-    def sums(task: int, at: np.ndarray, n, known, base, value) -> pa.RecordBatch:
-        columns = [np.full(len(at), task), at, None, None, n, known, base, value]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(at), t) if c is None else pa.array(c, t) for c, t in zip(columns, out_types)], names=out_names)
+        for batch in batches:
+            held.append([col.to_numpy(zero_copy_only=False) for col in batch.columns])
+            n += batch.num_rows
+            if n >= GATHERED:
+                yield from dealt()
+                held, n = [], 0
+        if n:
+            yield from dealt()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dishes = len(small["parent"])
         rare_customers, unseen = small["rare"]
-        parts: dict = {}
-        shard = None
-        for row in (r for b in batches for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist()):
-            if row["shard"] != shard:
-                shard, parts, tables = row["shard"], {False: [], True: []}, {}
-            if row["kind"] == KNOWN:
-                parts[row["rare"]].append([np.frombuffer(row[n], t) for n, t in (("keys", np.int64), ("first", np.int64), ("second", np.float64))])
+        shard, parts, table = None, [], None
+        for row in (batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)):
+            here, kind, rare, task, low, keys, counts, values = (row.column(k)[0].as_py() for k in range(8))
+            if kind == ROWS:
+                stats = np.frombuffer(counts, np.int64)
+                half = len(stats) // 2
+                out = one(sums, task=task, low=low, n=stats[:half].tobytes(), known=stats[half:].tobytes(), base=values, score=np.zeros(half).tobytes())
+                yield pa.RecordBatch.from_arrays([*out.columns[:6], row.column(8), row.column(9)], names=out.schema.names)
                 continue
-            if row["kind"] == ROWS:
-                at = np.frombuffer(row["keys"], np.int64)
-                stats, base = np.frombuffer(row["first"], np.int64).reshape(2, -1), np.frombuffer(row["second"], np.float64)
-                yield sums(row["task"], at, stats[0], stats[1], base, np.zeros(len(at)))
-                rows = row["rows"]
-                columns = [[row["task"]] * len(rows), [r["at"] for r in rows], [r["doc_id"] for r in rows], [r["held"] for r in rows]]
-                columns = [pa.array(c, t) for c, t in zip(columns, out_types)] + [pa.array(np.zeros(len(rows)), t) for t in out_types[4:]]
-                yield pa.RecordBatch.from_arrays(columns, names=out_names)
+            if (here, rare) != shard:
+                shard, parts, table = (here, rare), [], None
+            keys = _whole(keys)
+            if kind == KNOWN:
+                parts.append([keys, _wide(counts, len(keys)) if rare else np.zeros(0, np.int64), np.frombuffer(values, np.float64)])
                 continue
-            rare = row["rare"]
-            if rare not in tables:
-                joined = [np.concatenate(c) for c in zip(*parts[rare])] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-                order = np.argsort(joined[0])
-                tables[rare], parts[rare] = [c[order] for c in joined], []
-            keys, c, kept = tables[rare]
-            asked, counts, text = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["first"], np.int32), np.frombuffer(row["second"], np.int32)
-            at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-            found = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
-            c, kept = (np.where(found, x[at], 0) if len(x) else np.zeros(len(asked)) for x in (c, kept))
-            lo, hi = int(text.min()), int(text.max()) + 1
-            present = np.bincount(text - lo, minlength=hi - lo)
-            add = lambda v: np.bincount(text - lo, np.repeat(v, counts), hi - lo)[present > 0]  # noqa: B023, E731
-            here = np.flatnonzero(present)
+            if table is None:
+                table = [np.concatenate(c) for c in zip(*parts)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+                order = np.argsort(table[0])
+                table, parts = [c[order] if len(c) else c for c in table], []
+            counts = _wide(counts, len(keys))
+            text = _wide(values, int(counts.sum()))
+            at = np.minimum(np.searchsorted(table[0], keys), max(0, len(table[0]) - 1))
+            found = table[0][at] == keys if len(table[0]) else np.zeros(len(keys), bool)
+            kept = np.where(found, table[2][at], 0) if len(table[2]) else np.zeros(len(keys))
+            add = lambda v: np.bincount(text, np.repeat(v, counts)).astype(np.float64).tobytes()  # noqa: B023, E731
             if rare:
+                c = np.where(found, table[1][at], 0) if len(table[1]) else np.zeros(len(keys))
+                known = np.bincount(text, np.repeat(found, counts)).astype(np.int64).tobytes()
                 value = np.log10(kept / (THETA + rare_customers) + unseen)
-                yield sums(row["task"], here + lo, np.zeros(len(here), np.int64), add(found).astype(np.int64), add(_base(c, small["tokens"], small["words"])), add(value))
+                yield one(sums, task=task, low=low, known=known, base=add(_base(c, small["tokens"], small["words"])), score=add(value))
             else:
-                before, dish = asked // dishes, asked % dishes
+                before, dish = keys // dishes, keys % dishes
                 value = np.log10(kept / (THETA + small["customers"][before]) + small["shared"][before] * small["parent"][dish])
-                yield sums(row["task"], here + lo, np.zeros(len(here), np.int64), np.zeros(len(here), np.int64), np.zeros(len(here)), add(value))
-
-    asked = docs.select("doc_id", "text", held_out().alias("held")).mapInArrow(ask, schema)
-    stream = asked.unionByName(model.counts.select("rare", "key", "c", "kept").mapInArrow(known_parts, schema))
-    dealt = stream.repartition(model.shards, "shard").sortWithinPartitions("shard", "kind", "rare")
-    kinds = f"task long, at long, doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    parts = dealt.mapInArrow(answer, kinds)
-    total = parts.groupBy("task", "at").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
-    )
+                yield one(sums, task=task, low=low, score=add(value))
+
+    final = [("doc_id", arrow_id), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int64, np.int64, np.float64, np.float64)
+        current, totals, texts_of = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            at = 0
+            for ids, held in texts_of:
+                upto = slice(at, at + len(ids))
+                yield pa.RecordBatch.from_arrays([ids, held, *[pa.array(v[upto]) for v in totals]], names=[n for n, _ in final])
+                at += len(ids)
+
+        for row in (batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)):
+            task, low = row.column(0)[0].as_py(), row.column(1)[0].as_py()
+            if task != current:
+                yield from done()
+                current, totals, texts_of = task, [np.zeros(0, k) for k in kinds], []
+            for k, kind in enumerate(kinds):
+                part = np.frombuffer(row.column(2 + k)[0].as_py() or b"", kind)
+                if len(totals[k]) < low + len(part):
+                    totals[k] = np.concatenate((totals[k], np.zeros(max(low + len(part), 2 * len(totals[k])) - len(totals[k]), kind)))
+                totals[k][low : low + len(part)] += part
+            if row.column(6)[0].is_valid:
+                texts_of.append((row.column(6)[0].values, row.column(7)[0].values))
+        yield from done()
+
+    asked = docs.select("doc_id", "text", held_out().alias("held")).mapInArrow(ask, f"shard int, kind int, rare boolean, task long, low long, keys binary, counts binary, values binary, {lists}")
+    stream = asked.unionByName(model.counts.select("rare", "key", "c", "kept").mapInArrow(known_parts, asked.schema))
+    dealt = stream.repartition(model.shards, "shard").sortWithinPartitions("shard", "rare", "kind")
+    parts = dealt.mapInArrow(answer, f"task long, low long, n binary, known binary, base binary, score binary, {lists}")
+    ordered = parts.repartition("task").sortWithinPartitions("task", F.col("ids").isNull(), "low")  # texts in their order
+    kinds = f"doc_id {id_name}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    total = ordered.mapInArrow(add_up, kinds)
     return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
