@@ -26,7 +26,7 @@ from .common import per_row, stored, texts
 
 SIZE = 2048
 CLOSING = (0).to_bytes(4, "little")
-CACHE = 120_000  # words that are remembered, and their letters in each of two generations
+CACHE = 200_000  # words that are remembered in each of two generations, and as many stems
 LONG_WORD = 48  # longer words are encoded anew each time
 RANKED = 20_000  # pieces of one length that are numbered together, on average
 SPREAD = 10_000  # slots that one planned row expands to at a time
@@ -50,6 +50,7 @@ class WordEncoder:
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.letters = tokenizer.encode_batch_fast, tokenizer.model.tokenize
         self.words: dict[str, bytes] = {}  # as they stand in texts
+        self.words_before: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}  # letters, and words of other characters
         self.old: dict[str, bytes] = {}
         self.tails = {c: self._fresh([c])[c] for c in ".,"}
@@ -82,9 +83,12 @@ class WordEncoder:
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
         if len(self.words) > CACHE:
-            self.words = {}
+            self.words, self.words_before = {}, self.words
         known = self.words
         missing = [w for w in set(words) if w not in known]
+        if missing and self.words_before:
+            known.update((w, v) for w in missing if (v := self.words_before.get(w)) is not None)
+            missing = [w for w in missing if w not in known]
         if not missing:
             return b"".join(map(known.__getitem__, words))
         fresh = self._ids(missing)
