@@ -46,6 +46,27 @@ def per_row(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFra
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of the table has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
+def keep_rows(df: DataFrame, text_col: str, wanted: Callable[[str], bool]) -> DataFrame:
+    """The rows, with all columns, whose text (null: empty) is wanted; few texts at a time are turned into strings."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                mask = pa.array([wanted(t or "") for t in part.column(at).to_pylist()], pa.bool_())
+                yield part.filter(mask)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_types(spark: SparkSession, schema: str) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -8,8 +8,9 @@ its lines' forward-backward marginals weighted by their length; a logistic curve
 sample turns it into a score.
 
 Training reads a bounded sample: at most ``sample`` documents of each label, those with the smallest
-hash of the id, of rows outside the held-out quarter; long ones count with ``train_lines`` lines in
-the field's training. Scoring reads every line of every text.
+hash of the id, of rows outside the held-out quarter. Of these, the field learns from ``train_parts``
+stretches of ``STRETCH`` lines a document, picked by hash over the whole text; the curve is fitted to
+whole texts, of which tasks send one good share each. Scoring reads every line of every text.
 
 Defined results: null text counts as empty; an empty text is one empty line; every row gives one row,
 repeated ones too; labels without document, null labels and null ids are not learnt from; without
@@ -20,14 +21,16 @@ result; other columns are not read.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, texts
+from .common import keep_rows, per_row, texts
 
 FOLDS, HELD_OUT = 4, 2
+STRETCH = 50
 THRESHOLD = 0.7
 
 LETTER_UP, LETTER_LOW, DIGIT, MARK, PIPE, BANG, POINT, OTHER = range(8)
@@ -182,10 +185,17 @@ def _curve(s: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float
     return float(b[0]), float(b[1] - 0.5 * b[0])
 
 
-def fit_lines(sample: list[tuple[np.ndarray, np.ndarray, int]], train_lines: int) -> Field:
-    """The field from (features, lengths, label) of documents."""
-    sample = sorted(sample, key=lambda d: (len(d[0]), d[0].sum()))  # padding stays small; the order of rows has no effect
-    parts = [(x[i : i + 50], y) for x, _, y in sample for i in range(0, min(len(x), train_lines), 50)]
+def stretches(x: np.ndarray, text: str, most: int) -> list[np.ndarray]:
+    """At most so many stretches of a text's lines, picked by hash of text and place over the whole text."""
+    starts = range(0, len(x), STRETCH)
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    picked = sorted(starts, key=lambda a: zlib.crc32(f"{seed}:{a}".encode()))[:most]
+    return [x[a : a + STRETCH] for a in sorted(picked)]
+
+
+def fit_lines(parts: list[tuple[np.ndarray, int]]) -> Field:
+    """The field, still without its curve, from (features, label) of stretches of documents."""
+    parts = sorted(parts, key=lambda d: (len(d[0]), d[0].sum(), d[1]))  # padding stays small; the order of rows has no effect
     x, live = _chains([p for p, _ in parts])
     label = np.repeat(np.array([y for _, y in parts])[:, None], x.shape[1], 1)
     lines = live.sum(1)  # both labels weigh alike, however many lines carry them
@@ -193,16 +203,14 @@ def fit_lines(sample: list[tuple[np.ndarray, np.ndarray, int]], train_lines: int
     w, step = _train(x, live, label, weight)
     alone = x @ w > 0  # bad documents hold good lines, not the other way round
     w, step = _train(x, live, np.where(live & alone, 1, label), weight)
-    field = Field(w, step, 1.0, 0.0)
-    field.slope, field.offset = _curve(np.array([field.share(f, n) for f, n, _ in sample]), np.array([y for *_, y in sample]))
-    return field
+    return Field(w, step, 1.0, 0.0)
 
 
 def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, train_lines: int = 200, id_col: str = "doc_id", text_col: str = "text") -> Field | Constant:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, train_parts: int = 4, id_col: str = "doc_id", text_col: str = "text") -> Field | Constant:
     """Train on rows outside the held-out quarter."""
     docs = texts(docs, id_col, text_col)
     known = labels.select(F.col("doc_id").alias("k"), F.col("quality").cast("int").alias("label")).filter("label IN (0, 1)").filter(remainder(F.col("k")) != HELD_OUT)
@@ -215,16 +223,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, train_lines: int
 
     def make():
         def one(label, text):
-            x, size = line_features(text)
-            return [(label, len(x), x.ravel().tolist(), size.tolist())]
+            x, _ = line_features(text)
+            return [(label, len(part), part.ravel().tolist()) for part in stretches(x, text, train_parts)]
 
         return one
 
-    rows = per_row(rows, make, "label int, n int, x array<double>, size array<long>").collect()
-    sampled = [(np.array(r["x"]).reshape(r["n"], -1), np.array(r["size"]), r["label"]) for r in rows]
-    if len({y for *_, y in sampled}) < 2:
+    sampled = per_row(rows, make, "label int, n int, x array<double>").collect()
+    parts = [(np.array(r["x"]).reshape(r["n"], -1), r["label"]) for r in sampled]
+    if len({y for _, y in parts}) < 2:
         return Constant((shares[1] + 1) / (sum(shares.values()) + 2))
-    return fit_lines(sampled, train_lines)
+    field = fit_lines(parts)
+    found = per_row(rows, lambda: lambda label, text: [(label, field.share(*line_features(text)))], "label int, share double").collect()
+    found = sorted((r["share"], r["label"]) for r in found)
+    field.slope, field.offset = _curve(np.array([s for s, _ in found]), np.array([y for _, y in found]))
+    return field
 
 
 def score(docs: DataFrame, field: Field | Constant, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,10 +250,4 @@ def score(docs: DataFrame, field: Field | Constant, threshold: float = THRESHOLD
 
 def keep_good(docs: DataFrame, field: Field | Constant, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all columns, whose text scores at least ``threshold``; each row is judged by its own text."""
-    from pyspark.sql.pandas.functions import pandas_udf
-
-    def scores(column):
-        return column.fillna("").map(field.score).astype(float)
-
-    judged = pandas_udf(scores, "double")(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.filter(judged >= threshold)
+    return keep_rows(docs, text_col, lambda text: field.score(text) >= threshold)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_row, stored, texts
+from .common import SLICE_ROWS, free_name, per_row, stored, texts
 from .components import components
 
 BLOCKS = 6
@@ -165,19 +165,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
     """One row, with all columns, of every component: the one with the smallest id (null ids last), then fingerprint, then text."""
-    from pyspark.sql.pandas.functions import pandas_udf
-
     marks = stored(fingerprints(texts(docs, id_col, text_col), words))
     first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "fp")
-    stays = component_ids(marks, first, bits, blocks, bucket).select("least.doc_id", "least.fp").distinct().toDF("__keep_id", "__keep_fp")
-
-    def prints(column):
-        return column.map(lambda text: signed(simhash(text, words))).astype("int64")
+    fp, nth, keep_id, keep_fp = (free_name(docs, c) for c in ("__fp", "__nth", "__keep_id", "__keep_fp"))
+    stays = component_ids(marks, first, bits, blocks, bucket).select("least.doc_id", "least.fp").distinct().toDF(keep_id, keep_fp)
+    at = docs.columns.index(text_col)
 
-    rows = docs.withColumn("__fp", pandas_udf(prints, "long")(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = rows.join(stays, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__fp") == F.col("__keep_fp")), "left_semi")
-    one = Window.partitionBy(id_col, "__fp").orderBy(text_col)  # more than one row only where ids repeat
-    return kept.withColumn("__nth", F.row_number().over(one)).filter("__nth = 1").select(*[f"`{c}`" for c in docs.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                prints = [signed(simhash(t or "", words)) for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints, pa.int64())], names=[*part.schema.names, fp])
+
+    rows = docs.mapInArrow(run, docs.withColumn(fp, F.lit(0).cast("long")).schema)
+    kept = rows.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col(keep_id)) & (F.col(fp) == F.col(keep_fp)), "left_semi")
+    one = Window.partitionBy(F.col(f"`{id_col}`"), fp).orderBy(F.col(f"`{text_col}`"))  # more than one row only where ids repeat
+    return kept.withColumn(nth, F.row_number().over(one)).filter(F.col(nth) == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 def hex_fingerprint(col: str = "fp"):
