@@ -66,11 +66,12 @@ def test_dropped_lines_and_report(spark):
     one = "alpha beta gamma delta epsilon zeta eta theta iota"
     rows = [(1, f"{one}\nshort line"), (2, f"intro\n{one.upper()}\nshort line"), (3, None), (3, ""), (4, "keep  spacing \n\n as is ")]
     docs = frame(spark, rows)
-    out = L.drop_repeated_lines(docs)
+    assert (2, "intro") in {(r["doc_id"], r["text"]) for r in L.drop_repeated_lines(docs).collect()}  # every line takes part unless a bound is named
+    out = L.drop_repeated_lines(docs, shortest=8)
     assert out.columns == docs.columns
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
     assert got == sorted([(1, rows[0][1]), (2, "intro\nshort line"), (3, None), (3, ""), (4, rows[4][1])], key=str)
-    report = {(r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in L.line_report(docs).collect()}
+    report = {(r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in L.line_report(docs, shortest=8).collect()}
     assert report == {(1, 2, ()), (2, 3, (1,)), (3, 1, ()), (4, 3, ())}
     assert L.line_report(frame(spark, [])).count() == 0 and L.drop_repeated_lines(frame(spark, [])).count() == 0
 

@@ -9,7 +9,8 @@ whether that one is kept or not.
 
 A dense group of m similar lines must not give m * m pairs: each set first names only its
 earliest few candidates per word. Sets that none of those verifies and that had more candidates name
-all of them in a second pass, so nothing is left out. Words of hot slots are cut into parts that
+eight times as many in a next round, and so on until no set is left that had more; these rounds carry
+more parity bits, so that few pairs but similar ones pass. Words of hot slots are cut into parts that
 meet pairwise, each pair of parts in a task of its own.
 
 Every line that is not blank takes part. Sets too small to be similar to any other set (below four
@@ -32,17 +33,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizing import fits, maybe_broadcast
-from .common import SLICE_ROWS, stored, texts
+from .common import SLICE_ROWS, free_name, stored, texts
 
 SIMILARITY = (4, 5)
 SHORTEST = 1  # different words of a line that takes part: every line but blank ones
-BOUND = 8  # the bound of line_report and drop_repeated_lines where the caller names none
 SLOTS = 1 << 17  # counters of word frequency
 PART = 20_000  # occurrences of a slot from which its words are cut into parts
 TOGETHER = 100_000  # rows of words that are compared at once
 NAMED = 2  # candidates that a set names per word in the first pass
 WANTED = 500_000  # documents (id and a few line numbers) that are broadcast; more are joined by shuffle
 SET = ["sid", "bits", "n"]
+SHIFTS = (52, 46, 40)  # where more parity bits take their place from
+WIDE = ["bits2", "bits3", "bits4"]
+FACTOR = 8  # how many times more candidates a set names in the next round
 U = np.uint64
 
 
@@ -99,7 +102,7 @@ def by_rarity(line: np.ndarray, h: np.ndarray, n: np.ndarray, counts: np.ndarray
 
 
 def sliced_sets(batches: Iterator[pa.RecordBatch], shortest: int):
-    """Few rows at a time: ids, rows and numbers of the lines with enough different words, and what ``slice_sets`` says of them."""
+    """Few rows at a time: the rows, and per line their place in them and numbers of the lines with enough different words, and what ``slice_sets`` says of them."""
     shortest = max(shortest, 1)
     for batch in batches:
         for s in range(0, batch.num_rows, SLICE_ROWS):
@@ -112,29 +115,32 @@ def sliced_sets(batches: Iterator[pa.RecordBatch], shortest: int):
                         no.append(i)
                         lines.append(words)
             if lines:
-                yield piece.column("doc_id"), np.array(row), np.array(no, np.int32), slice_sets(lines)
+                yield piece, np.array(row), np.array(no, np.int32), slice_sets(lines)
 
 
 def line_sets(docs: DataFrame, shortest: int) -> DataFrame:
-    """doc_id, line_no, sid, bits, n of every line with enough different words."""
+    """doc_id, row, line_no, sid, bits, n of every line with enough different words; row tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, row, no, (_, _, n, sid, bits) in sliced_sets(batches, shortest):
+        for piece, row, no, (_, _, n, sid, bits) in sliced_sets(batches, shortest):
             cols = [no, sid.view(np.int64), bits.view(np.int64), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *map(pa.array, cols)], names=["doc_id", "line_no", *SET])
+            yield pa.RecordBatch.from_arrays([piece.column(c).take(pa.array(row)) for c in ("doc_id", "row")] + [*map(pa.array, cols)], names=["doc_id", "row", "line_no", *SET])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, sid long, bits long, n int")
+    return docs.withColumn("row", row_hash("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, line_no int, sid long, bits long, n int")
 
 
-def prefix_words(docs: DataFrame, counts: np.ndarray, shortest: int, t: tuple[int, int] = SIMILARITY, part: int = PART) -> DataFrame:
-    """key, SET, place, doc_id, line_no for every prefix word of a set that can be similar to another one.
+def prefix_words(docs: DataFrame, counts: np.ndarray, shortest: int, t: tuple[int, int] = SIMILARITY, part: int = PART, wide: bool = False) -> DataFrame:
+    """key, SET, place, doc_id, line_no (and more parity bits if wide) for every prefix word of a set that can be similar to another one.
 
     A set is written once per task, and again for a smaller id than before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], object] = {}
-        for ids, row, no, (line, h, n, sid, bits) in sliced_sets(batches, shortest):
+        for piece, row, no, (line, h, n, sid, bits) in sliced_sets(batches, shortest):
+            ids = piece.column("doc_id")
+            start = np.cumsum(n) - n
+            more = [np.bitwise_xor.reduceat(U(1) << ((h >> U(s)) & U(63)), start) for s in SHIFTS] if wide else []
             h, place = by_rarity(line, h, n, counts)
             fresh, names = np.zeros(len(n), bool), ids.to_pylist()
             meets = (t[1] * n >= t[0] * (n + 1)).tolist()  # sets of n and n + 1 words can reach t
@@ -157,12 +163,15 @@ def prefix_words(docs: DataFrame, counts: np.ndarray, shortest: int, t: tuple[in
             pair = (np.minimum(own, other) * cuts + np.maximum(own, other) + 1).astype(U)
             key = np.where(cuts > 1, mixed(words + pair), words)
             cols = [key.view(np.int64), sid[line].view(np.int64), bits[line].view(np.int64), n[line].astype(np.int32), spots.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), ids.take(pa.array(row[line])), pa.array(no[line])], names=["key", *SET, "place", "doc_id", "line_no"])
+            cols += [m[line].view(np.int64) for m in more]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), ids.take(pa.array(row[line])), pa.array(no[line])], names=["key", *SET, "place", *extra, "doc_id", "line_no"])
 
-    return docs.mapInArrow(run, f"key long, sid long, bits long, n int, place int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int")
+    extra = WIDE if wide else []
+    types = "".join(f"{c} long, " for c in extra)
+    return docs.mapInArrow(run, f"key long, sid long, bits long, n int, place int, {types}doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int")
 
 
-def group_candidates(group: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, active: np.ndarray, named: int | None, t: tuple[int, int] = SIMILARITY):
+def group_candidates(group: np.ndarray, n: np.ndarray, place: np.ndarray, parity: list[np.ndarray], active: np.ndarray, named: int, t: tuple[int, int] = SIMILARITY):
     """Index pairs (later, earlier) of rows in one group, rows of a group standing together by age; and which rows had more.
 
     Rows are compared with the oldest of their group, then the next, until they have ``named`` candidates.
@@ -177,13 +186,13 @@ def group_candidates(group: np.ndarray, n: np.ndarray, place: np.ndarray, bits:
         a, b = n[rows], n[other]
         need = -((-t[0] * (a + b)) // (t[0] + t[1]))  # overlap needed: t / (1 + t) of both sizes, rounded up
         ok = (t[1] * np.minimum(a, b) >= t[0] * np.maximum(a, b)) & (1 + np.minimum(a - place[rows], b - place[other]) - 1 >= need)
-        ok &= np.bitwise_count(bits[rows] ^ bits[other]) <= a + b - 2 * need
+        for bits in parity:
+            ok &= np.bitwise_count(bits[rows] ^ bits[other]) <= a + b - 2 * need
         hit, to = rows[ok], other[ok]
-        if named is not None:
-            full = got[hit] >= named
-            more[hit[full]] = True
-            hit, to = hit[~full], to[~full]
-            got[hit] += 1
+        full = got[hit] >= named
+        more[hit[full]] = True
+        hit, to = hit[~full], to[~full]
+        got[hit] += 1
         left.append(hit)
         right.append(to)
         d += 1
@@ -199,7 +208,7 @@ def side(s: str) -> list[str]:
     return [f"{s}_{c}" for c in [*SET, *PLACE]]
 
 
-def candidates(postings: DataFrame, named: int | None, t: tuple[int, int] = SIMILARITY) -> DataFrame:
+def candidates(postings: DataFrame, named: int, t: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Pairs of sets (l_ later, r_ earlier, each with SET and the place of its first line) that pass the filters.
 
     Where a set had more candidates, r_n is null and key tells under which word. All lines of a set
@@ -207,7 +216,7 @@ def candidates(postings: DataFrame, named: int | None, t: tuple[int, int] = SIMI
     postings: key, SET, place, doc_id, line_no and active.
     """
     ordered = postings.repartition("key").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "line_no", "sid", "bits")
-    cols = ["key", *SET, "place", "active", "line_no"]
+    cols = ["key", *SET, "place", "active", "line_no", *[c for c in WIDE if c in postings.columns]]
     names = ["key", *side("l"), *side("r")]
     kind = postings.schema["doc_id"].dataType.simpleString()
 
@@ -219,8 +228,9 @@ def candidates(postings: DataFrame, named: int | None, t: tuple[int, int] = SIMI
             again = np.zeros(len(order), bool)
             again[1:] = np.all([x[order][1:] == x[order][:-1] for x in c[:3]], axis=0)
             first = np.sort(order[~again])
-            key, sid, bits, n, place, active, no = (x[first] for x in c)
-            i, j, more = group_candidates(key, n.astype(np.int64), place.astype(np.int64), bits.view(U), active.astype(bool), named, t)
+            key, sid, bits, n, place, active, no, *wide = (x[first] for x in c)
+            parity = [x.view(U) for x in (bits, *wide)]
+            i, j, more = group_candidates(key, n.astype(np.int64), place.astype(np.int64), parity, active.astype(bool), named, t)
             m = np.nonzero(more)[0]
             left, right = np.concatenate([i, m]), np.concatenate([j, m])
             gone = np.concatenate([np.zeros(len(i), bool), np.ones(len(m), bool)])
@@ -297,33 +307,48 @@ def verified(named: DataFrame, docs: DataFrame, shortest: int, t: tuple[int, int
     return settled.union(settle(rest)).distinct()
 
 
-def removed_lines(docs: DataFrame, shortest: int = SHORTEST, t: tuple[int, int] = SIMILARITY, part: int = PART, named: int = NAMED, slots: int = SLOTS) -> DataFrame:
+def removed_lines(docs: DataFrame, shortest: int = SHORTEST, **settings) -> DataFrame:
     """doc_id and line_no (from 0) of all lines that an earlier line makes superfluous."""
+    return _removed(docs, shortest, **settings).select("doc_id", "line_no").distinct()
+
+
+def row_hash(text: Column | str) -> Column:
+    return F.xxhash64(text)
+
+
+def _removed(docs: DataFrame, shortest: int, t: tuple[int, int] = SIMILARITY, part: int = PART, named: int = NAMED, slots: int = SLOTS) -> DataFrame:
+    """doc_id, row (a hash of the whole text, which tells rows of one id apart) and line_no of the removed lines."""
     counts = word_counts(docs, slots)
     lines = stored(line_sets(docs, shortest))
     age = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
     postings = prefix_words(docs, counts, shortest, t, part)
     named_pairs = stored(candidates(postings.withColumn("active", F.lit(True)), named, t))
     similar = stored(verified(named_pairs.filter("r_n IS NOT NULL"), docs, shortest, t))
-    more = named_pairs.filter("r_n IS NULL").select(*[F.col(f"l_{c}").alias(c) for c in SET], "key")
-    more = stored(more.distinct().join(similar, SET, "left_anti").withColumn("open", F.lit(True)))
-    if not more.isEmpty():
-        keys = more.select("key").distinct()
-        under = postings.join(maybe_broadcast(keys, fits(keys, WANTED)), "key", "left_semi")
+    under = None
+    while True:
+        more = named_pairs.filter("r_n IS NULL").select(*[F.col(f"l_{c}").alias(c) for c in SET], "key")
+        more = stored(more.distinct().join(similar, SET, "left_anti").withColumn("open", F.lit(True)))
+        if more.isEmpty():
+            break
+        if under is None:
+            keys = more.select("key").distinct()
+            under = stored(prefix_words(docs, counts, shortest, t, part, wide=True).join(maybe_broadcast(keys, fits(keys, WANTED)), "key", "left_semi"))
+        named *= FACTOR
         marked = under.join(more, ["key", *SET], "left").withColumn("active", F.coalesce("open", F.lit(False)))
-        similar = stored(similar.union(verified(candidates(marked, None, t), docs, shortest, t)).distinct())
+        named_pairs = stored(candidates(marked, named, t))
+        similar = stored(similar.union(verified(named_pairs.filter("r_n IS NOT NULL"), docs, shortest, t)).distinct())
     firsts = lines.groupBy(*SET).agg(F.min(age).alias("age"), F.count(F.lit(1)).alias("lines"))
     repeated = firsts.join(similar.withColumn("all", F.lit(True)), SET, "left").withColumn("all", F.coalesce("all", F.lit(False))).filter("all OR lines > 1")
     later = lines.join(repeated.select(*SET, F.col("age").alias("first"), "all"), SET).filter(F.col("all") | (age > F.col("first")))
-    return later.select("doc_id", "line_no").distinct()
+    return later.select("doc_id", "row", "line_no").distinct()
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = BOUND, **settings) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, **settings) -> DataFrame:
     """doc_id, n_lines and the removed line numbers (sorted) of every row."""
     rows = texts(docs, id_col, text_col)
-    gone = removed_lines(rows, shortest, **settings).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed")).withColumnRenamed("doc_id", "d")
-    slim = rows.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
-    joined = slim.join(gone, F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    gone = _removed(rows, shortest, **settings).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("removed")).toDF("d", "r", "removed")
+    slim = rows.select("doc_id", row_hash("text").alias("row"), F.size(F.split("text", "\n")).alias("n_lines"))
+    joined = slim.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
     return joined.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
@@ -333,10 +358,12 @@ def without_lines(text: Column, removed: Column) -> Column:
     return F.when(F.size(removed) > 0, F.array_join(kept, "\n")).otherwise(text)
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = BOUND, **settings) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, **settings) -> DataFrame:
     """All rows and columns, the text without removed lines; a text that loses none is not changed."""
-    gone = removed_lines(texts(docs, id_col, text_col), shortest, **settings)
-    gone = stored(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("__removed")).withColumnRenamed("doc_id", "__doc"))
-    joined = docs.join(maybe_broadcast(gone, fits(gone, WANTED)), F.col(id_col).eqNullSafe(F.col("__doc")), "left")
-    text = without_lines(F.col(text_col), F.coalesce("__removed", F.array().cast("array<int>")))
+    doc, row, removed = (free_name(docs, c) for c in ("__doc", "__row", "__removed"))
+    gone = _removed(texts(docs, id_col, text_col), shortest, **settings)
+    gone = stored(gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("removed")).toDF(doc, row, removed))
+    own = row_hash(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    joined = docs.join(maybe_broadcast(gone, fits(gone, WANTED)), F.col(f"`{id_col}`").eqNullSafe(F.col(doc)) & (own == F.col(row)), "left")
+    text = without_lines(F.col(f"`{text_col}`"), F.coalesce(F.col(removed), F.array().cast("array<int>")))
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
