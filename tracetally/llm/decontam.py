@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, stored, texts
+from .common import SLICE_ROWS, free_name, stored
 
 GRAM = 2  # words of a seed, and how far it goes on at most
 LEAST = 0.5
@@ -216,8 +216,25 @@ def chunks(items: DataFrame) -> Iterator[list[tuple[object, np.ndarray]]]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, score, seeds (different ones shared), rarest (texts that have the rarest of them), word_end of every document that holds an item."""
-    docs, spark = texts(docs, id_col, text_col), docs.sparkSession
+    """doc_id, item_id, score, seeds (different ones shared), rarest (texts that have the rarest of them), word_end of every document that holds an item.
+
+    Rows that share an id (or have none) are told apart by their texts.
+    """
+    found = _leaks(_rows(docs, id_col, text_col), benchmark, least, bits)
+    return found.withColumn("doc_id", F.col("doc_id.id"))
+
+
+def _row(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: the id and a hash of the whole text."""
+    return F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("hash"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(_row(id_col, text_col).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, bits: int = BITS) -> DataFrame:
+    spark = docs.sparkSession
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
     out = spark.createDataFrame([], f"{kind}, score double, seeds int, rarest long, word_end long")
     for rows in chunks(stored(item_words(benchmark).filter("n > 0"))):
@@ -226,7 +243,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, bits
         best = found.filter("item IS NOT NULL").groupBy("doc_id", "item").agg(F.max(F.struct("score", (-F.col("word_end")).alias("back"), "seeds")).alias("b"))
         rare = best.select("doc_id", "item", F.explode("b.seeds").alias("seed")).join(counts, "seed").groupBy("doc_id", "item").agg(F.min("texts").alias("rarest"))
         rare = rare.select(F.col("doc_id").alias("d"), F.col("item").alias("i"), "rarest")
-        names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(rows)], f"item int, {kind.split(', ', 1)[1]}")
+        names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(rows)], f"item int, {kind.rsplit(', ', 1)[1]}")
         whole = best.join(rare, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item") == F.col("i"))).join(names, "item")
         out = out.union(whole.select("doc_id", "item_id", "b.score", F.size("b.seeds").alias("seeds"), "rarest", (-F.col("b.back")).alias("word_end")))
     return out
@@ -234,5 +251,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, bits
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows, with all columns, of documents that hold no item."""
-    leaked = stored(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **settings).select(F.col("doc_id").alias("__leaked")).distinct())
-    return docs.join(leaked, F.col(id_col).eqNullSafe(F.col("__leaked")), "left_anti")
+    name = free_name(docs, "__leaked")
+    leaked = stored(_leaks(_rows(docs, id_col, text_col), benchmark, **settings).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(leaked, _row(id_col, text_col).eqNullSafe(F.col(name)), "left_anti")

@@ -165,9 +165,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = [*KEY, "class"]
     best = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("group_size"),
-        F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"))).alias("top"),
+        F.min(F.struct((-F.col("n_points")).alias("short"), F.col("doc_id").isNull().alias("late"), "doc_id")).alias("top"),
     )
-    best = best.select(*[F.col(k).alias(f"b_{k}") for k in key], "group_size", F.col("top.n_points").alias("keep_points"), (-F.col("top.neg")).alias("keep_id"))
+    best = best.select(*[F.col(k).alias(f"b_{k}") for k in key], "group_size", (-F.col("top.short")).alias("keep_points"), F.col("top.doc_id").alias("keep_id"))
     rows = rows.join(best, [F.col(k) == F.col(f"b_{k}") for k in key])
     first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
     # rows alike in class, id and code points are repeats of one row: number them so that one stays
