@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.sizing import chunks_for
+from ..functions.sizing import chunks_for, cut
 from ..functions.text import phrases
+from . import inverted
 
 QUERY_CHUNK = 4_000  # lexical queries per scan: their text (<= 8 KB), grants and filter (<= 60 KB) are broadcast
 VECTOR_CHUNK = 500  # query vectors per scan held by each task (64 MB at 16,384 dimensions)
@@ -171,10 +172,43 @@ def search_lexical(q: DataFrame, items: DataFrame, lexical: DataFrame, method: s
     Phrase statistics cover the whole index; readiness, access and filter apply
     before the candidate limit.
     """
-    parts = [_lexical_chunk(c, items, lexical, method) for c in in_chunks(q, QUERY_CHUNK)]
+    chunk = _inverted_chunk if inverted.is_inverted(lexical) else _lexical_chunk
+    parts = [chunk(c, items, lexical, method) for c in in_chunks(q, QUERY_CHUNK)]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _inverted_chunk(q: DataFrame, items: DataFrame, index: DataFrame, method: str) -> DataFrame:
+    """Scores from the inverted index: phrase statistics first, then every shard's best candidates."""
+    q = cut(q)
+    per_query, ph = distinct_phrases(q)
+    hits, numbers = inverted.phrase_hits(index, cut(ph))
+    hits = cut(hits)
+    df = np.ones(max(1, len(numbers)))
+    for r in hits.groupBy("phrase").agg(F.sum(F.size("ids")).alias("df")).collect():  # the chunk's phrases
+        df[r["phrase"]] = r["df"]
+    n, length, shards = inverted.totals(index)
+    pol = cut(policies(q))
+    asked = q.withColumn("policy_key", _policy_key()).join(pol.select("policy_key", "policy"), "policy_key").select("query_id", "policy", "candidate_limit")
+    said = per_query.groupBy("query_id").agg(F.collect_list(F.struct("phrase", "times")).alias("said"))
+    queries = []
+    for r in asked.join(said, "query_id").collect():  # at most QUERY_CHUNK rows
+        phrases_of = sorted((numbers[s["phrase"]], s["times"]) for s in r["said"])
+        queries.append({"query_id": r["query_id"], "policy": r["policy"], "candidate_limit": r["candidate_limit"], "phrases": tuple(np.array(x) for x in zip(*phrases_of))})
+
+    def weigh(phrase: np.ndarray, tf: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
+        d, tf = df[phrase], tf.astype(np.float64)
+        if method == "tfidf":
+            w = (1 + np.log(tf)) * np.log(1 + n / np.maximum(1.0, d))
+        else:
+            idf = np.log((n - d + 0.5) / (d + 0.5))
+            w = np.where(idf <= 0, 1e-6, idf) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * n_tokens / (length / n)))
+        return np.floor(w * SCALE + 0.5).astype(np.int64)
+
+    ready = visible(items.filter(F.col("lexical_state") == "ready"), pol)
+    best = inverted.best_of_shards(hits, inverted.shards_of(ready, shards), queries, weigh, SCALE)
+    return _top(best, widest(q)).withColumn("score_kind", F.lit(SCORE_KIND[method]))
+
+
 def _lexical_chunk(q: DataFrame, items: DataFrame, lexical: DataFrame, method: str) -> DataFrame:
     per_query, ph = distinct_phrases(q)
     callers = q.select("query_id", "filter", "candidate_limit")
@@ -365,7 +399,7 @@ def search(q: DataFrame, items: DataFrame, lexical: DataFrame, vectors: DataFram
     blocked = blocked_queries(q, items, vectors, fingerprint, dims).withColumn("_blocked", F.lit(True))
     vector_ok = F.coalesce(F.col("vector_ok"), F.lit(False)) if "vector_ok" in q.columns else F.lit(True)
     q = q.join(blocked, "query_id", "left").withColumn("vector_ok", vector_ok & F.col("_blocked").isNull()).drop("_blocked")
-    planned = plan_modes(q)
+    planned = cut(plan_modes(q))  # read by both searches, the fusion and the last checks
     live = planned.filter(F.col("error_code").isNull() & ~F.col("blank"))
     lex = search_lexical(live.filter(F.col("actual_mode") != "vector"), items, lexical, method)
     vec = search_vector(live.filter(F.col("actual_mode") != "lexical"), items, vectors, fingerprint, dims)

@@ -11,6 +11,7 @@ from ..functions.sizing import cut
 from ..functions.vectors import cosine, l2_norm
 from ..operators import evaluate as V
 from ..operators import index as X
+from ..operators import inverted as I
 from ..operators import search as S
 from .derived import DEFS, table, with_ctes
 from .retrieval import FP, items, vectors
@@ -52,6 +53,11 @@ def lexical(s, d):
     return cut(X.build_lexical(items(s, d)))
 
 
+def inverted_index(s, d):
+    """The positional index as the searches read it: partitioned by word bucket."""
+    return I.write_inverted(I.build_inverted(lexical(s, d)))
+
+
 def validate_queries(s, d):
     ok, bad = S.validate_queries(forms(s, d))
     cols = ["query_id", "limit", "candidate_limit", "reject_code"]
@@ -73,7 +79,7 @@ def phrase_tf(s, d):
 
 
 def _lex(s, d, method):
-    out = S.search_lexical(asking(s, d), items(s, d, False), lexical(s, d), method)
+    out = S.search_lexical(asking(s, d), items(s, d, False), inverted_index(s, d), method)
     return out.select("query_id", "id", "revision", "rank", F.round("score", 6).alias("score"), "score_kind")
 
 
@@ -83,7 +89,7 @@ def search_vector(s, d):
 
 
 def _all(s, d):
-    return S.search(good(s, d), items(s, d, False), lexical(s, d), vectors(s, d), FP, DIMS)
+    return S.search(good(s, d), items(s, d, False), inverted_index(s, d), vectors(s, d), FP, DIMS)
 
 
 def search_hybrid(s, d):
