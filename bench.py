@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tracetally.functions.sizing import cut
 from tracetally.operators import index as X
+from tracetally.operators import inverted as I
 from tracetally.operators import search as S
 from tracetally.plans import registry
 from tracetally.plans.derived import table
@@ -49,7 +50,7 @@ def main() -> None:
 
     items = table(spark, folder, "retrieval_items")
     start = time.perf_counter()
-    lexical = cut(X.build_lexical(items))
+    lexical = I.write_inverted(I.build_inverted(cut(X.build_lexical(items))))
     seconds["index_build"] = round(time.perf_counter() - start, 3)
     state = cut(items.drop("content"))
     vectors = cut(table(spark, folder, "retrieval_vectors").drop("label"))

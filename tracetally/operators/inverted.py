@@ -40,7 +40,7 @@ def bucket_of(token: Column) -> Column:
 
 
 def build_inverted(lexical: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """bucket, code, token, shard, part, ids, lengths, positions and, for every shard, a row of totals; not yet written.
+    """bucket, code, token, shard, ids, lengths, tfs, positions and, for every shard, a row of totals; not yet written.
 
     One exchange, by shard: documents, words and words' rows then stay where they are.
     """
@@ -52,11 +52,11 @@ def build_inverted(lexical: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFram
     rows = each.withColumn("part", F.pmod(F.hash("id"), F.lit(chunks_for(2 * shard_docs, SLICED)))).groupBy("shard", "token", "part")
     rows = rows.agg(F.array_sort(F.collect_list(F.struct("id", "n_tokens", "positions"))).alias("d"))
     postings = rows.select(
-        bucket_of(F.col("token")).alias("bucket"), _code(F.col("token")).alias("code"), "token", "shard", F.col("d.id").alias("ids"), F.col("d.n_tokens").alias("lengths"), F.col("d.positions").alias("positions"),
+        bucket_of(F.col("token")).alias("bucket"), _code(F.col("token")).alias("code"), "token", "shard", F.col("d.id").alias("ids"), F.col("d.n_tokens").alias("lengths"), F.transform("d.positions", lambda p: F.size(p).cast("long")).alias("tfs"), F.col("d.positions").alias("positions"),
         F.size("d").cast("long").alias("n_docs"), F.lit(None).cast("long").alias("total_length"),
     )
     totals = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("total_length"))
-    none = {"ids": "array<string>", "lengths": "array<bigint>", "positions": "array<array<int>>"}
+    none = {"ids": "array<string>", "lengths": "array<bigint>", "tfs": "array<bigint>", "positions": "array<array<int>>"}
     meta = totals.select(
         F.lit(META).alias("bucket"), F.lit(shards).cast("long").alias("code"), F.lit("").alias("token"), "shard",
         *[F.lit(None).cast(t).alias(c) for c, t in none.items()], "n_docs", "total_length",
@@ -70,7 +70,7 @@ def write_inverted(index: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/inverted-{uuid.uuid4().hex}"
     spread = F.pmod(F.hash("token"), F.lit(max(1, spark.sparkContext.defaultParallelism // BUCKETS)))
     index.repartition("bucket", spread).sortWithinPartitions("bucket", "code", "shard").write.partitionBy("bucket").parquet(path)
-    order = ["code", "token", "shard", "ids", "lengths", "positions", "n_docs", "total_length", "bucket"]
+    order = ["code", "token", "shard", "ids", "lengths", "tfs", "positions", "n_docs", "total_length", "bucket"]
     return spark.read.schema(index.select(*order).schema).parquet(path)
 
 
@@ -79,9 +79,8 @@ def is_inverted(table: DataFrame) -> bool:
 
 
 def read_words(index: DataFrame, words: DataFrame, buckets: list[int]) -> DataFrame:
-    """The index rows of some words (token); only their buckets are opened."""
-    wanted = index.filter(F.col("bucket").isin([b for b in buckets if b != META]))
-    return wanted.join(F.broadcast(words), "token", "left_semi").select("shard", "token", "ids", "lengths", "positions")
+    """The index rows of some words (token and what else is known of them); only their buckets are opened."""
+    return index.filter(F.col("bucket").isin(buckets)).join(F.broadcast(words), "token")
 
 
 def starts(positions: list[list[int]]) -> list[int]:
@@ -120,10 +119,6 @@ def _matcher(phrases: list[tuple[int, list[str]]]) -> Callable[[pa.Table], pa.Ta
         for number, phrase in phrases:
             if any(w not in words for w in phrase):
                 continue
-            if len(phrase) == 1:
-                ids, lengths, positions = (pa.concat_arrays(x) for x in words[phrase[0]])
-                out.append((shard, number, ids, lengths, pc.list_value_length(positions).cast(pa.int64())))
-                continue
             maps = [documents(w) for w in phrase]
             rarest = min(maps, key=len)
             hits = [(i, rarest[i][0], n) for i in rarest if all(i in m for m in maps) and (n := len(starts([m[i][1] for m in maps])))]
@@ -144,13 +139,22 @@ def _matcher(phrases: list[tuple[int, list[str]]]) -> Callable[[pa.Table], pa.Ta
 
 def phrase_hits(index: DataFrame, phrases: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """(shard, phrase number, ids, lengths, tfs) of the phrases (phrase, words) of a bounded chunk, and the numbers."""
+    spark = index.sparkSession
     rows = phrases.collect()  # a chunk's phrases
     numbers = {r["phrase"]: k for k, r in enumerate(rows)}
-    words = phrases.select(F.explode("words").alias("token")).distinct()
-    buckets = [r["b"] for r in words.select(bucket_of(F.col("token")).alias("b")).distinct().collect()]  # at most BUCKETS
-    touched = read_words(index, words, buckets)
-    match = _matcher([(k, list(r["words"])) for k, r in enumerate(rows)])
-    return touched.groupBy("shard").applyInArrow(match, HIT), numbers
+    named = [(k, list(r["words"])) for k, r in enumerate(rows)]
+
+    def buckets(words: DataFrame) -> list[int]:
+        return [r["b"] for r in words.select(bucket_of(F.col("token")).alias("b")).distinct().collect()]  # at most BUCKETS
+
+    alone = spark.createDataFrame([(w[0], k) for k, w in named if len(w) == 1], "token string, phrase int")
+    hits = read_words(index, alone, buckets(alone)).select("shard", "phrase", "ids", "lengths", "tfs")
+    several = [(k, w) for k, w in named if len(w) > 1]
+    if several:  # only these read positions
+        words = spark.createDataFrame(sorted({(x,) for _, w in several for x in w}), "token string")
+        touched = read_words(index, words, buckets(words)).select("shard", "token", "ids", "lengths", "positions")
+        hits = hits.unionByName(touched.groupBy("shard").applyInArrow(_matcher(several), HIT))
+    return hits, numbers
 
 
 def totals(index: DataFrame) -> tuple[int, int, int]:
