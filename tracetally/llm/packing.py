@@ -26,7 +26,7 @@ from .common import per_row, stored, texts
 
 SIZE = 2048
 CLOSING = (0).to_bytes(4, "little")
-CACHE = 200_000  # words that are remembered in each of two generations, and as many stems
+CACHE = 500_000  # words that are remembered in each of two generations, and as many stems
 LONG_WORD = 48  # longer words are encoded anew each time
 RANKED = 20_000  # pieces of one length that are numbered together, on average
 SPREAD = 10_000  # slots that one planned row expands to at a time
