@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import floor_zero, safe_div
 from ..functions.scan import at_ranks, numbered, running_sum
+from .packs import greedy_packs
 
 MIB = 1024 * 1024
 SAMPLE_LIMIT = 128
@@ -153,30 +153,14 @@ def pack_batches(docs: DataFrame, max_sequences: int, max_tokens: int, n_ctx_seq
 
     ``docs``: request_id, position, tokens. A pack is closed when the next document
     would exceed the sequence or token budget; documents are never split.
-    Documents over the budget are rejected. Requests of any size are folded as one
-    stream of rows each, in order, with nothing kept but the open pack.
+    Documents over the budget are rejected; null tokens count as none. A request's
+    blocks of rows are packed side by side, however many it has.
     """
     budget = min(max_tokens, BATCH_TOKENS)
     code = F.when((F.col("tokens") > n_ctx_seq) | (F.col("tokens") > budget), "INPUT_TOO_LONG")
     rows = docs.withColumn("reject_code", code)
     ok = rows.filter(F.col("reject_code").isNull()).select("request_id", F.col("position").cast("long").alias("position"), F.col("tokens").cast("long").alias("tokens"))
-    ordered = ok.repartition("request_id").sortWithinPartitions("request_id", "position", "tokens")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        request, pack, seqs, used = None, 0, 0, 0
-        for batch in batches:
-            packs = []
-            for name, tokens in zip(batch.column("request_id").to_pylist(), batch.column("tokens").to_pylist()):
-                if name != request:
-                    request, pack, seqs, used = name, 0, 0, 0
-                if seqs >= max_sequences or used + tokens > budget:
-                    pack, seqs, used = pack + 1, 0, 0
-                seqs, used = seqs + 1, used + tokens
-                packs.append(pack)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packs, pa.int32())], names=[*batch.schema.names, "pack"])
-
-    kind = docs.schema["request_id"].dataType.simpleString()
-    packed = ordered.mapInArrow(fold, f"request_id {kind}, position long, tokens long, pack int")
+    packed = greedy_packs(ok, max_sequences, budget)
     return packed, rows.filter(F.col("reject_code").isNotNull()).select("request_id", "position", "tokens", "reject_code")
 
 
