@@ -80,8 +80,8 @@ SELECT r.session_id||'-r'||k AS agent_run_id, r.session_id, r.session_id||'-t'||
 SELECT t.session_id||'-t'||k AS turn_id, t.session_id, CAST(k AS BIGINT) AS started_at, CASE WHEN k % 3 = 1 THEN 'streaming' ELSE 'completed' END AS status,
   CASE WHEN k % 3 = 1 THEN NULL ELSE CAST(k + 50 AS BIGINT) END AS completed_at FROM (SELECT 's'||c_custkey AS session_id, @RANGE(4) AS k FROM customer) t""",
     "cost_allocations": """
-SELECT 'a'||o_orderkey AS allocation_id, 'c'||o_orderkey AS call_id, CAST(floor(o_totalprice) AS BIGINT) AS amount_micros,
-  CASE WHEN o_orderkey % 21 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CAST(o_orderkey AS BIGINT) AS created_at FROM orders WHERE o_orderkey % 3 = 0""",
+SELECT 'a'||o_orderkey AS allocation_id, CASE o_orderkey % 3 WHEN 0 THEN 'c'||o_orderkey WHEN 1 THEN 'c'||(o_orderkey - 1) ELSE 'gone'||o_orderkey END AS call_id, CAST(floor(o_totalprice) AS BIGINT) AS amount_micros,
+  CASE WHEN o_orderkey % 21 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CAST(o_orderkey AS BIGINT) AS created_at FROM orders""",
     "agents": """
 SELECT 'agent'||n_nationkey AS agent_id, n_name AS name, CASE WHEN n_regionkey = 0 THEN 'primary' ELSE 'worker' END AS kind,
   CASE WHEN n_nationkey % 6 = 5 THEN CAST(n_nationkey * 1000 AS BIGINT) END AS deleted_at FROM nation""",
@@ -138,8 +138,8 @@ SELECT 'run'||user_id AS run_id, CAST(count(*) AS BIGINT) AS requested, CAST(sum
   CASE WHEN user_id % 5 = 0 THEN 'CANCELLED' WHEN user_id % 5 = 1 THEN 'LOW_MEMORY' WHEN user_id % 5 = 2 THEN 'NETWORK_IO' WHEN user_id % 5 = 3 THEN 'private path leaked' END AS error_code
   FROM events GROUP BY user_id""",
     "chunks": """
-SELECT 'run'||user_id AS run_id, event_id AS chunk_no, CAST(1 + event_id % 9 AS BIGINT) AS completed, CAST((1 + event_id % 9) * 24 AS BIGINT) AS total_tokens,
-  @MS(ts) AS start_ms, @MS(ts) + CAST(floor(value * 10) AS BIGINT) AS end_ms FROM events WHERE event_type <> 'error'""",
+SELECT 'run'||user_id AS run_id, event_id AS chunk_no, CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 + event_id % 9 END AS BIGINT) AS completed,
+  CAST(CASE WHEN event_type = 'error' THEN 0 ELSE (1 + event_id % 9) * 24 END AS BIGINT) AS total_tokens, @MS(ts) AS start_ms, @MS(ts) + CAST(floor(value * 10) AS BIGINT) AS end_ms FROM events""",
     "decodes": """
 SELECT 'b'||l_orderkey AS batch_id, 'run'||(l_orderkey % 100) AS run_id, l_linenumber AS decode_no, CAST(1 + l_quantity % 8 AS BIGINT) AS sequences,
   CAST((1 + l_quantity % 8) * 16 AS BIGINT) AS tokens, CAST(floor(l_extendedprice) AS DOUBLE) / 64 AS native_decode_ms FROM lineitem""",

@@ -16,7 +16,7 @@ DEFS.update(
 SELECT CASE l_returnflag WHEN 'A' THEN 'lexical' WHEN 'N' THEN 'vector' ELSE 'hybrid' END AS mode, CASE WHEN l_linenumber < 3 THEN 100 WHEN l_linenumber < 5 THEN 1000 ELSE 10000 END AS scale,
   CAST(floor(l_extendedprice / 100) AS BIGINT) AS duration_ms, CAST(l_quantity AS BIGINT) AS candidates FROM lineitem""",
         "run_items": """
-SELECT 'run'||user_id AS run_id, value AS inference_ms, event_type = 'click' AS warm FROM events WHERE event_type <> 'error'""",
+SELECT 'run'||user_id AS run_id, CASE WHEN event_type <> 'error' THEN value END AS inference_ms, event_type = 'click' AS warm FROM events""",
         "loads": """
 SELECT 'run'||user_id AS run_id, event_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(event_id * 10 AS BIGINT) END AS pss_before,
   CASE WHEN event_type = 'view' THEN NULL ELSE CAST(event_id * 10 + 500 - user_id AS BIGINT) END AS pss_after FROM events""",
