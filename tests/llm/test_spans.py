@@ -99,3 +99,23 @@ def test_rows_and_digest(spark):
         want = sorted(",".join(f"{k}:{s}:{e}" for k, s, e in sorted(plain(t or ""), key=lambda x: (x[1], module.KINDS.index(x[0])))) for _, t in rows)
         assert sorted(r["d"] for r in got) == want
         assert find(docs.limit(0)).count() == 0
+
+
+def test_spaces_and_many_spans_stay_linear():
+    from time import process_time
+
+    from tracetally.llm.common import overlaps
+
+    start = process_time()
+    P.hidden_spans(" " * 200_000 + "[at]" + " " * 200_000 + "x", [])
+    many = " ".join(f"name{k}@example.org" for k in range(20_000)) + " а"
+    P.hidden_spans(many, P.base_spans(many))
+    assert process_time() - start < 10
+    test = overlaps([(5, 20), (7, 9), (30, 31)])
+    assert [test(*x) for x in ((0, 5), (0, 6), (19, 22), (20, 30), (30, 40), (31, 40))] == [False, True, True, False, True, False]
+
+
+def test_disguises_side_by_side():
+    text = "mail joe  [at]  host  [dot]  org  [at] [at] x"
+    found = P.hidden_spans(text, [])
+    assert ("email", 5, text.index("org") + 3) in found

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +75,18 @@ def _arrow_types(spark: SparkSession, schema: str) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in spark.createDataFrame([], schema).schema.fields]
 
 
+def overlaps(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """A test whether a span shares a character with any of some spans, by bisection."""
+    ordered = sorted(spans)
+    starts, reach = [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
+
+    def test(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return before > 0 and reach[before - 1] > start
+
+    return test
+
+
 def span_digest(spans, base_only: bool, kinds: list[str]):
     """``kind:start:end`` of the spans by start, then kind as listed, comma-joined."""
     rank = lambda s: F.array_position(F.array(*map(F.lit, kinds)), s["kind"])

@@ -20,7 +20,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, texts
+from .common import overlaps, per_row, texts
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -96,8 +96,8 @@ ODD = re.compile(f"[{INVISIBLE}Ͱ-ϿЀ-ԯ -⁠⁰-ₜ℀-ⅉ①-⓿。！-～\
 SPELLED = re.compile(r"(?ai)(?<![a-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])(?:[\x20,-]{1,2}(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]))+(?![a-z])")
 SPELLED_WORD = re.compile(r"(?ai)(?:(?<=[a-z])[\x20,-]+(?=[a-z0-9])|(?<=[0-9])[\x20,-]+(?=[a-z]))|zero|oh|one|two|three|four|five|six|seven|eight|nine")
 PLUS = re.compile(r"(?ai)(?<![a-z])plus\x20(?=[0-9])")
-AT = re.compile(r"(?ai)\x20*[\[({<]\x20*(?:at|@|arroba)\x20*[\])}>]\x20*")
-DOT = re.compile(r"(?ai)\x20*[\[({<]\x20*(?:dot|punto|point|punkt|\.)\x20*[\])}>]\x20*")
+AT = re.compile(r"(?ai)(?:(?<!\x20)\x20+)?[\[({<]\x20*(?:at|@|arroba)\x20*[\])}>]\x20*")
+DOT = re.compile(r"(?ai)(?:(?<!\x20)\x20+)?[\[({<]\x20*(?:dot|punto|point|punkt|\.)\x20*[\])}>]\x20*")
 # bare words only together: name at host dot end
 BARE = re.compile(r"(?ai)(?<=[a-z0-9])\x20+at\x20+(?=(?!dot\b)[a-z0-9-]+(?:(?:\x20+dot\x20+|\.)(?!dot\b)[a-z0-9-]+)*\x20+dot\x20+(?!dot\b)[a-z]{2,})")
 BARE_DOT = re.compile(r"(?ai)(?<=[a-z0-9])\x20+dot\x20+(?=[a-z0-9])")
@@ -194,10 +194,10 @@ def hidden_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         now = now.apply(spelled).apply(disguises)
     if type(now) is Rewritten:
         return []
-    taken, out = sorted((s, e) for _, s, e in base), []
+    taken, out = overlaps([(s, e) for _, s, e in base]), []
     for k, a, b in base_spans(now.text):
         s, e = now.source(a, b)
-        if not any(s < y and x < e for x, y in taken):
+        if not taken(s, e):
             out.append((k, s, e))
     return out
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, texts
+from .common import overlaps, per_row, texts
 
 KINDS = ["assign", "access", "hex", "novel"]
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -83,7 +83,7 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty, r
     low = text.lower()
     if not any(w in low for w in HINTS):
         return []
-    out, seen, taken = [], -1, sorted((s, e) for _, s, e in base)
+    out, seen, taken = [], -1, overlaps([(s, e) for _, s, e in base])
     for hint in CONTEXT.finditer(text):
         for m in CANDIDATE.finditer(text, max(hint.end(), seen)):
             if m.start() > hint.end() + reach:
@@ -92,7 +92,7 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty, r
             s, e = m.span()
             if hint.group().startswith("://"):  # the password of a URL ends before its host
                 e = text.index("@", hint.end())
-            if e - s < shortest or any(s < b and a < e for a, b in taken) or not shaped(text[s:e]):
+            if e - s < shortest or taken(s, e) or not shaped(text[s:e]):
                 continue
             cost = novelty.rate(text, s, e)
             if cost >= least:
