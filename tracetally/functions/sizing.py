@@ -34,7 +34,13 @@ def chunks_for(rows: int, per_chunk: int) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the checkpoint folder the cluster names, else one beside the warehouse's tables."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if named:
+        return named.rstrip("/")
+    tables = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    master = spark.sparkContext.master
+    if tables.startswith(("file:", "/")) and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is a local one")
+    return f"{tables}/_shared"
 
 
 def cut(df: DataFrame) -> DataFrame:
