@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.test_exact_and_near import brute_components, brute_print
 from tests.llm.test_lines_and_leaks import brute_leaks, brute_removed
+from tests.llm.test_near_copies import brute_kept
 from tests.llm.test_pack_quality_logs import per_item_best_fit
 from tests.llm.test_spans import plain_pii, plain_secrets
 from tracetally.llm import pii, quality, secret_scan
@@ -118,7 +119,7 @@ def test_pipeline(spark, items):
                 assert kept[i]["n_chars"] == len(kept[i]["text"])
             assert gone
         if name == "simhash_near_dedup":
-            assert set(kept) == {c for _, _, c in brute_components(texts)}
+            assert set(kept) == {i for i, _ in brute_kept(texts)}
         if name == "decontamination":
             assert set(kept) == set(before) - {i for i, _ in brute_leaks(texts, items)}
         if name != "line_dedup":
