@@ -76,3 +76,22 @@ def test_context_and_titles(spark):
     assert [(r.retry_of, r.id) for r in retry] == [("m4", "m1"), ("m4", "m3")]
     title = N.titles(m).first().title
     assert title == "Hello there, this title is much longe..." and len(title) == 40
+
+
+def test_retry_lineage(spark):
+    calls = spark.createDataFrame(
+        [("c1", "m1", "t1", 1), ("c2", "m1", "t2", 5), ("c3", "m1", "t1", 5), ("c4", "m2", None, 1), ("c5", None, "t2", 9), ("c6", "m3", "gone", 1)],
+        "call_id string, message_id string, turn_id string, requested_at long",
+    )
+    turns = spark.createDataFrame([("t1", "s", 0, "completed", 3), ("t2", "s", 0, "failed", 4)], "turn_id string, session_id string, started_at long, status string, completed_at long")
+    asked = spark.createDataFrame(
+        [("n1", "m1"), ("n2", "m2"), ("n3", "nowhere"), ("n4", None), ("n5", "m3"), ("n6", "m1")], "message_id string, retry_of_message_id string"
+    ).withColumns({"session_id": F.lit("s"), "asked_at": F.lit(99).cast("long")})
+    links, after = N.retry_lineage(asked, calls, turns)
+    got = {r.message_id: (r.turn_id, r.fallback_from_call_id, r.spawn_reason, r.reopened) for r in links.collect()}
+    assert got == {
+        "n1": ("t1", "c3", "user_retry", True), "n6": ("t1", "c3", "user_retry", True), "n2": ("turn-n2", "c4", "user_retry", False),
+        "n3": ("turn-n3", None, "user_retry", False), "n4": ("turn-n4", None, "user_turn", False), "n5": ("gone", "c6", "user_retry", True),
+    }
+    new = {(f"turn-n{i}", 99, "running", None) for i in (2, 3, 4)}
+    assert {(r.turn_id, r.started_at, r.status, r.completed_at) for r in after.collect()} == {("t1", 0, "running", None), ("t2", 0, "failed", 4)} | new

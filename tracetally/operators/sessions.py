@@ -242,6 +242,34 @@ def interrupt(calls: DataFrame, attempts: DataFrame, runs: DataFrame, turns: Dat
     return out
 
 
+def retry_lineage(asked: DataFrame, calls: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, turns) of newly asked messages: message_id, retry_of_message_id, session_id, asked_at.
+
+    A retry is tied to the latest call of the message it repeats: it runs in that call's turn, which is
+    opened again, and names the call as its fallback origin. Without such a call, or where that call has
+    no turn, a turn of its own starts at ``asked_at``. Turns that do not exist are not opened.
+    """
+    latest = calls.filter("message_id IS NOT NULL").groupBy(F.col("message_id").alias("of_message")).agg(
+        F.max_by(F.struct("call_id", "turn_id"), F.struct("requested_at", "call_id")).alias("previous")
+    )
+    links = asked.join(latest, F.col("retry_of_message_id") == F.col("of_message"), "left").select(
+        "message_id",
+        "session_id",
+        "asked_at",
+        F.coalesce("previous.turn_id", F.concat(F.lit("turn-"), "message_id")).alias("turn_id"),
+        F.col("previous.call_id").alias("fallback_from_call_id"),
+        F.when(F.col("retry_of_message_id").isNull(), "user_turn").otherwise("user_retry").alias("spawn_reason"),
+        F.col("previous.turn_id").isNotNull().alias("reopened"),
+    )
+    again = links.filter("reopened").select(F.col("turn_id").alias("again_id")).distinct()
+    hit = F.col("again_id").isNotNull()
+    kept = turns.join(again, F.col("turn_id") == F.col("again_id"), "left").withColumns(
+        {"status": F.when(hit, "running").otherwise(F.col("status")), "completed_at": F.when(~hit, F.col("completed_at"))}
+    ).select(*turns.columns)
+    started = links.filter("NOT reopened").select("turn_id", "session_id", F.col("asked_at").alias("started_at"), F.lit("running").alias("status"))
+    return links, kept.unionByName(started, allowMissingColumns=True)
+
+
 def request_ids(df: DataFrame, headers: str = "headers") -> DataFrame:
     """Provider request id from a header map, names compared without case."""
     pairs = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))

@@ -20,6 +20,12 @@ SELECT DISTINCT CASE WHEN n_nationkey = 24 THEN 'nowhere' ELSE 's'||(n_nationkey
 SELECT 's'||c_custkey AS id, CASE WHEN c_custkey % 100 = 7 THEN 's'||(c_custkey + 1) WHEN c_custkey % 100 = 8 THEN 's'||(c_custkey - 1) WHEN c_custkey % 50 = 49 THEN 'lost' WHEN c_custkey % 5 = 0 THEN NULL
   ELSE 's'||CAST(floor(c_custkey / 3) AS BIGINT) END AS parent_session_id, CASE WHEN c_acctbal < -500 THEN 'archived' ELSE 'active' END AS state, CAST(c_custkey AS BIGINT) AS updated_at,
   CASE WHEN c_acctbal < -500 THEN CAST(c_custkey AS BIGINT) END AS archived_at FROM customer""",
+        "message_calls": """
+SELECT 'c'||o_orderkey AS call_id, 'm'||o_custkey||'-'||(o_orderkey % 3) AS message_id,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 's'||o_custkey||'-t'||(o_orderkey % 4) END AS turn_id, @MS(o_orderdate) + o_orderkey % 86400000 AS requested_at FROM orders""",
+        "asked_again": """
+SELECT 'n'||c_custkey AS message_id, CASE WHEN c_custkey % 6 = 5 THEN NULL ELSE 'm'||c_custkey||'-'||(c_custkey % 4) END AS retry_of_message_id, 's'||c_custkey AS session_id,
+  CAST(2000000000000 + c_custkey AS BIGINT) AS asked_at FROM customer""",
         "live_states": """
 SELECT 'm'||conv_id||'-'||turn AS message_id, CASE WHEN turn % 3 = 1 THEN '' ELSE 'partial text '||conv_id END AS text, CASE turn % 4 WHEN 1 THEN 'queued' WHEN 3 THEN 'connecting' ELSE 'failed' END AS status,
   CASE WHEN conv_id % 2 = 0 THEN 'timeout' END AS error FROM conversations WHERE role = 'assistant'""",
@@ -124,6 +130,18 @@ def interrupt_generations(s, d):
     return a.unionByName(c).unionByName(r).unionByName(t)
 
 
+def _lineage(s, d):
+    return N.retry_lineage(table(s, d, "asked_again"), table(s, d, "message_calls"), table(s, d, "turns"))
+
+
+def retry_links(s, d):
+    return _lineage(s, d)[0]
+
+
+def reopened_turns(s, d):
+    return _lineage(s, d)[1].select("turn_id", "session_id", "started_at", "status", "completed_at")
+
+
 def request_ids(s, d):
     k = F.col("event_id")
     rows = table(s, d, "events").select(
@@ -159,7 +177,7 @@ QUERIES = {
     for f in [
         archive_subtree, archive_rejects, active_ancestry, restore_sessions, restore_rejects, build_context, retry_context, titles, recover_generations,
         interrupted_messages, touched_conversations, live_overlay, running_counts, recover_orphans, interrupt_generations, request_ids, error_details, usage_report, turn_report,
-        price_report,
+        price_report, retry_links, reopened_turns,
     ]
 }
 
@@ -196,7 +214,20 @@ def usd_sql(c: str) -> str:
     return f"CASE WHEN {c} = 0 THEN '$0' WHEN {c} >= 0.01 THEN '$'||printf('%.2f', {c}) WHEN {c} >= 0.0001 THEN '$'||printf('%.4f', {c}) ELSE '$'||printf('%.6f', {c}) END"
 
 
+LINEAGE = """latest AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY requested_at DESC, call_id DESC) AS nth FROM message_calls),
+links AS (SELECT a.message_id, a.session_id, a.asked_at, coalesce(p.turn_id, 'turn-'||a.message_id) AS turn_id, p.call_id AS fallback_from_call_id,
+  CASE WHEN a.retry_of_message_id IS NULL THEN 'user_turn' ELSE 'user_retry' END AS spawn_reason, p.turn_id IS NOT NULL AS reopened
+  FROM asked_again a LEFT JOIN latest p ON p.message_id = a.retry_of_message_id AND p.nth = 1)"""
+
 ORACLES = {
+    "retry_links": with_ctes(["asked_again", "message_calls"], "SELECT * FROM links", extra=LINEAGE),
+    "reopened_turns": with_ctes(
+        ["asked_again", "message_calls", "turns"],
+        """SELECT t.turn_id, t.session_id, t.started_at, CASE WHEN r.turn_id IS NULL THEN t.status ELSE 'running' END AS status, CASE WHEN r.turn_id IS NULL THEN t.completed_at END AS completed_at
+          FROM turns t LEFT JOIN (SELECT DISTINCT turn_id FROM links WHERE reopened) r ON r.turn_id = t.turn_id
+        UNION ALL SELECT turn_id, session_id, asked_at, 'running', NULL FROM links WHERE NOT reopened""",
+        extra=LINEAGE,
+    ),
     "archive_subtree": with_ctes(
         ["sessions", "archive_roots"],
         f"""SELECT id, CASE WHEN hit AND state = 'active' THEN 'archived' ELSE state END AS state, CASE WHEN hit AND state = 'active' THEN {AT} ELSE updated_at END AS updated_at,
