@@ -6,11 +6,9 @@ chunk of queries; only matches and per-partition top-k rows are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +16,12 @@ from ..functions import rules as R
 from ..functions.sizing import chunks_for, cut
 from ..functions.text import phrases
 from . import inverted
+from .vector_index import HIT, SCORE_SLACK, Asks, VectorIndex, scan_blocks, unclustered
 
 QUERY_CHUNK = 4_000  # lexical queries per scan: their text (<= 8 KB), grants and filter (<= 60 KB) are broadcast
-VECTOR_CHUNK = 500  # query vectors per scan held by each task (64 MB at 16,384 dimensions)
+VECTOR_CHUNK = 8_192  # query vectors per scan held by each task, fewer where these are reached:
+VECTOR_BYTES = 64 << 20  # bytes of query vectors, and of filters
+KEPT = 400_000  # candidates that a task keeps
 MAX_CANDIDATES = 500
 K1, B = 1.2, 0.75  # BM25 constants
 SCALE = 1e12  # scores are summed as scaled integers: exact, so equal documents tie exactly
@@ -243,31 +244,46 @@ def _lexical_chunk(q: DataFrame, items: DataFrame, lexical: DataFrame, method: s
 # ---- vector --------------------------------------------------------------
 
 
-def search_vector(q: DataFrame, items: DataFrame, vectors: DataFrame, fingerprint: str, dims: int) -> DataFrame:
+def vector_chunk(q: DataFrame, dims: int) -> int:
+    """Queries a task may hold: bounded by the bytes of their vectors, by the candidates they keep and by their filters."""
+    size = q.agg(F.max("candidate_limit").alias("k"), F.max(F.length(_policy_key())).alias("filter")).first()
+    return max(1, min(VECTOR_CHUNK, VECTOR_BYTES // (8 * dims), KEPT // (size["k"] or 1), VECTOR_BYTES // (size["filter"] or 1)))
+
+
+def search_vector(q: DataFrame, items: DataFrame, vectors: DataFrame | VectorIndex, fingerprint: str, dims: int) -> DataFrame:
     """Exact cosine top-k of query vectors (column ``query_vector``) over the eligible vectors.
 
     Eligible: same fingerprint and dimensions, finite with a positive norm, current revision,
-    state ready, visible to the query. Each task keeps its own top-k per query. ``search``
-    marks the queries that can see a stored vector which is not usable.
+    state ready, visible to the query. Each task keeps its own top-k per query. In a
+    ``VectorIndex`` of that fingerprint whole blocks are skipped; of a plain table every
+    vector is compared. ``search`` marks the queries that can see a stored vector which is
+    not usable.
     """
-    parts = [_vector_chunk(c, items, vectors, fingerprint, dims) for c in in_chunks(q, VECTOR_CHUNK)]
-    return reduce(DataFrame.unionByName, parts)
+    index = as_index(vectors, fingerprint, dims)
+    parts = [_vector_chunk(c, items, index) for c in in_chunks(q, vector_chunk(q, dims))]
+    found = reduce(DataFrame.unionByName, [hits for hits, _ in parts])
+    return _top(found, widest(q)).withColumn("score_kind", F.lit(SCORE_KIND["cosine"]))
 
 
-VECTOR_ROW = "query_id string, id string, revision string, score double, candidate_limit bigint"
+def vector_work(q: DataFrame, items: DataFrame, vectors: DataFrame | VectorIndex, fingerprint: str, dims: int) -> DataFrame:
+    """One row: (vector, query) pairs there are, pairs the search compares, and the share it skips."""
+    index = as_index(vectors, fingerprint, dims)
+    work = reduce(DataFrame.unionByName, [w for c in in_chunks(q, vector_chunk(q, dims)) for _, w in [_vector_chunk(c, items, index)]])
+    work = work.agg(F.sum("pairs").alias("pairs"), F.sum("compared").alias("compared"))
+    return work.select("pairs", "compared", (1 - F.try_divide("compared", "pairs")).alias("skipped"))
 
 
-def usable_vector(v: Column) -> Column:
-    squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return F.coalesce(F.forall(v, lambda x: x.isNotNull()) & ~F.isnan(squares) & (squares > 0) & (squares != float("inf")), F.lit(False))
+def as_index(vectors: DataFrame | VectorIndex, fingerprint: str, dims: int) -> VectorIndex:
+    return vectors if isinstance(vectors, VectorIndex) else unclustered(vectors, fingerprint, dims)
 
 
-def blocked_queries(q: DataFrame, items: DataFrame, vectors: DataFrame, fingerprint: str, dims: int) -> DataFrame:
+def blocked_queries(q: DataFrame, items: DataFrame, vectors: DataFrame | VectorIndex, fingerprint: str, dims: int) -> DataFrame:
     """query_id of the queries that may see a current stored vector which is not usable."""
-    broken = vectors.filter((F.col("fingerprint") == fingerprint) & (F.size("vector") == dims) & ~usable_vector(F.col("vector"))).select("id", "revision")
+    broken = as_index(vectors, fingerprint, dims).rows.filter(~F.col("usable")).select("id", "revision")
     ready = items.filter(F.col("vector_state") == "ready").join(broken, ["id", "revision"], "left_semi")
+    asked = q.filter(F.col("mode") != "lexical")
     parts = []
-    for chunk in in_chunks(q.filter(F.col("mode") != "lexical"), VECTOR_CHUNK):
+    for chunk in in_chunks(asked, vector_chunk(asked, dims)):
         pol = policies(chunk)
         seen = visible(ready, pol).select(F.explode("policies").alias("policy")).distinct()
         keyed = chunk.select("query_id", _policy_key().alias("policy_key")).join(pol.select("policy_key", "policy"), "policy_key")
@@ -275,55 +291,42 @@ def blocked_queries(q: DataFrame, items: DataFrame, vectors: DataFrame, fingerpr
     return reduce(DataFrame.unionByName, parts)
 
 
-def _vector_chunk(q: DataFrame, items: DataFrame, vectors: DataFrame, fingerprint: str, dims: int) -> DataFrame:
+def _vector_chunk(q: DataFrame, items: DataFrame, index: VectorIndex) -> tuple[DataFrame, DataFrame]:
+    """(hits of every task, its counts of pairs) for one bounded chunk of queries."""
     pol = policies(q)
     numbered = q.withColumn("policy_key", _policy_key()).join(pol.select("policy_key", "policy"), "policy_key")
-    rows = numbered.select("query_id", "query_vector", "policy", "candidate_limit").collect()  # at most VECTOR_CHUNK rows
+    rows = numbered.select("query_id", "query_vector", "policy", "candidate_limit").collect()  # at most a chunk
     if not rows:
-        return q.sparkSession.createDataFrame([], f"{VECTOR_ROW}, rank int, score_kind string").drop("candidate_limit")
-    names = [r["query_id"] for r in rows]
-    limits = np.array([r["candidate_limit"] for r in rows], dtype=np.int64)
-    matrix = np.array([r["query_vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    of_query = np.array([r["policy"] for r in rows], dtype=np.int64)
-    n_policies = int(of_query.max()) + 1 if len(rows) else 0
+        none = q.sparkSession.createDataFrame([], HIT)
+        return none.drop("compared", "pairs"), none.select("compared", "pairs")
+    asks = Asks(
+        [r["query_id"] for r in rows],
+        np.array([r["query_vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1),
+        np.array([r["candidate_limit"] for r in rows], dtype=np.int64),
+        np.array([r["policy"] for r in rows], dtype=np.int64),
+    )
     ready = visible(items.filter(F.col("vector_state") == "ready"), pol)
-    usable = vectors.filter((F.col("fingerprint") == fingerprint) & (F.size("vector") == dims) & usable_vector(F.col("vector"))).select("id", "revision", "vector")
-    eligible = usable.join(ready, ["id", "revision"])
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[list[tuple[float, str, str]]] = [[] for _ in names]
-        q_sq = np.cumsum(matrix * matrix, axis=1)[:, -1]
-        for pdf in frames:
-            if pdf.empty:
-                continue
-            v = np.vstack(pdf["vector"].to_numpy()).astype(np.float64)
-            v_sq = np.cumsum(v * v, axis=1)[:, -1]
-            seen = np.zeros((len(pdf), n_policies), dtype=bool)
-            for i, ps in enumerate(pdf["policies"]):
-                seen[i, ps] = True
-            approx = (v @ matrix.T) / np.sqrt(np.outer(v_sq, q_sq))
-            approx[~seen[:, of_query]] = -np.inf
-            ids, revs = pdf["id"].to_numpy(), pdf["revision"].to_numpy()
-            for j in range(len(names)):
-                k = int(limits[j])
-                col = approx[:, j]
-                floor = best[j][-1][0] if len(best[j]) >= k else -np.inf
-                if len(col) > k:
-                    floor = max(floor, np.partition(col, len(col) - k)[len(col) - k])
-                # the fast product only preselects; survivors are scored in a fixed order
-                pick = np.flatnonzero((col >= floor - 1e-9) & np.isfinite(col))
-                if not len(pick):
-                    continue
-                dot = np.cumsum(v[pick] * matrix[j], axis=1)[:, -1]
-                score = np.clip(dot / np.sqrt(v_sq[pick] * q_sq[j]), -1.0, 1.0)
-                merged = best[j] + [(float(s), ids[i], revs[i]) for s, i in zip(score, pick)]
-                merged.sort(key=lambda t: (-t[0], t[1]))
-                best[j] = merged[:k]
-        out = [(names[j], t[1], t[2], t[0], int(limits[j])) for j in range(len(names)) for t in best[j]]
-        yield pd.DataFrame(out, columns=["query_id", "id", "revision", "score", "candidate_limit"])
-
-    scored = eligible.mapInPandas(scan, VECTOR_ROW)
-    return _top(scored, int(limits.max())).withColumn("score_kind", F.lit(SCORE_KIND["cosine"]))
+    eligible = index.rows.filter("usable").drop("usable").join(ready, ["id", "revision"])
+    first = []
+    if len(index.pivots):
+        eligible = cut(eligible.repartition("block").sortWithinPartitions("block"))  # scanned twice
+        nearest = scan_blocks(eligible, asks, index.pivots, asks.homes(index))
+        nearest = cut(nearest)
+        kth = _top(nearest.filter(F.col("query_id").isNotNull()), int(asks.limits.max()))
+        kth = kth.groupBy("query_id").agg(F.max("rank").alias("found"), F.min("score").alias("least"))
+        of_query = {r["query_id"]: r for r in kth.collect()}  # at most a chunk
+        for j, name in enumerate(asks.names):
+            if name in of_query and of_query[name]["found"] == asks.limits[j]:
+                asks.need[j] = of_query[name]["least"]
+        met = (asks.by_cluster(index) >= asks.need[:, None] - SCORE_SLACK).any(axis=0)
+        first = [nearest.filter(F.col("query_id").isNull()).select("compared", F.lit(0).cast("long").alias("pairs"))]
+        if not met.all():
+            left_out = eligible.filter(~F.col("cluster").isin(np.flatnonzero(met).tolist()))
+            first.append(left_out.agg(F.lit(0).cast("long").alias("compared"), (F.count(F.lit(1)) * len(rows)).alias("pairs")))
+            eligible = eligible.filter(F.col("cluster").isin(np.flatnonzero(met).tolist()))
+    scored = scan_blocks(eligible, asks, index.pivots)
+    counts = scored.filter(F.col("query_id").isNull()).select("compared", "pairs")
+    return scored.filter(F.col("query_id").isNotNull()).drop("compared", "pairs"), reduce(DataFrame.unionByName, first, counts)
 
 
 # ---- fusion, guarded results ---------------------------------------------
@@ -390,7 +393,7 @@ def plan_modes(q: DataFrame) -> DataFrame:
     )
 
 
-def search(q: DataFrame, items: DataFrame, lexical: DataFrame, vectors: DataFrame, fingerprint: str, dims: int, method: str = "bm25"):
+def search(q: DataFrame, items: DataFrame, lexical: DataFrame, vectors: DataFrame | VectorIndex, fingerprint: str, dims: int, method: str = "bm25"):
     """(results, merged candidates, planned queries) of validated queries of any mode.
 
     Every candidate is checked once more against access, filter, revision and

@@ -13,6 +13,7 @@ from ..operators import evaluate as V
 from ..operators import index as X
 from ..operators import inverted as I
 from ..operators import search as S
+from ..operators import vector_index as N
 from .derived import DEFS, table, with_ctes
 from .retrieval import FP, items, vectors
 
@@ -83,13 +84,18 @@ def _lex(s, d, method):
     return out.select("query_id", "id", "revision", "rank", F.round("score", 6).alias("score"), "score_kind")
 
 
+def vector_index(s, d):
+    """Current vectors in clusters, as the searches read them."""
+    return N.build_vector_index(vectors(s, d), FP, DIMS)
+
+
 def search_vector(s, d):
-    out = S.search_vector(asking(s, d), items(s, d, False), vectors(s, d), FP, DIMS)
+    out = S.search_vector(asking(s, d), items(s, d, False), vector_index(s, d), FP, DIMS)
     return out.select("query_id", "id", "revision", "rank", F.round("score", 9).alias("score"), "score_kind")
 
 
 def _all(s, d):
-    return S.search(good(s, d), items(s, d, False), inverted_index(s, d), vectors(s, d), FP, DIMS)
+    return S.search(good(s, d), items(s, d, False), inverted_index(s, d), vector_index(s, d), FP, DIMS)
 
 
 def search_hybrid(s, d):
@@ -110,7 +116,7 @@ def search_degraded(s, d):
     asked = good(s, d).withColumns({"lexical_ok": F.lit(True), "embedding_loaded": F.lit(True)})
     broken = F.col("id").substr(F.lit(2), F.length("id")).cast("long") % 97 == 5
     stored = vectors(s, d).withColumn("vector", F.when(broken, F.transform("vector", lambda x: x * F.lit(0.0).cast("float"))).otherwise(F.col("vector")))
-    planned = S.search(asked, items(s, d, False), lexical(s, d), stored, FP, DIMS)[2]
+    planned = S.search(asked, items(s, d, False), lexical(s, d), N.build_vector_index(stored, FP, DIMS), FP, DIMS)[2]
     return planned.select("query_id", "actual_mode", "degraded_reason", "error_code")
 
 
