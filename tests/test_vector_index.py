@@ -64,6 +64,8 @@ def test_blocks_are_skipped(data, monkeypatch):
     plain = S.vector_work(q, items, vectors, "fp", 6).first()
     assert work.pairs == plain.pairs == plain.compared and plain.skipped == 0
     assert work.skipped > 0.5
+    monkeypatch.setattr(S, "KEPT", 9 * 5)  # more, smaller chunks
+    assert S.vector_work(q, items, vectors, "fp", 6).first().pairs == plain.pairs
 
 
 def test_every_vector_of_the_fingerprint_is_kept(data, monkeypatch):

@@ -307,26 +307,26 @@ def _vector_chunk(q: DataFrame, items: DataFrame, index: VectorIndex) -> tuple[D
     )
     ready = visible(items.filter(F.col("vector_state") == "ready"), pol)
     eligible = index.rows.filter("usable").drop("usable").join(ready, ["id", "revision"])
-    first = []
+    parts, homes = [], None
     if len(index.pivots):
         eligible = cut(eligible.repartition("block").sortWithinPartitions("block"))  # scanned twice
-        nearest = scan_blocks(eligible, asks, index.pivots, asks.homes(index))
-        nearest = cut(nearest)
+        homes = asks.homes(index)
+        nearest = cut(scan_blocks(eligible, asks, index.pivots, homes))
         kth = _top(nearest.filter(F.col("query_id").isNotNull()), int(asks.limits.max()))
         kth = kth.groupBy("query_id").agg(F.max("rank").alias("found"), F.min("score").alias("least"))
         of_query = {r["query_id"]: r for r in kth.collect()}  # at most a chunk
         for j, name in enumerate(asks.names):
             if name in of_query and of_query[name]["found"] == asks.limits[j]:
                 asks.need[j] = of_query[name]["least"]
-        met = (asks.by_cluster(index) >= asks.need[:, None] - SCORE_SLACK).any(axis=0)
-        first = [nearest.filter(F.col("query_id").isNull()).select("compared", F.lit(0).cast("long").alias("pairs"))]
-        if not met.all():
-            left_out = eligible.filter(~F.col("cluster").isin(np.flatnonzero(met).tolist()))
-            first.append(left_out.agg(F.lit(0).cast("long").alias("compared"), (F.count(F.lit(1)) * len(rows)).alias("pairs")))
-            eligible = eligible.filter(F.col("cluster").isin(np.flatnonzero(met).tolist()))
-    scored = scan_blocks(eligible, asks, index.pivots)
-    counts = scored.filter(F.col("query_id").isNull()).select("compared", "pairs")
-    return scored.filter(F.col("query_id").isNotNull()).drop("compared", "pairs"), reduce(DataFrame.unionByName, first, counts)
+        nearest = nearest.withColumn("pairs", F.lit(0).cast("long"))  # counted by the second scan
+        homes = ~homes
+        met = np.flatnonzero((homes & (asks.by_cluster(index) >= asks.need[:, None] - SCORE_SLACK)).any(axis=0)).tolist()
+        skipped = eligible.filter(~F.col("cluster").isin(met)).agg((F.count(F.lit(1)) * len(rows)).alias("pairs"))
+        parts = [nearest, skipped.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "pairs" else "pairs" for f in nearest.schema])]
+        eligible = eligible.filter(F.col("cluster").isin(met))
+    scored = reduce(DataFrame.unionByName, parts, scan_blocks(eligible, asks, index.pivots, homes))
+    hits = scored.filter(F.col("query_id").isNotNull()).drop("compared", "pairs")
+    return hits, scored.filter(F.col("query_id").isNull()).select("compared", "pairs")
 
 
 # ---- fusion, guarded results ---------------------------------------------

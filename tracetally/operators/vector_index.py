@@ -152,10 +152,10 @@ class Asks:
         return homes
 
 
-def scan_blocks(eligible: DataFrame, asks: Asks, pivots: np.ndarray, homes: np.ndarray | None = None) -> DataFrame:
+def scan_blocks(eligible: DataFrame, asks: Asks, pivots: np.ndarray, meets: np.ndarray | None = None) -> DataFrame:
     """Every task's own top-k per query over (id, revision, vector, policies, cluster, angle, block).
 
-    With ``homes`` a query meets only its own clusters. Each task adds a row without
+    With ``meets`` (queries x clusters) a query meets only the clusters marked there. Each task adds a row without
     query_id: the pairs it compared and all pairs of its vectors and the queries.
     """
     n_policies = int(asks.policy.max()) + 1
@@ -186,8 +186,8 @@ def scan_blocks(eligible: DataFrame, asks: Asks, pivots: np.ndarray, homes: np.n
                     if cluster[at] >= 0:
                         to_pivot = np.arccos(np.clip(asks.units @ pivots[cluster[at]], -1, 1))
                         active &= asks.bounds(to_pivot, angle[at:end].min(), angle[at:end].max()) >= floor - SCORE_SLACK
-                        if homes is not None:
-                            active &= homes[:, cluster[at]]
+                        if meets is not None:
+                            active &= meets[:, cluster[at]]
                     chosen = np.flatnonzero(active)
                     compared += (end - at) * len(chosen)
                     if not len(chosen):
