@@ -199,3 +199,23 @@ def test_gate_compares_runs_of_any_size(spark):
     df = spark.createDataFrame(rows, "run_id string, position long, baseline array<double>, batch array<double>, baseline_tokens int, batch_tokens int")
     got = {r.run_id: (r.documents, r.outcome) for r in V.correctness_gate(df).collect()}
     assert got == {"apart": (300, "passed"), "close": (300, "BATCH_CORRECTNESS"), "same": (300, "BATCH_CORRECTNESS")}
+
+
+def test_drain_takes_the_oldest_rows_that_pass(spark):
+    items = corpus(spark).withColumns({"vector_state": F.lit("stale"), "failure_stage": F.lit(None).cast("string"), "failure_code": F.lit(None).cast("string"), "indexed_at": -F.substring("id", 2, 1).cast("bigint")})
+    lexical = X.build_lexical(items.filter("lexical_state = 'ready'"))
+    empty = spark.createDataFrame([], "id string, revision string, fingerprint string, vector array<float>")
+    only = F.from_json(F.lit('{"scopes":[{"kind":"team","key":"a"}]}'), R.FILTER)
+    tables, report = X.drain_some(items, lexical, empty, X.checksum_embedder(8), "fp", 8, 9, 3, only)
+    assert tuple(report.first()) == (3, 3, 0, 0)
+    assert sorted(r.id for r in tables["items"].filter("vector_state = 'ready'").collect()) == ["d4", "d5", "d6"]
+    assert sorted(r.id for r in tables["vectors"].collect()) == ["d4", "d5", "d6"] and tables["items"].columns == items.columns
+    tables, report = X.drain_some(items, lexical, empty, None, "fp", 8, 9, 2)
+    assert tuple(report.first()) == (0, 0, 0, 2) and tables["vectors"].count() == 0
+    assert {r.lexical_state for r in tables["items"].filter("id = 'd4'").collect()} == {"pending"}  # d6 and d5 came first
+    for bad in (0, 1_001):
+        try:
+            X.drain_some(items, lexical, empty, None, "fp", 8, 9, bad)
+            raise AssertionError("accepted")
+        except ValueError as e:
+            assert str(e) == "invalid_limit"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.scan import running_max_before
-from ..functions.sizing import fits, maybe_broadcast
+from ..functions.sizing import cut, fits, maybe_broadcast
 from ..functions.text import tokens
 
 SOURCE = ["source_system", "source_type", "source_id"]
@@ -298,9 +298,10 @@ def build_postings(lexical: DataFrame) -> DataFrame:
     return lexical.select("id", F.posexplode("tokens").alias("pos", "token"))
 
 
-def index_lexical(items: DataFrame, lexical: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, lexical) after projecting the pending rows. Only a lexical failure is cleared."""
+def index_lexical(items: DataFrame, lexical: DataFrame, chosen: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, lexical) after projecting the pending rows (the chosen ones). Only a lexical failure is cleared."""
     todo = F.col("lexical_state") == "pending"
+    todo = todo if chosen is None else todo & chosen
     fresh = build_lexical(items.filter(todo))
     kept = lexical.join(items.filter(todo).select("id"), "id", "left_anti")
     cleared = todo & (F.col("failure_stage") == "lexical")
@@ -423,14 +424,41 @@ def drain(
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Repair lexical rows, embed the rows whose vector is not ready, store the results.
 
-    Returns the three tables and a one-row report. The embedding pass is cut with
-    a durable checkpoint, because inference must run once per row.
+    Returns the three tables and a one-row report (attempted, ready, failed).
     """
-    from ..functions.sizing import cut
+    tables, report = drain_some(items, lexical, vectors, embedder, fingerprint, dims, at, batch_size=batch_size)
+    return tables, report.drop("pending")
 
-    work = items.filter((F.col("lexical_state") == "pending") | F.col("vector_state").isin("pending", "stale"))
-    to_embed = work.filter(F.col("vector_state") != "ready")
-    items1, lexical1 = index_lexical(items, lexical)
+
+def drain_some(
+    items: DataFrame, lexical: DataFrame, vectors: DataFrame, embedder: Embedder | None, fingerprint: str, dims: int, at: int,
+    limit: int | None = None, filter: Column | None = None, batch_size: int = 16,
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """One drain over the ``limit`` oldest rows with work that pass the filter struct.
+
+    Without an embedder the lexical rows are still repaired; rows without a ready
+    vector stay as they are and are reported as pending. A limit lies between 1 and
+    1,000; without one all work is done, without a sort. The embedding pass is cut
+    with a durable checkpoint, because inference must run once per row. Returns the
+    three tables and a one-row report (attempted, ready, failed, pending).
+    """
+    if limit is not None and not 1 <= limit <= 1_000:
+        raise ValueError("invalid_limit")
+    chosen = (F.col("lexical_state") == "pending") | F.col("vector_state").isin("pending", "stale")
+    chosen = F.coalesce(chosen, F.lit(False)) & (F.lit(True) if filter is None else R.matches(filter))
+    if limit is None:
+        marked = items.withColumn("_chosen", chosen)
+    else:
+        oldest = cut(pending_work(items, limit, chosen).select(F.col("id").alias("_oldest")))
+        marked = items.join(F.broadcast(oldest), F.col("id") == F.col("_oldest"), "left").withColumn("_chosen", F.col("_oldest").isNotNull())
+        marked = marked.drop("_oldest")
+    to_embed = marked.filter(F.col("_chosen") & (F.col("vector_state") != "ready"))
+    items1, lexical1 = index_lexical(marked, lexical, F.col("_chosen"))
+    items1 = items1.drop("_chosen")
+    none = F.lit(0).cast("long")
+    if embedder is None:
+        waiting = to_embed.agg(*[none.alias(c) for c in ("attempted", "ready", "failed")], F.count(F.lit(1)).alias("pending"))
+        return {"items": items1, "lexical": lexical1, "vectors": vectors}, waiting
     result = cut(embed_rows(to_embed, embedder, batch_size))
     good, bad_vectors = validate_vectors(result.filter(F.col("vector").isNotNull()), F.lit(dims))
     items2, vectors2 = index_vectors(items1, vectors, good, fingerprint, at)
@@ -444,7 +472,7 @@ def drain(
     report = result.select(F.lit(1).alias("attempted"), F.lit(0).alias("ready"), F.lit(0).alias("failed"))
     report = report.unionByName(good.select(F.lit(0).alias("attempted"), F.lit(1).alias("ready"), F.lit(0).alias("failed")))
     report = report.unionByName(failures.select(F.lit(0).alias("attempted"), F.lit(0).alias("ready"), F.lit(1).alias("failed")))
-    report = report.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("attempted", "ready", "failed")])
+    report = report.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("attempted", "ready", "failed")], none.alias("pending"))
     return {"items": items3, "lexical": lexical1, "vectors": vectors2}, report
 
 

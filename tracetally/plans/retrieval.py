@@ -196,6 +196,22 @@ def drain(s, d):
     return report.select("attempted", "ready", "failed", F.lit(1).alias("k")).join(left.withColumn("k", F.lit(1)), "k").drop("k")
 
 
+def drain_limited(s, d):
+    """States after a drain of the 25 oldest documents with work, in one namespace subtree."""
+    it = items(s, d)
+    only = F.from_json(F.lit('{"types":["document"],"namespaces":[{"value":"docs.en","subtree":true},{"value":"docs.de","subtree":true}]}'), R.FILTER)
+    tables, _ = X.drain_some(it, X.build_lexical(it.filter("lexical_state = 'ready'")), vectors(s, d), X.checksum_embedder(64), FP, 64, AT, 25, only)
+    return tables["items"].select("id", "lexical_state", "vector_state").join(tables["lexical"].select("id", F.lit(True).alias("searchable")), "id", "left")
+
+
+def drain_unloaded(s, d):
+    """Without a model: lexical rows are repaired, rows that wait for a vector are counted."""
+    it = items(s, d)
+    tables, report = X.drain_some(it, X.build_lexical(it.filter("lexical_state = 'ready'")), vectors(s, d), None, FP, 64, AT)
+    states = tables["items"].groupBy("lexical_state", "vector_state").agg(F.count(F.lit(1)).alias("items"))
+    return states.join(F.broadcast(report.select("attempted", "pending")))
+
+
 def rebuild_index(s, d):
     sources = table(s, d, "incoming").filter("id LIKE 'd%' AND namespace LIKE 'docs.%' AND source_system <> 'moved' AND content NOT LIKE 'quality%'")
     out, _ = X.rebuild_index(_stored(s, d), sources, FP, AT, "b4")
@@ -212,7 +228,7 @@ QUERIES = {
     for f in [
         validate_items, content_hash, stage, stage_rejects, authorized_items, validate_filters, match_filter, pending_work, mark_failed,
         remove_by_source, requeue, requeue_ids, index_stats, index_stats_by_namespace, index_lexical, index_vectors, validate_vectors,
-        fingerprint_keys, synthetic_vectors, drain, rebuild_index, isolated_sources,
+        fingerprint_keys, synthetic_vectors, drain, drain_limited, drain_unloaded, rebuild_index, isolated_sources,
     ]
 }
 
@@ -314,6 +330,18 @@ ORACLES = {
         """SELECT count(*) FILTER (WHERE tried) AS attempted, count(*) FILTER (WHERE tried) AS ready, CAST(0 AS BIGINT) AS failed, count(*) FILTER (WHERE vector_state IN ('pending', 'stale') AND NOT tried) AS pending
         FROM (SELECT *, (lexical_state = 'pending' OR vector_state IN ('pending', 'stale')) AND vector_state <> 'ready' AS tried FROM retrieval_items)""",
     ),
+    "drain_limited": with_ctes(
+        ["retrieval_items"],
+        """SELECT i.id, CASE WHEN w.id IS NOT NULL AND lexical_state = 'pending' THEN 'ready' ELSE lexical_state END AS lexical_state, CASE WHEN w.id IS NOT NULL THEN 'ready' ELSE vector_state END AS vector_state,
+        CASE WHEN lexical_state = 'ready' OR (w.id IS NOT NULL AND lexical_state = 'pending') THEN true END AS searchable
+        FROM retrieval_items i LEFT JOIN (SELECT id FROM retrieval_items WHERE type = 'document' AND (namespace IN ('docs.en', 'docs.de') OR namespace LIKE 'docs.en.%' OR namespace LIKE 'docs.de.%')
+          AND (lexical_state = 'pending' OR vector_state IN ('pending', 'stale')) ORDER BY indexed_at, id LIMIT 25) w ON w.id = i.id""",
+    ),
+    "drain_unloaded": with_ctes(
+        ["retrieval_items"],
+        """SELECT CASE WHEN lexical_state = 'pending' THEN 'ready' ELSE lexical_state END AS lexical_state, vector_state, count(*) AS items, CAST(0 AS BIGINT) AS attempted,
+        (SELECT count(*) FROM retrieval_items WHERE vector_state <> 'ready' AND (lexical_state = 'pending' OR vector_state IN ('pending', 'stale'))) AS pending FROM retrieval_items GROUP BY 1, 2""",
+    ),
     "rebuild_index": with_ctes(
         ["retrieval_items", "incoming"],
         """SELECT coalesce(n.id, o.id) AS id, coalesce(n.namespace, o.namespace) AS namespace, coalesce(n.updated_at, o.updated_at) AS updated_at, CASE WHEN n.id IS NOT NULL THEN 'pending' ELSE o.lexical_state END AS lexical_state,
