@@ -282,10 +282,13 @@ def safety(samples: DataFrame) -> DataFrame:
 
 
 def sample_peaks(samples: DataFrame) -> DataFrame:
-    """Peaks and end points of each run's device samples, in sample order."""
+    """Peaks and end points of each run's device samples, in sample order. Heaps that were not sampled have no peak."""
+    heap = lambda c: F.max(F.col(c) if c in samples.columns else F.lit(None).cast("long"))
     return samples.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("sample_count"),
         F.max("app_pss_bytes").alias("peak_pss_bytes"),
+        heap("native_heap_bytes").alias("peak_native_heap_bytes"),
+        heap("java_heap_bytes").alias("peak_java_heap_bytes"),
         F.max("battery_temperature_c").alias("peak_temperature_c"),
         F.max("thermal_status").alias("peak_thermal"),
         F.min("available_ram_bytes").alias("minimum_available_ram_bytes"),

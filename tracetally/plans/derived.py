@@ -129,6 +129,7 @@ SELECT 'run'||user_id AS run_id, @MS(ts) AS elapsed_realtime_ms, event_id AS seq
   CASE WHEN event_type = 'signup' THEN NULL ELSE CAST(floor(value * 1048576) AS BIGINT) * 16 END AS available_ram_bytes,
   CAST(268435456 AS BIGINT) AS threshold_bytes, value < 1.0 AS low_memory,
   CASE WHEN event_type = 'purchase' AND value > 30 THEN CAST(3 AS BIGINT) WHEN event_type = 'view' AND user_id % 8 = 1 THEN NULL ELSE CAST(1 AS BIGINT) END AS thermal_status,
+  CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(20000000 + (event_id * 7919) % 1000003 AS BIGINT) END AS java_heap_bytes, CAST(30000000 + (event_id * 104729) % 1000003 AS BIGINT) AS native_heap_bytes,
   CAST(100000000 + event_id * 1000 AS BIGINT) AS app_pss_bytes FROM events""",
     "benchmark_runs": """
 SELECT 'run'||user_id AS run_id, CAST(count(*) AS BIGINT) AS requested, CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS BIGINT) AS completed,

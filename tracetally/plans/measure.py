@@ -331,7 +331,7 @@ walk AS (SELECT request_id, n, 0 AS pack, 1 AS seqs, tokens AS used FROM good WH
     ),
     "sample_peaks": with_ctes(
         ["device_samples"],
-        """SELECT run_id, count(*) AS sample_count, max(app_pss_bytes) AS peak_pss_bytes, max(battery_temperature_c) AS peak_temperature_c, max(thermal_status) AS peak_thermal, min(available_ram_bytes) AS minimum_available_ram_bytes,
+        """SELECT run_id, count(*) AS sample_count, max(app_pss_bytes) AS peak_pss_bytes, max(native_heap_bytes) AS peak_native_heap_bytes, max(java_heap_bytes) AS peak_java_heap_bytes, max(battery_temperature_c) AS peak_temperature_c, max(thermal_status) AS peak_thermal, min(available_ram_bytes) AS minimum_available_ram_bytes,
         first(battery_temperature_c ORDER BY seq) AS initial_temperature_c, last(battery_temperature_c ORDER BY seq) AS final_temperature_c, first(thermal_status ORDER BY seq) AS initial_thermal, last(thermal_status ORDER BY seq) AS final_thermal
         FROM device_samples GROUP BY run_id""",
     ),

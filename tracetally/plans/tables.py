@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizing import shared_folder
@@ -206,6 +208,40 @@ def session_children(s, d):
     return L.children_of(table(s, d, "sessions"), archived).select("parent_session_id", "id")
 
 
+OPEN = {"turns": ("turn_id", ["streaming"]), "agent_runs": ("agent_run_id", ["queued", "running"]), "generations": ("id", ["queued", "connecting", "streaming"])}
+
+
+def open_records(s, d):
+    """Turns, runs and generations that are still open; no status asked of the calls, so none of them."""
+    kinds = [(k, key, statuses) for k, (key, statuses) in OPEN.items()] + [("model_calls", "call_id", [])]
+    parts = [L.by_status(table(s, d, k), statuses).select(F.lit(k).alias("kind"), F.col(key).alias("id"), "status") for k, key, statuses in kinds]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def calls_by_origin(s, d):
+    """Calls of open turns, of open runs, and those that replace a failed call."""
+    calls = table(s, d, "model_calls")
+    keys = {
+        "turn_id": L.by_status(table(s, d, "turns"), ["streaming"]).select("turn_id"),
+        "agent_run_id": L.by_status(table(s, d, "agent_runs"), ["running"]).select("agent_run_id"),
+        "fallback_from_call_id": L.by_status(calls, ["failed"]).select(F.col("call_id").alias("fallback_from_call_id")),
+    }
+    parts = [L.by_keys(calls, wanted, k).select(F.lit(k).alias("origin"), F.col(k).alias("key"), "call_id", "requested_at") for k, wanted in keys.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def latest_call_per_message(s, d):
+    """The newest call of every message and of every generation; a message is retried by later calls."""
+    no = F.substring("call_id", 2, 20).cast("long")
+    message = F.when(no % 11 > 0, F.concat("session_id", F.lit("-m"), (no % 3).cast("string")))
+    calls = table(s, d, "model_calls").withColumns({"message_id": message, "generation_id": F.concat(message, F.lit("-g"), (no % 2).cast("string"))})
+    parts = [
+        L.latest_by(calls.select(k, "call_id", "requested_at"), k, "requested_at", "call_id").select(F.lit(k).alias("origin"), F.col(k).alias("key"), "call_id", "requested_at")
+        for k in ("message_id", "generation_id")
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def messages_of_conversation(s, d):
     closed = table(s, d, "generations").filter(F.col("status") == "completed").select("conversation_id")
     return L.by_keys(table(s, d, "messages"), closed, "conversation_id").select("conversation_id", "created_at", "id", "role")
@@ -217,7 +253,7 @@ QUERIES = {
         typed_scan, stored_scan, upsert, patch_update, insert_missing, append_immutable, append_rejects, plan_rejects, first_terminal, soft_delete,
         integrity_report, upgrade, normalize_usage, generation_usage, import_price_sheet, vector_codec, get_by_id, runs_by_turn,
         calls_by_status, calls_by_session, calls_of_agent, latest_call_per_turn, attempts_by_call, allocations_by_call, prices_valid_at,
-        sessions_by_state, session_children, messages_of_conversation,
+        sessions_by_state, session_children, messages_of_conversation, open_records, calls_by_origin, latest_call_per_message,
     ]
 }
 
@@ -339,6 +375,22 @@ ORACLES = {
         + " FROM price_sheet))",
     ),
     "vector_codec": "SELECT vec_id, CAST(len(embedding) * 4 AS BIGINT) AS n_bytes, 0.0::DOUBLE AS loss FROM embeddings",
+    "open_records": with_ctes(
+        [*OPEN],
+        " UNION ALL ".join(f"SELECT '{k}' AS kind, {key} AS id, status FROM {k} WHERE status IN ({str(statuses)[1:-1]})" for k, (key, statuses) in OPEN.items()),
+    ),
+    "calls_by_origin": with_ctes(
+        ["model_calls", "turns", "agent_runs"],
+        """SELECT 'turn_id' AS origin, turn_id AS key, call_id, requested_at FROM model_calls WHERE turn_id IN (SELECT turn_id FROM turns WHERE status = 'streaming')
+        UNION ALL SELECT 'agent_run_id', agent_run_id, call_id, requested_at FROM model_calls WHERE agent_run_id IN (SELECT agent_run_id FROM agent_runs WHERE status = 'running')
+        UNION ALL SELECT 'fallback_from_call_id', fallback_from_call_id, call_id, requested_at FROM model_calls WHERE fallback_from_call_id IN (SELECT call_id FROM model_calls WHERE status = 'failed')""",
+    ),
+    "latest_call_per_message": with_ctes(
+        ["model_calls"],
+        """SELECT origin, key, call_id, requested_at FROM (SELECT *, row_number() OVER (PARTITION BY origin, key ORDER BY requested_at DESC, call_id DESC) AS nth FROM
+        (SELECT 'message_id' AS origin, message AS key, call_id, requested_at FROM keyed UNION ALL SELECT 'generation_id', message||'-g'||(no % 2), call_id, requested_at FROM keyed) WHERE key IS NOT NULL) WHERE nth = 1""",
+        extra="""keyed AS (SELECT *, CASE WHEN no % 11 > 0 THEN session_id||'-m'||(no % 3) END AS message FROM (SELECT *, CAST(substr(call_id, 2) AS BIGINT) AS no FROM model_calls))""",
+    ),
     "get_by_id": with_ctes(
         ["model_calls", "cost_allocations"],
         "SELECT call_id, session_id, status, requested_at FROM model_calls WHERE call_id IN (SELECT call_id FROM cost_allocations)",
