@@ -167,3 +167,13 @@ def test_large_requests_are_packed_whole(spark):
         seqs, used = seqs + 1, used + tokens
         assert got == pack
     assert len(rows) == 5_000 and [tuple(r) for r in rejects.collect()] == [("s", 0, 600, "INPUT_TOO_LONG")]
+
+
+def test_heap_peaks(spark):
+    rows = [("r", 1, 10, 20, None, 30.0, 0, 9), ("r", 2, 12, 25, None, 31.5, 3, 7), ("r", 3, 11, None, None, 31.0, 1, 8)]
+    cols = "run_id string, seq bigint, app_pss_bytes bigint, native_heap_bytes bigint, java_heap_bytes bigint, battery_temperature_c double, thermal_status bigint, available_ram_bytes bigint"
+    samples = spark.createDataFrame(rows, cols)
+    r = M.sample_peaks(samples).first()
+    assert (r.peak_pss_bytes, r.peak_native_heap_bytes, r.peak_java_heap_bytes, r.minimum_available_ram_bytes) == (12, 25, None, 7)
+    assert (r.initial_temperature_c, r.peak_temperature_c, r.final_temperature_c, r.initial_thermal, r.peak_thermal, r.final_thermal) == (30.0, 31.5, 31.0, 0, 3, 1)
+    assert M.sample_peaks(samples.drop("native_heap_bytes")).first().peak_native_heap_bytes is None

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from ..operators import cost as C
 from ..operators import report_text as D
 from ..operators import sessions as N
+from .cost import CALLS, NEED
 from .cost import ORACLES as COST_SQL
 from .cost import price_list, session_summary, turn_detail
 from .derived import DEFS, table, with_ctes
@@ -108,6 +112,16 @@ def running_counts(s, d):
     return N.running_counts(table(s, d, "work_events"))
 
 
+def recovered_calls(s, d):
+    """Usage, cost and timing of every call after a restart: stopped calls are finalised with their stopped attempts."""
+    out = N.recover_orphans(table(s, d, "model_calls"), table(s, d, "attempts"), table(s, d, "agent_runs"), None, AT)
+    calls = C.finalize_calls(out["calls"], C.attempt_cost(out["attempts"], table(s, d, "model_pricing")))
+    return calls.select(
+        "call_id", "status", "completed_at", F.coalesce("attempt_count", F.lit(0)).alias("attempt_count"), "usage_source", "api_equivalent_cost_micros", "metered_cost_micros", "ttft_ms",
+        "generation_duration_ms", "total_latency_ms",
+    )
+
+
 def recover_orphans(s, d):
     out = N.recover_orphans(table(s, d, "model_calls"), table(s, d, "attempts"), table(s, d, "agent_runs"), table(s, d, "turns"), AT)
     parts = [
@@ -176,7 +190,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         archive_subtree, archive_rejects, active_ancestry, restore_sessions, restore_rejects, build_context, retry_context, titles, recover_generations,
-        interrupted_messages, touched_conversations, live_overlay, running_counts, recover_orphans, interrupt_generations, request_ids, error_details, usage_report, turn_report,
+        interrupted_messages, touched_conversations, live_overlay, running_counts, recover_orphans, recovered_calls, interrupt_generations, request_ids, error_details, usage_report, turn_report,
         price_report, retry_links, reopened_turns,
     ]
 }
@@ -291,6 +305,17 @@ ORACLES = {
         ["work_events"],
         "SELECT session_id, CAST(sum(CASE type WHEN 'work_started' THEN 1 WHEN 'work_finished' THEN -1 ELSE 0 END) AS BIGINT) AS running FROM work_events GROUP BY ROLLUP (session_id)",
     ),
+    "recovered_calls": with_ctes(
+        NEED,
+        """SELECT call_id, status, completed_at, coalesce(attempt_count, 0) AS attempt_count, usage_source, api AS api_equivalent_cost_micros, met AS metered_cost_micros, ttft AS ttft_ms, gen_ms AS generation_duration_ms,
+        CASE WHEN completed_at - requested_at < 0 THEN 0 ELSE completed_at - requested_at END AS total_latency_ms FROM fin""",
+        extra=f"""stopped_calls AS (SELECT * REPLACE (CASE WHEN status = 'streaming' AND completed_at IS NULL THEN 'interrupted' ELSE status END AS status,
+          coalesce(completed_at, CASE WHEN status = 'streaming' THEN {AT} END) AS completed_at) FROM model_calls),
+        stopped_attempts AS (SELECT * REPLACE (CASE WHEN h THEN 'interrupted' ELSE status END AS status, CASE WHEN h THEN {AT} ELSE completed_at END AS completed_at)
+          FROM (SELECT *, completed_at IS NULL AND call_id IN (SELECT call_id FROM model_calls WHERE status = 'streaming') AS h FROM attempts)),
+        """
+        + re.sub(r"\bmodel_calls\b", "stopped_calls", re.sub(r"\battempts\b", "stopped_attempts", CALLS)),
+    ),
     "recover_orphans": with_ctes(
         ["model_calls", "attempts", "agent_runs", "turns"],
         f"""SELECT 'call' AS kind, call_id AS id, CASE WHEN status = 'streaming' AND completed_at IS NULL THEN 'interrupted' ELSE status END AS status, coalesce(completed_at, CASE WHEN status = 'streaming' THEN {AT} END) AS completed_at,
