@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.sizing import shuffled
 from .schemas import SCHEMAS
 
 SAFE_MAX = 2**53 - 1
@@ -111,21 +112,21 @@ def integrity_report(calls: DataFrame, attempts: DataFrame, runs: DataFrame, age
     run_ctx = runs.select(
         F.col("agent_run_id"), F.col("session_id").alias("rs"), F.col("turn_id").alias("rt"), F.col("agent_id").alias("ra")
     )
-    call_run = calls.join(run_ctx, "agent_run_id").filter(
+    call_run = calls.join(shuffled(run_ctx), "agent_run_id").filter(
         (F.col("session_id") != F.col("rs")) | ~F.col("turn_id").eqNullSafe(F.col("rt")) | (F.col("agent_id") != F.col("ra"))
     )
     parents = run_ctx.withColumnRenamed("agent_run_id", "parent_agent_run_id")
-    parent_ctx = runs.join(parents, "parent_agent_run_id").filter(
+    parent_ctx = runs.join(shuffled(parents), "parent_agent_run_id").filter(
         (F.col("session_id") != F.col("rs")) | ~F.col("turn_id").eqNullSafe(F.col("rt"))
     )
     live = agents.filter(F.col("deleted_at").isNull())
     finished = calls.filter(F.col("completed_at").isNotNull()).select("call_id", F.col("completed_at").alias("closed"))
-    late = attempts.join(finished, "call_id").filter(F.col("started_at") > F.col("closed"))
+    late = attempts.join(shuffled(finished), "call_id").filter(F.col("started_at") > F.col("closed"))
     parts = [
-        missing("attempt_call_missing", attempts, "call_id", "attempt_id", calls, "call_id"),
-        missing("call_run_missing", calls, "agent_run_id", "call_id", runs, "agent_run_id"),
-        missing("fallback_call_missing", calls, "fallback_from_call_id", "call_id", calls, "call_id"),
-        missing("parent_run_missing", runs, "parent_agent_run_id", "agent_run_id", runs, "agent_run_id"),
+        missing("attempt_call_missing", attempts, "call_id", "attempt_id", shuffled(calls), "call_id"),
+        missing("call_run_missing", calls, "agent_run_id", "call_id", shuffled(runs), "agent_run_id"),
+        missing("fallback_call_missing", calls, "fallback_from_call_id", "call_id", shuffled(calls), "call_id"),
+        missing("parent_run_missing", runs, "parent_agent_run_id", "agent_run_id", shuffled(runs), "agent_run_id"),
         missing("run_agent_missing_or_deleted", runs, "agent_id", "agent_run_id", live, "agent_id"),
         call_run.select(F.lit("call_context_mismatch").alias("rule"), F.col("call_id").alias("id")),
         parent_ctx.select(F.lit("parent_run_context_mismatch").alias("rule"), F.col("agent_run_id").alias("id")),
