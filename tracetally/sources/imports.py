@@ -24,11 +24,21 @@ USAGE_JSON = "STRUCT<" + ", ".join(f"{f}: STRING" for f in USAGE_FIELDS) + ">"
 NUMBER = r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$"
 
 
-def _variant_number(doc: str, path: str) -> Column:
-    """A JSON member as double, NULL unless it is written as a number."""
-    kind = F.schema_of_variant(F.try_variant_get(F.col(doc), path, "variant"))
-    is_number = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
-    return F.when(is_number, F.try_variant_get(F.col(doc), path, "double"))
+def _members(doc: Column, names: list[str]) -> Column:
+    """The named members of a JSON object as a struct of variants, taken in one pass."""
+    return F.try_variant_get(doc, "$", "struct<" + ", ".join(f"{n}: variant" for n in names) + ">")
+
+
+def _variant_number(value: Column) -> Column:
+    """A JSON value as double, NULL unless it is written as a number."""
+    is_number = F.schema_of_variant(value).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+    return F.when(is_number, F.try_variant_get(value, "$", "double"))
+
+
+def _with_numbers(df: DataFrame, json_col: str) -> DataFrame:
+    """The members of the JSON text as ``_doc`` and its usage numbers as ``_<field>``; the text is parsed once."""
+    out = df.withColumn("_doc", _members(F.try_parse_json(json_col), [*USAGE_FIELDS, "cost"]))
+    return out.withColumns({f"_{f}": _variant_number(F.col(f"_doc.{f}")) for f in USAGE_FIELDS})
 
 
 def normalize_usage(df: DataFrame, json_col: str) -> DataFrame:
@@ -38,8 +48,10 @@ def normalize_usage(df: DataFrame, json_col: str) -> DataFrame:
     integers are unknown. A record whose numbers are all zero is a placeholder
     and yields no usage at all, as does one without any usable number.
     """
-    out = df.withColumn("_doc", F.try_parse_json(json_col))
-    out = out.withColumns({f"_{f}": _variant_number("_doc", f"$.{f}") for f in USAGE_FIELDS})
+    return _normalized(_with_numbers(df, json_col), json_col).drop("_doc", *[f"_{f}" for f in USAGE_FIELDS])
+
+
+def _normalized(out: DataFrame, json_col: str) -> DataFrame:
     raw = [F.col(f"_{f}") for f in USAGE_FIELDS]
     any_number, all_zero = F.lit(False), F.lit(True)
     for r in raw:
@@ -64,7 +76,7 @@ def normalize_usage(df: DataFrame, json_col: str) -> DataFrame:
             "usage_source": F.when(F.col("has_usage"), "provider_reported"),
             "provider_usage_json": F.when(F.col("has_usage"), F.col(json_col)),
         }
-    ).drop("_doc", "_empty", *[f"_{f}" for f in USAGE_FIELDS])
+    ).drop("_empty")
 
 
 def generation_usage(df: DataFrame, json_col: str) -> DataFrame:
@@ -73,13 +85,13 @@ def generation_usage(df: DataFrame, json_col: str) -> DataFrame:
     Without usable usage only the ids survive; a pending stop reason is no finish
     reason when usage is present.
     """
-    out = normalize_usage(df, json_col)
-    out = out.withColumn("_doc", F.try_parse_json(json_col))
+    out = _normalized(_with_numbers(df, json_col), json_col)
+    out = out.withColumn("_cost", _members(F.col("_doc.cost"), COST_FIELDS))
     usage = F.col("has_usage")
     names = {"input": "input_tokens", "output": "output_tokens", "cacheRead": "cached_tokens", "cacheWrite": "cache_write_tokens",
              "reasoning": "reasoning_tokens", "totalTokens": "total_tokens"}
-    cols = {n: F.when(usage, _variant_number("_doc", f"$.{f}")).alias(n) for f, n in names.items()}
-    cost = {f"cost_{c}": F.when(usage, _variant_number("_doc", f"$.cost.{c}")) for c in COST_FIELDS}
+    cols = {n: F.when(usage, F.col(f"_{f}")) for f, n in names.items()}
+    cost = {f"cost_{c}": F.when(usage, _variant_number(F.col(f"_cost.{c}"))) for c in COST_FIELDS}
     stop, raw = F.col("stop_reason"), F.col("raw_stop_reason")
     finish = F.when(F.length(stop) > 0, F.when(F.length(raw) > 0, raw).otherwise(stop))
     finish = F.when(~usage | (stop != "pending"), finish)
@@ -90,7 +102,7 @@ def generation_usage(df: DataFrame, json_col: str) -> DataFrame:
     known = F.lit(False)
     for k in keep:
         known = known | F.col(k).isNotNull()
-    return out.withColumn("has_generation_usage", known).drop("_doc")
+    return out.withColumn("has_generation_usage", known).drop("_doc", "_cost", *[f"_{f}" for f in USAGE_FIELDS])
 
 
 UNITS = {"": 1.0, "usd": 1.0, "c": 100.0, "¢": 100.0, "cent": 100.0, "cents": 100.0}  # per dollar
