@@ -10,7 +10,7 @@ best candidates of each query: no row per document and query exists before that
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,8 @@ from ..functions.sizing import chunks_for, shared_folder
 SHARD_DOCS = 20_000  # documents of a shard on average: what one task holds of the index, for a chunk's words
 BUCKETS = 16
 META = -1  # bucket of the rows that describe shards
-SLICED = 1 << 16  # a word's documents in one row at most
+SLICED = 1 << 12  # a word's documents in one row at most
+POSTING = "shard int, token string, ids array<string>, lengths array<bigint>, tfs array<bigint>, positions array<array<int>>"
 HIT = "shard int, phrase int, ids array<string>, lengths array<bigint>, tfs array<bigint>"
 
 
@@ -39,21 +40,47 @@ def bucket_of(token: Column) -> Column:
     return F.pmod(_code(token), F.lit(BUCKETS)).cast("int")
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of every shard and word of a batch of documents (shard, id, n_tokens, tokens), documents in order of their ids."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, SLICED):
+            batch = whole.slice(start, SLICED).sort_by("id")
+            tokens = batch.column("tokens")
+            sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            words = tokens.flatten().dictionary_encode()
+            if not len(words):
+                continue
+            doc = np.repeat(np.arange(batch.num_rows), sizes)
+            pos = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            shard, word = batch.column("shard").to_numpy()[doc], words.indices.to_numpy()
+            order = np.lexsort((word, shard))  # stable: documents and positions stay in order
+            doc, pos, shard, word = (x[order] for x in (doc, pos, shard, word))
+            new = np.ones(len(doc), bool)
+            new[1:] = (shard[1:] != shard[:-1]) | (word[1:] != word[:-1])
+            rows = np.flatnonzero(new)
+            new[1:] |= doc[1:] != doc[:-1]
+            held = np.flatnonzero(new)  # a document of a word
+            inner = np.append(held, len(doc)).astype(np.int32)
+            outer = pa.array(np.append(np.searchsorted(held, rows), len(held)).astype(np.int32))
+            at = pa.array(doc[held])
+            lists = [batch.column("id").take(at), batch.column("n_tokens").take(at), pa.array(np.diff(inner).astype(np.int64))]
+            lists.append(pa.ListArray.from_arrays(pa.array(inner), pa.array(pos.astype(np.int32))))
+            columns = [pa.array(shard[rows]), words.dictionary.take(pa.array(word[rows])), *[pa.ListArray.from_arrays(outer, x) for x in lists]]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "token", "ids", "lengths", "tfs", "positions"])
+
+
 def build_inverted(lexical: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """bucket, code, token, shard, ids, lengths, tfs, positions and, for every shard, a row of totals; not yet written.
 
-    One exchange, by shard: documents, words and words' rows then stay where they are.
+    One exchange, by shard: documents, words and words' rows then stay where they are. Rows are made batch by batch
+    of a shard's documents, so no row per occurrence of a word exists and nothing is sorted or spilled for it.
     """
     spark = lexical.sparkSession
     shards = max(chunks_for(lexical.count(), shard_docs), spark.sparkContext.defaultParallelism)
     dealt = lexical.select(_shard(shards).alias("shard"), "id", "n_tokens", "tokens").repartition(shards, "shard")
-    words = dealt.select("shard", "id", "n_tokens", F.posexplode("tokens").alias("pos", "token"))
-    each = words.groupBy("shard", "id", "n_tokens", "token").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    rows = each.withColumn("part", F.pmod(F.hash("id"), F.lit(chunks_for(2 * shard_docs, SLICED)))).groupBy("shard", "token", "part")
-    rows = rows.agg(F.array_sort(F.collect_list(F.struct("id", "n_tokens", "positions"))).alias("d"))
-    postings = rows.select(
-        bucket_of(F.col("token")).alias("bucket"), _code(F.col("token")).alias("code"), "token", "shard", F.col("d.id").alias("ids"), F.col("d.n_tokens").alias("lengths"), F.transform("d.positions", lambda p: F.size(p).cast("long")).alias("tfs"), F.col("d.positions").alias("positions"),
-        F.size("d").cast("long").alias("n_docs"), F.lit(None).cast("long").alias("total_length"),
+    postings = dealt.mapInArrow(_postings, POSTING).select(
+        bucket_of(F.col("token")).alias("bucket"), _code(F.col("token")).alias("code"), "token", "shard", "ids", "lengths", "tfs", "positions",
+        F.size("ids").cast("long").alias("n_docs"), F.lit(None).cast("long").alias("total_length"),
     )
     totals = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("total_length"))
     none = {"ids": "array<string>", "lengths": "array<bigint>", "tfs": "array<bigint>", "positions": "array<array<int>>"}
@@ -65,11 +92,10 @@ def build_inverted(lexical: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFram
 
 
 def write_inverted(index: DataFrame) -> DataFrame:
-    """The index as a table in the shared folder, partitioned by bucket and sorted by the words' hash."""
+    """The index as a table in the shared folder, partitioned by bucket; every shard's rows are written where they are, sorted by the words' hash."""
     spark = index.sparkSession
     path = f"{shared_folder(spark)}/inverted-{uuid.uuid4().hex}"
-    spread = F.pmod(F.hash("token"), F.lit(max(1, spark.sparkContext.defaultParallelism // BUCKETS)))
-    index.repartition("bucket", spread).sortWithinPartitions("bucket", "code", "shard").write.partitionBy("bucket").parquet(path)
+    index.sortWithinPartitions("bucket", "code", "shard").write.partitionBy("bucket").parquet(path)
     order = ["code", "token", "shard", "ids", "lengths", "tfs", "positions", "n_docs", "total_length", "bucket"]
     return spark.read.schema(index.select(*order).schema).parquet(path)
 
