@@ -1,6 +1,6 @@
 """Positional inverted index and the searches that read it.
 
-Documents are dealt over shards, words over buckets. A row holds one word's documents of one shard with
+Documents are dealt over shards, words over buckets. A row holds one word's documents of one part of a shard with
 their lengths and the word's positions; the table is partitioned by bucket and sorted by the word's
 hash, so a search reads only the buckets of its words, and skips row groups there. Phrases are matched
 by intersecting position lists. Scores are added up shard by shard in arrays, and every shard keeps its
