@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizing import chunks_for, shared_folder
@@ -76,7 +76,7 @@ def build_inverted(lexical: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFram
     of a shard's documents, so no row per occurrence of a word exists and nothing is sorted or spilled for it.
     """
     spark = lexical.sparkSession
-    shards = max(chunks_for(lexical.count(), shard_docs), spark.sparkContext.defaultParallelism)
+    shards = shards_for(lexical.count(), spark, shard_docs)
     dealt = lexical.select(_shard(shards).alias("shard"), "id", "n_tokens", "tokens").repartition(shards, "shard")
     postings = dealt.mapInArrow(_postings, POSTING).select(
         bucket_of(F.col("token")).alias("bucket"), _code(F.col("token")).alias("code"), "token", "shard", "ids", "lengths", "tfs", "positions",
@@ -164,7 +164,10 @@ def _matcher(phrases: list[tuple[int, list[str]]]) -> Callable[[pa.Table], pa.Ta
 
 
 def phrase_hits(index: DataFrame, phrases: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    """(shard, phrase number, ids, lengths, tfs) of the phrases (phrase, words) of a bounded chunk, and the numbers."""
+    """(shard, phrase number, ids, lengths, tfs) of the phrases (phrase, words) of a bounded chunk, and the numbers.
+
+    The shards are dealt over as many partitions as there are, so a task's part does not grow with the index.
+    """
     spark = index.sparkSession
     rows = phrases.collect()  # a chunk's phrases
     numbers = {r["phrase"]: k for k, r in enumerate(rows)}
@@ -179,10 +182,112 @@ def phrase_hits(index: DataFrame, phrases: DataFrame) -> tuple[DataFrame, dict[s
     if several:  # only these read positions
         words = spark.createDataFrame(sorted({(x,) for _, w in several for x in w}), "token string")
         touched = read_words(index, words, buckets(words)).select("shard", "token", "ids", "lengths", "positions")
+        touched = touched.repartition(totals(index)[2], "shard")
         hits = hits.unionByName(touched.groupBy("shard").applyInArrow(_matcher(several), HIT))
     return hits, numbers
 
 
+def shards_for(documents: int, spark: SparkSession, shard_docs: int = SHARD_DOCS) -> int:
+    return max(chunks_for(documents, shard_docs), spark.sparkContext.defaultParallelism)
+
+
+class Phrases:
+    """Phrases as codes of their words, to be found in many documents at a time."""
+
+    def __init__(self, phrases: list[list[str]]):
+        self.words = pa.array(sorted({w for p in phrases for w in p}), pa.string())
+        code = {w: k for k, w in enumerate(self.words.to_pylist())}
+        self.alone = np.full(len(code), -1, np.int64)  # the phrase that is this word
+        several = []
+        for k, p in enumerate(phrases):
+            if len(p) == 1:
+                self.alone[code[p[0]]] = k
+            elif p:
+                several.append((code[p[0]] * len(code) + code[p[1]], k, [code[w] for w in p]))
+        several.sort()
+        self.begins, self.number = (np.array([x[i] for x in several], np.int64) for i in (0, 1))  # first two words; phrase
+        self.size = np.array([len(c) for _, _, c in several], np.int64)
+        self.codes = np.array([w for _, _, c in several for w in c], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+
+    def find(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, phrase, how often it starts there) for documents given as lists of words."""
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        flat = tokens.flatten().dictionary_encode()
+        known = pc.fill_null(pc.index_in(flat.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        word = np.append(known, -1)[pc.fill_null(flat.indices, len(known)).to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+        ends = np.cumsum(sizes)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        phrase = np.where(word >= 0, np.append(self.alone, -1)[word], -1)
+        found = [(doc[phrase >= 0], phrase[phrase >= 0])]
+        if len(self.begins) and len(word) > 1:
+            first = np.flatnonzero((word[:-1] >= 0) & (word[1:] >= 0) & (doc[:-1] == doc[1:]))
+            pair = word[first] * len(self.words) + word[first + 1]
+            lo, hi = np.searchsorted(self.begins, pair), np.searchsorted(self.begins, pair, side="right")
+            start, which = np.repeat(first, hi - lo), np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+            inside = start + self.size[which] <= ends[doc[start]]
+            start, which, k = start[inside], which[inside], 2
+            while len(start):
+                done = self.size[which] == k
+                found.append((doc[start[done]], self.number[which[done]]))
+                start, which = start[~done], which[~done]
+                same = word[start + k] == self.codes[self.at[which] + k]
+                start, which, k = start[same], which[same], k + 1
+        doc, phrase = (np.concatenate(x) for x in zip(*found))
+        many = max(1, len(self.alone) + len(self.number))
+        key, times = np.unique(doc * many + phrase, return_counts=True)
+        return key // many, key % many, times.astype(np.int64)
+
+
+def _numbered(phrases: DataFrame) -> tuple[Phrases, dict[str, int]]:
+    rows = phrases.select("phrase", "words").collect()  # a chunk's phrases
+    return Phrases([list(r["words"]) for r in rows]), {r["phrase"]: k for k, r in enumerate(rows)}
+
+
+def scan_phrases(lexical: DataFrame, phrases: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(id, n_tokens, phrase number, tf) of the phrases (phrase, words) of a bounded chunk, and the numbers.
+
+    A scan of the documents, a bounded number of them at a time: nothing is shuffled or held.
+    """
+    finder, numbers = _numbered(phrases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICED):
+                batch = whole.slice(start, SLICED)
+                doc, phrase, times = finder.find(batch.column("tokens"))
+                at = pa.array(doc)
+                columns = [batch.column("id").take(at), batch.column("n_tokens").take(at), pa.array(phrase.astype(np.int32)), pa.array(times)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "phrase", "tf"])
+
+    read = lexical.select("id", F.col("n_tokens").cast("long").alias("n_tokens"), "tokens")
+    return read.mapInArrow(run, "id string, n_tokens long, phrase int, tf long"), numbers
+
+
+def scan_hits(lexical: DataFrame, phrases: DataFrame, shards: int) -> tuple[DataFrame, dict[str, int]]:
+    """What ``phrase_hits`` gives, from a scan of documents without an index."""
+    finder, numbers = _numbered(phrases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICED):
+                batch = whole.slice(start, SLICED)
+                doc, phrase, times = finder.find(batch.column("tokens"))
+                shard = batch.column("shard").to_numpy()[doc]
+                order = np.lexsort((phrase, shard))
+                doc, phrase, times, shard = (x[order] for x in (doc, phrase, times, shard))
+                new = np.ones(len(doc), bool)
+                new[1:] = (shard[1:] != shard[:-1]) | (phrase[1:] != phrase[:-1])
+                rows, at = np.flatnonzero(new), pa.array(doc)
+                outer = pa.array(np.append(rows, len(doc)).astype(np.int32))
+                lists = [batch.column("id").take(at), batch.column("n_tokens").take(at), pa.array(times)]
+                columns = [pa.array(shard[rows]), pa.array(phrase[rows].astype(np.int32)), *[pa.ListArray.from_arrays(outer, x) for x in lists]]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "phrase", "ids", "lengths", "tfs"])
+
+    read = lexical.select(_shard(shards).alias("shard"), "id", F.col("n_tokens").cast("long").alias("n_tokens"), "tokens")
+    return read.mapInArrow(run, HIT), numbers
+
+
 def totals(index: DataFrame) -> tuple[int, int, int]:
     """Documents, tokens and shards of an index."""
     r = index.filter(F.col("bucket") == META).agg(F.sum("n_docs"), F.sum("total_length"), F.max("code")).first()

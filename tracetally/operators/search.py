@@ -18,6 +18,7 @@ from ..functions.text import phrases
 from . import inverted
 from .vector_index import HIT, SCORE_SLACK, Asks, VectorIndex, scan_blocks, unclustered
 
+PHRASES = 200_000  # phrases per scan on average: a hash deals them over the scans
 QUERY_CHUNK = 4_000  # lexical queries per scan: their text (<= 8 KB), grants and filter (<= 60 KB) are broadcast
 VECTOR_CHUNK = 8_192  # query vectors per scan held by each task, fewer where these are reached:
 VECTOR_BYTES = 64 << 20  # bytes of query vectors, and of filters
@@ -74,18 +75,6 @@ def in_chunks(q: DataFrame, per_chunk: int) -> list[DataFrame]:
 
 # ---- access and filters --------------------------------------------------
 
-ITEM_ATTRIBUTES = [
-    "namespace", "type", "source_system", "source_type", "source_id", "created_at", "updated_at", "scope_kind", "scope_key",
-]
-
-
-def reachable(items: DataFrame, q: DataFrame) -> DataFrame:
-    """Items that at least one of the (bounded) queries is granted; keeps the attributes filters need."""
-    scopes = q.select(F.explode("grants").alias("g")).select(F.col("g.kind").alias("scope_kind"), F.col("g.key").alias("scope_key")).distinct()
-    good = items.filter(R.valid_scope(F.col("scope_kind"), F.col("scope_key")))
-    return good.join(F.broadcast(scopes), ["scope_kind", "scope_key"], "left_semi").select("id", "revision", *ITEM_ATTRIBUTES)
-
-
 def _policy_key() -> Column:
     return F.to_json(F.struct(F.array_sort(F.array_distinct("grants")).alias("g"), F.col("filter").alias("f")))
 
@@ -119,18 +108,17 @@ def visible(items: DataFrame, pol: DataFrame) -> DataFrame:
 def phrase_tf(lexical: DataFrame, ph: DataFrame) -> DataFrame:
     """(id, n_tokens, phrase, tf): how often each distinct phrase starts in each document.
 
-    ``ph`` holds (phrase, words). Every word position probes the phrases by their
-    first word and the rest is compared in place, so no positions are shuffled.
-    Rows meet by document only, and a document is bounded in size.
+    ``ph`` holds (phrase, words). Documents are scanned once for each bounded chunk of phrases,
+    a bounded number of documents at a time; nothing is shuffled.
     """
-    probe = F.broadcast(ph.select("phrase", "words", F.element_at("words", 1).alias("first_word"), F.size("words").alias("n_words")))
-    hits = (
-        lexical.select("id", "n_tokens", "tokens", F.posexplode("tokens").alias("pos", "token"))
-        .join(probe, F.col("token") == F.col("first_word"))
-        .filter((F.col("n_words") == 1) | (F.slice("tokens", F.col("pos") + 1, F.col("n_words")) == F.col("words")))
-        .select("id", "n_tokens", "phrase")
-    )
-    return hits.repartition("id").groupBy("id", "n_tokens", "phrase").agg(F.count(F.lit(1)).alias("tf"))
+    ph = cut(ph)
+    n = chunks_for(ph.count(), PHRASES)
+    parts = []
+    for i in range(n):
+        tf, numbers = inverted.scan_phrases(lexical, ph.filter(F.pmod(F.xxhash64("phrase"), F.lit(n)) == i))
+        names = ph.sparkSession.createDataFrame([(k, p) for p, k in numbers.items()], "phrase int, name string")
+        parts.append(tf.join(F.broadcast(names), "phrase").select("id", "n_tokens", F.col("name").alias("phrase"), "tf"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def distinct_phrases(q: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,15 +128,6 @@ def distinct_phrases(q: DataFrame) -> tuple[DataFrame, DataFrame]:
     return per_query, parsed.groupBy("phrase").agg(F.min("words").alias("words"))
 
 
-def _weight(method: str, total: Column, mean_len: Column) -> Column:
-    tf, df = F.col("tf").cast("double"), F.col("df").cast("double")
-    if method == "tfidf":
-        return (1 + F.log(tf)) * F.log(1 + total / F.greatest(F.lit(1.0), df))
-    idf = F.log((total - df + 0.5) / (df + 0.5))
-    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("n_tokens") / mean_len))
-
-
 SCORE_KIND = {"bm25": "fts5_negative_bm25", "tfidf": "fts4_tf_idf", "cosine": "cosine"}
 
 
@@ -173,21 +152,25 @@ def search_lexical(q: DataFrame, items: DataFrame, lexical: DataFrame, method: s
     Phrase statistics cover the whole index; readiness, access and filter apply
     before the candidate limit.
     """
-    chunk = _inverted_chunk if inverted.is_inverted(lexical) else _lexical_chunk
-    parts = [chunk(c, items, lexical, method) for c in in_chunks(q, QUERY_CHUNK)]
+    parts = [_lexical_chunk(c, items, lexical, method) for c in in_chunks(q, QUERY_CHUNK)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _inverted_chunk(q: DataFrame, items: DataFrame, index: DataFrame, method: str) -> DataFrame:
-    """Scores from the inverted index: phrase statistics first, then every shard's best candidates."""
+def _lexical_chunk(q: DataFrame, items: DataFrame, lexical: DataFrame, method: str) -> DataFrame:
+    """Scores from the inverted index or a scan: phrase statistics first, then every shard's best candidates."""
     q = cut(q)
     per_query, ph = distinct_phrases(q)
-    hits, numbers = inverted.phrase_hits(index, cut(ph))
+    if inverted.is_inverted(lexical):
+        n, length, shards = inverted.totals(lexical)
+        hits, numbers = inverted.phrase_hits(lexical, cut(ph))
+    else:
+        n, length = (int(x or 0) for x in lexical.agg(F.count(F.lit(1)), F.sum("n_tokens")).first())
+        shards = inverted.shards_for(n, q.sparkSession)
+        hits, numbers = inverted.scan_hits(lexical, cut(ph), shards)
     hits = cut(hits)
     df = np.ones(max(1, len(numbers)))
     for r in hits.groupBy("phrase").agg(F.sum(F.size("ids")).alias("df")).collect():  # the chunk's phrases
         df[r["phrase"]] = r["df"]
-    n, length, shards = inverted.totals(index)
     pol = cut(policies(q))
     asked = q.withColumn("policy_key", _policy_key()).join(pol.select("policy_key", "policy"), "policy_key").select("query_id", "policy", "candidate_limit")
     said = per_query.groupBy("query_id").agg(F.collect_list(F.struct("phrase", "times")).alias("said"))
@@ -206,41 +189,11 @@ def _inverted_chunk(q: DataFrame, items: DataFrame, index: DataFrame, method: st
         return np.floor(w * SCALE + 0.5).astype(np.int64)
 
     ready = visible(items.filter(F.col("lexical_state") == "ready"), pol)
-    best = inverted.best_of_shards(hits, inverted.shards_of(ready, shards), queries, weigh, SCALE)
+    dealt = [x.repartition(shards, "shard") for x in (hits, inverted.shards_of(ready, shards))]  # no partition grows with the documents
+    best = inverted.best_of_shards(*dealt, queries, weigh, SCALE)
     return _top(best, widest(q)).withColumn("score_kind", F.lit(SCORE_KIND[method]))
 
 
-def _lexical_chunk(q: DataFrame, items: DataFrame, lexical: DataFrame, method: str) -> DataFrame:
-    per_query, ph = distinct_phrases(q)
-    callers = q.select("query_id", "filter", "candidate_limit")
-    grants = q.select("query_id", F.explode(F.array_distinct("grants")).alias("g")).select(
-        "query_id", F.col("g.kind").alias("scope_kind"), F.col("g.key").alias("scope_key")
-    )
-    tf = phrase_tf(lexical, ph)
-    dfs = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    stats = lexical.agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("len"))
-    total = stats.select(F.col("n").cast("double")).scalar()
-    mean_len = stats.select(F.col("len") / F.col("n")).scalar()
-    ready = reachable(items.filter(F.col("lexical_state") == "ready"), q)
-    weighted = tf.join(F.broadcast(dfs), "phrase").select("id", "phrase", F.round(_weight(method, total, mean_len) * SCALE).cast("long").alias("w"))
-    # rows already sit together by document, so summing first needs no exchange and
-    # leaves one access test per document and query
-    pairs = (
-        weighted.join(ready.select("id"), "id", "left_semi")
-        .join(F.broadcast(per_query), "phrase")
-        .groupBy("id", "query_id")
-        .agg((F.sum(F.col("w") * F.col("times")) / SCALE).alias("score"))
-    )
-    scored = (
-        pairs.join(ready, "id")
-        .join(F.broadcast(grants), ["query_id", "scope_kind", "scope_key"])
-        .join(F.broadcast(callers), "query_id")
-        .filter(R.matches(F.col("filter")))
-        .select("query_id", "id", "revision", "score", "candidate_limit")
-    )
-    return _top(scored, widest(q)).withColumn("score_kind", F.lit(SCORE_KIND[method]))
-
-
 # ---- vector --------------------------------------------------------------
 
 
