@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from ..functions.sizing import chunks_for, shared_folder
 
 SHARD_DOCS = 20_000  # documents of a shard on average: what one task holds of the index, for a chunk's words
+PART_DOCS = 5_000  # documents whose rows one task sorts and writes, on average
 BUCKETS = 16
 META = -1  # bucket of the rows that describe shards
 SLICED = 1 << 12  # a word's documents in one row at most
-POSTING = "shard int, token string, ids array<string>, lengths array<bigint>, tfs array<bigint>, positions array<array<int>>"
+POSTING = "shard int, token string, ids array<string>, lengths array<bigint>, tfs array<bigint>, positions array<array<int>>, n_docs bigint, total_length bigint"
 HIT = "shard int, phrase int, ids array<string>, lengths array<bigint>, tfs array<bigint>"
 
 
@@ -41,13 +42,20 @@ def bucket_of(token: Column) -> Column:
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of every shard and word of a batch of documents (shard, id, n_tokens, tokens), documents in order of their ids."""
+    """The rows of every shard and word of a batch of documents (shard, id, n_tokens, tokens), documents in order of their ids; a row without a word has a shard's totals."""
+    names = ["shard", "token", "ids", "lengths", "tfs", "positions", "n_docs", "total_length"]
+    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
     for whole in batches:
         for start in range(0, whole.num_rows, SLICED):
             batch = whole.slice(start, SLICED).sort_by("id")
             tokens = batch.column("tokens")
             sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
             words = tokens.flatten().dictionary_encode()
+            here, of = np.unique(batch.column("shard").to_numpy(), return_inverse=True)
+            total = np.zeros(len(here), np.int64)
+            np.add.at(total, of, pc.fill_null(batch.column("n_tokens"), 0).to_numpy(zero_copy_only=False))
+            sums = [pa.array(here), *[pa.nulls(len(here), k) for k in kinds], pa.array(np.bincount(of, minlength=len(here)).astype(np.int64)), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(sums, names=names)
             if not len(words):
                 continue
             doc = np.repeat(np.arange(batch.num_rows), sizes)
@@ -66,29 +74,28 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = [batch.column("id").take(at), batch.column("n_tokens").take(at), pa.array(np.diff(inner).astype(np.int64))]
             lists.append(pa.ListArray.from_arrays(pa.array(inner), pa.array(pos.astype(np.int32))))
             columns = [pa.array(shard[rows]), words.dictionary.take(pa.array(word[rows])), *[pa.ListArray.from_arrays(outer, x) for x in lists]]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "token", "ids", "lengths", "tfs", "positions"])
+            columns += [pa.array(np.diff(np.append(np.searchsorted(held, rows), len(held))).astype(np.int64)), pa.nulls(len(rows), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def build_inverted(lexical: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """bucket, code, token, shard, ids, lengths, tfs, positions and, for every shard, a row of totals; not yet written.
+def build_inverted(lexical: DataFrame, shard_docs: int = SHARD_DOCS, part_docs: int = PART_DOCS) -> DataFrame:
+    """bucket, code, token, shard, ids, lengths, tfs, positions and rows of totals of every shard; not yet written.
 
-    One exchange, by shard: documents, words and words' rows then stay where they are. Rows are made batch by batch
-    of a shard's documents, so no row per occurrence of a word exists and nothing is sorted or spilled for it.
+    One exchange, by shard and part of a shard: documents, words and words' rows then stay where they are, and a task
+    sorts the rows of a part. Rows are made batch by batch of a part's documents, so no row per occurrence of a word exists.
     """
     spark = lexical.sparkSession
-    shards = shards_for(lexical.count(), spark, shard_docs)
-    dealt = lexical.select(_shard(shards).alias("shard"), "id", "n_tokens", "tokens").repartition(shards, "shard")
-    postings = dealt.mapInArrow(_postings, POSTING).select(
-        bucket_of(F.col("token")).alias("bucket"), _code(F.col("token")).alias("code"), "token", "shard", "ids", "lengths", "tfs", "positions",
-        F.size("ids").cast("long").alias("n_docs"), F.lit(None).cast("long").alias("total_length"),
+    documents = lexical.count()
+    shards = shards_for(documents, spark, shard_docs)
+    parts = chunks_for(documents, part_docs * shards)
+    part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(parts)).cast("int")
+    dealt = lexical.select(_shard(shards).alias("shard"), part.alias("part"), "id", "n_tokens", "tokens").repartition(shards * parts, "shard", "part")
+    rows = dealt.select("shard", "id", F.col("n_tokens").cast("long").alias("n_tokens"), "tokens").mapInArrow(_postings, POSTING)
+    own = F.col("token").isNotNull()
+    return rows.select(
+        F.when(own, bucket_of(F.col("token"))).otherwise(META).alias("bucket"), F.when(own, _code(F.col("token"))).otherwise(shards).alias("code"),
+        F.coalesce("token", F.lit("")).alias("token"), "shard", "ids", "lengths", "tfs", "positions", "n_docs", "total_length",
     )
-    totals = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("total_length"))
-    none = {"ids": "array<string>", "lengths": "array<bigint>", "tfs": "array<bigint>", "positions": "array<array<int>>"}
-    meta = totals.select(
-        F.lit(META).alias("bucket"), F.lit(shards).cast("long").alias("code"), F.lit("").alias("token"), "shard",
-        *[F.lit(None).cast(t).alias(c) for c, t in none.items()], "n_docs", "total_length",
-    )
-    return postings.unionByName(meta)
 
 
 def write_inverted(index: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def lexical(s, d):
 
 def inverted_index(s, d):
     """The positional index as the searches read it: partitioned by word bucket."""
-    return I.write_inverted(I.build_inverted(lexical(s, d)))
+    return I.write_inverted(I.build_inverted(X.build_lexical(items(s, d))))
 
 
 def validate_queries(s, d):
@@ -76,7 +76,7 @@ def build_postings(s, d):
 
 def phrase_tf(s, d):
     _, ph = S.distinct_phrases(forms(s, d))
-    return S.phrase_tf(lexical(s, d), ph).groupBy("phrase").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"), F.max("tf").alias("max_tf"))
+    return S.phrase_tf(X.build_lexical(items(s, d)), ph).groupBy("phrase").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"), F.max("tf").alias("max_tf"))
 
 
 def _lex(s, d, method):
@@ -160,7 +160,7 @@ def qrels(s, d):
     """Documents that contain a query's whole passage, found with the phrase matcher."""
     passages = table(s, d, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("query_id"), F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit(" ")), F.lit('"')).alias("text"))
     per_query, ph = S.distinct_phrases(passages)
-    return S.phrase_tf(lexical(s, d), ph).join(F.broadcast(per_query), "phrase").select("query_id", "id")
+    return S.phrase_tf(X.build_lexical(items(s, d)), ph).join(F.broadcast(per_query), "phrase").select("query_id", "id")
 
 
 def _evaluated(s, d):
