@@ -8,6 +8,9 @@ of few shingles take their shingles themselves as blocks. Of a text's blocks onl
 prefix rule says that two texts which share a given part of their blocks share one of these. Blocks of
 a passage that many texts hold are thus left to the texts that have little else.
 
+Whole-text fingerprints are joined too, by the pigeonhole rule on their own six blocks: all texts that differ
+in at most three bits meet, whatever stretches they share.
+
 Texts that meet are compared by length and by the Hamming distance of their whole-text fingerprints,
 and what passes is verified on the shingle sets. A bucket first names only the links that connect its
 texts. Texts still in different components then name their nearest others, eight times as many in each
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, free_name, per_row, stored, texts
 from .components import components
-from .simhash import BUCKET, RUN, signed
+from .simhash import BUCKET, RUN, block_masks, signed
 
 WORDS = 5
 SIMILAR = 0.8
@@ -39,6 +42,7 @@ REACH = 6  # a stretch ends at a word whose hash is the least of this many words
 SHARED = 0.5  # part of the stretches that a similar pair shares
 FEW = 60  # up to this many shingles, the shingles are the blocks
 RADIUS = 18  # bits; a pair of similarity 0.8 differs in 9.7 on average, with a deviation of 2.9
+BITS = 3  # differing bits of whole-text fingerprints that always meet
 NAMED = 4
 TOGETHER = 256  # texts compared with one copy of their centre's text
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -138,6 +142,14 @@ def rare_blocks(nodes: DataFrame, similar: float, shared: float) -> DataFrame:
     return stored(kept.join(nodes.select("node", "n", "fp"), "node"))
 
 
+def print_blocks(nodes: DataFrame, bits: int) -> DataFrame:
+    """block, node, n, fp: every text under the choices of its fingerprint's blocks that another text has too."""
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(block_masks(bits))])
+    each = nodes.select(F.explode(keys).alias("block"), "node", "n", "fp")
+    common = each.groupBy("block").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("block")
+    return stored(each.join(common, "block").select("block", "node", "n", "fp"))
+
+
 def connecting(near: Callable, node: np.ndarray, label: np.ndarray, left: int) -> list[tuple[int, int, bool]]:
     """Links that connect what all near pairs connect; with ``left``, only between its rows and the rest."""
     group = label.copy()
@@ -257,17 +269,20 @@ def verified(links: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, si
     return per_row(ordered, make, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, radius: int = RADIUS, shared: float = SHARED, few: int = FEW, bucket: int = BUCKET) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, radius: int = RADIUS, shared: float = SHARED, few: int = FEW, bucket: int = BUCKET, bits: int = BITS) -> DataFrame:
     """own (late, doc_id, raw: the row that stands for a text) and least, the ``own`` that stands for its component."""
     nodes = profiles(docs, words, similar, few)
-    blocks = rare_blocks(nodes, similar, shared)
+    joined = [(rare_blocks(nodes, similar, shared), radius), (print_blocks(nodes, bits), bits)]
     labels = checked = links = None
     named: int | None = None
     while True:
-        keyed = blocks.withColumn("label", F.col("node"))
-        if labels is not None:
-            keyed = blocks.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        found = bucket_links(keyed, named, similar, radius, bucket)
+        parts = []
+        for blocks, within in joined:
+            keyed = blocks.withColumn("label", F.col("node"))
+            if labels is not None:
+                keyed = blocks.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+            parts.append(bucket_links(keyed, named, similar, within, bucket))
+        found = parts[0].union(parts[1]).groupBy("a", "b").agg(F.max("cut").alias("cut"))
         if checked is not None:
             found = found.join(checked.select("a", "b", F.lit(True).alias("old")), ["a", "b"], "left")
         else:
