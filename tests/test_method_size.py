@@ -12,7 +12,7 @@ def largest_method(spark, capsys, df):
     return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))
 
 
-@pytest.mark.parametrize("name", ["attempt_cost", "call_cost", "session_summary", "recovered_calls"])
+@pytest.mark.parametrize("name", ["attempt_cost", "call_cost", "session_summary", "recovered_calls", "attribution"])
 def test_generated_methods_can_be_compiled(spark, capsys, name):
     before = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
