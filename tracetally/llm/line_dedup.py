@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its lower-case words. Words are ordered by rarity (counts of all words of the
-corpus in a fixed number of hash slots), so two sets of Jaccard similarity t share a word of their
+lines in a fixed number of hash slots), so two sets of Jaccard similarity t share a word of their
 first ``n - ceil(t * n) + 1`` ones. Sets meet under these words; length, positional and
 bit-parity filters drop what cannot reach t; what is left is verified on the whole sets. A line is
 removed if an earlier line (by document id, then line number) is equal to it or similar enough,
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +44,8 @@ TOGETHER = 100_000  # rows of words that are compared at once
 NAMED = 2  # candidates that a set names per word in the first pass
 WANTED = 500_000  # documents (id and a few line numbers) that are broadcast; more are joined by shuffle
 SET = ["sid", "bits", "n"]
-SHIFTS = (52, 46, 40)  # where more parity bits take their place from
-WIDE = ["bits2", "bits3", "bits4"]
+WIDE = ["bits2", "bits3", "bits4"]  # one more sketch of 192 parity bits
+WIDE_FROM = 72  # words from which a set carries that sketch in the first pass; 64 bits tell shorter ones apart
 FACTOR = 8  # how many times more candidates a set names in the next round
 U = np.uint64
 
@@ -63,21 +64,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """Occurrences of all words by hash slot: summed per task, then per slot. A fixed number of slots reaches the driver."""
+    """Lines that hold a word, summed up by the word's hash slot."""
+    return slot_totals(counted_lines(docs, SHORTEST, slots), slots)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
-        for batch in batches:
-            for s in range(0, batch.num_rows, SLICE_ROWS):
-                words = [w for text in batch.column("text").slice(s, SLICE_ROWS).to_pylist() for w in text.encode("utf-8", "surrogatepass").lower().split()]
-                used, n = np.unique((hashes(words) & U(slots - 1)).astype(np.int32), return_counts=True)
-                total[used] += n
-        used = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
 
+def slot_totals(counted: DataFrame, slots: int) -> np.ndarray:
+    """The counts of all tasks by slot. A fixed number of slots reaches the driver."""
     out = np.zeros(slots, np.int64)
-    for r in docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["slot"]] = r["n"]
+    for r in counted.filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("times").alias("times")).toLocalIterator():
+        out[r["slot"]] = r["times"]
     return out
 
 
@@ -95,6 +90,13 @@ def slice_sets(lines: list[set[bytes]]) -> tuple[np.ndarray, ...]:
     return np.repeat(np.arange(len(lines)), n), h, n, sid, bits
 
 
+def wide_bits(h: np.ndarray, start: np.ndarray, has: np.ndarray) -> list[np.ndarray]:
+    """The 192 parity bits of each set as three numbers, zero for sets that carry none."""
+    spot = ((h >> U(40)) % U(64 * len(WIDE))).astype(np.int64)
+    one = U(1) << (spot & 63).astype(U)
+    return [np.where(has, np.bitwise_xor.reduceat(np.where(spot >> 6 == k, one, U(0)), start), U(0)) for k in range(len(WIDE))]
+
+
 def by_rarity(line: np.ndarray, h: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of each line with the rarest word first, and their places; equal counts are ordered by hash."""
     rarity = line * (int(counts.max(initial=0)) + 1) + counts[(h & U(len(counts) - 1)).astype(np.int64)]
@@ -118,21 +120,32 @@ def sliced_sets(batches: Iterator[pa.RecordBatch], shortest: int):
                 yield piece, np.array(row), np.array(no, np.int32), slice_sets(lines)
 
 
-def line_sets(docs: DataFrame, shortest: int) -> DataFrame:
-    """doc_id, row, line_no, sid, bits, n of every line with enough different words; row tells rows of one id apart."""
+def counted_lines(docs: DataFrame, shortest: int, slots: int = SLOTS) -> DataFrame:
+    """doc_id, row, line_no, sid, bits, n of every line with enough different words; row tells rows of one id apart.
+
+    Each task adds rows of its own for the words it saw: slot and times, the rest null. The texts are taken apart once for both.
+    """
+    names = ["doc_id", "row", "line_no", *SET, "slot", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, row, no, (_, _, n, sid, bits) in sliced_sets(batches, shortest):
-            cols = [no, sid.view(np.int64), bits.view(np.int64), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([piece.column(c).take(pa.array(row)) for c in ("doc_id", "row")] + [*map(pa.array, cols)], names=["doc_id", "row", "line_no", *SET])
+        total, types = np.zeros(slots, np.int64), []
+        for piece, row, no, (_, h, n, sid, bits) in sliced_sets(batches, shortest):
+            total += np.bincount((h & U(slots - 1)).astype(np.int64), minlength=slots)
+            cols = [piece.column(c).take(pa.array(row)) for c in ("doc_id", "row")] + [*map(pa.array, [no, sid.view(np.int64), bits.view(np.int64), n.astype(np.int32)])]
+            types = [c.type for c in cols]
+            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(no), pa.int32()), pa.nulls(len(no), pa.int64())], names=names)
+        used = np.nonzero(total)[0]
+        if len(used):
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), x) for x in types], pa.array(used.astype(np.int32)), pa.array(total[used])], names=names)
 
-    return docs.withColumn("row", row_hash("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, line_no int, sid long, bits long, n int")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.withColumn("row", row_hash("text")).mapInArrow(run, f"doc_id {kind}, row long, line_no int, sid long, bits long, n int, slot int, times long")
 
 
-def prefix_words(docs: DataFrame, counts: np.ndarray, shortest: int, t: tuple[int, int] = SIMILARITY, part: int = PART, wide: bool = False) -> DataFrame:
-    """key, SET, place, doc_id, line_no (and more parity bits if wide) for every prefix word of a set that can be similar to another one.
+def prefix_words(docs: DataFrame, counts: np.ndarray, shortest: int, t: tuple[int, int] = SIMILARITY, part: int = PART, wide_from: int = WIDE_FROM) -> DataFrame:
+    """key, SET, place, WIDE (of sets of at least wide_from words), doc_id, line_no for every prefix word of a set that can be similar to another one.
 
-    A set is written once per task, and again for a smaller id than before.
+    The key is 32 bits of the word's hash: words that share one only make their sets meet once more. A set is written once per task, and again for a smaller id than before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +153,7 @@ def prefix_words(docs: DataFrame, counts: np.ndarray, shortest: int, t: tuple[in
         for piece, row, no, (line, h, n, sid, bits) in sliced_sets(batches, shortest):
             ids = piece.column("doc_id")
             start = np.cumsum(n) - n
-            more = [np.bitwise_xor.reduceat(U(1) << ((h >> U(s)) & U(63)), start) for s in SHIFTS] if wide else []
+            more = wide_bits(h, start, n >= wide_from)
             h, place = by_rarity(line, h, n, counts)
             fresh, names = np.zeros(len(n), bool), ids.to_pylist()
             meets = (t[1] * n >= t[0] * (n + 1)).tolist()  # sets of n and n + 1 words can reach t
@@ -161,20 +174,19 @@ def prefix_words(docs: DataFrame, counts: np.ndarray, shortest: int, t: tuple[in
             other = np.arange(len(times)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
             line, words, spots, cuts, own = line[times], words[times], spots[times], cuts[times], own[times]
             pair = (np.minimum(own, other) * cuts + np.maximum(own, other) + 1).astype(U)
-            key = np.where(cuts > 1, mixed(words + pair), words)
-            cols = [key.view(np.int64), sid[line].view(np.int64), bits[line].view(np.int64), n[line].astype(np.int32), spots.astype(np.int32)]
+            key = np.where(cuts > 1, mixed(words + pair), words).astype(np.uint32)
+            cols = [key.view(np.int32), sid[line].view(np.int64), bits[line].view(np.int64), n[line].astype(np.int32), spots.astype(np.int32)]
             cols += [m[line].view(np.int64) for m in more]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), ids.take(pa.array(row[line])), pa.array(no[line])], names=["key", *SET, "place", *extra, "doc_id", "line_no"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), ids.take(pa.array(row[line])), pa.array(no[line])], names=["key", *SET, "place", *WIDE, "doc_id", "line_no"])
 
-    extra = WIDE if wide else []
-    types = "".join(f"{c} long, " for c in extra)
-    return docs.mapInArrow(run, f"key long, sid long, bits long, n int, place int, {types}doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int")
+    types = "".join(f"{c} long, " for c in WIDE)
+    return docs.mapInArrow(run, f"key int, sid long, bits long, n int, place int, {types}doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int")
 
 
-def group_candidates(group: np.ndarray, n: np.ndarray, place: np.ndarray, parity: list[np.ndarray], active: np.ndarray, named: int, t: tuple[int, int] = SIMILARITY):
+def group_candidates(group: np.ndarray, n: np.ndarray, place: np.ndarray, parity: list[np.ndarray], active: np.ndarray, named: int, t: tuple[int, int] = SIMILARITY, wide_from: int = WIDE_FROM):
     """Index pairs (later, earlier) of rows in one group, rows of a group standing together by age; and which rows had more.
 
-    Rows are compared with the oldest of their group, then the next, until they have ``named`` candidates.
+    ``parity``: 64 bits, and the numbers of the wide sketch, which counts where both sets carry it. Rows are compared with the oldest of their group, then the next, until they have ``named`` candidates.
     """
     start = np.concatenate(([0], np.nonzero(group[1:] != group[:-1])[0] + 1)) if len(group) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate((start, [len(group)])))
@@ -186,8 +198,12 @@ def group_candidates(group: np.ndarray, n: np.ndarray, place: np.ndarray, parity
         a, b = n[rows], n[other]
         need = -((-t[0] * (a + b)) // (t[0] + t[1]))  # overlap needed: t / (1 + t) of both sizes, rounded up
         ok = (t[1] * np.minimum(a, b) >= t[0] * np.maximum(a, b)) & (1 + np.minimum(a - place[rows], b - place[other]) - 1 >= need)
-        for bits in parity:
-            ok &= np.bitwise_count(bits[rows] ^ bits[other]) <= a + b - 2 * need
+        apart = a + b - 2 * need  # words that only one of the two may hold: no more parity bits can differ
+        ok &= np.bitwise_count(parity[0][rows] ^ parity[0][other]) <= apart
+        if len(parity) > 1:
+            both = np.nonzero(ok & (np.minimum(a, b) >= wide_from))[0]
+            i, j = rows[both], other[both]
+            ok[both] = sum(np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) for bits in parity[1:]) <= apart[both]
         hit, to = rows[ok], other[ok]
         full = got[hit] >= named
         more[hit[full]] = True
@@ -208,29 +224,33 @@ def side(s: str) -> list[str]:
     return [f"{s}_{c}" for c in [*SET, *PLACE]]
 
 
-def candidates(postings: DataFrame, named: int, t: tuple[int, int] = SIMILARITY) -> DataFrame:
+def candidates(postings: DataFrame, named: int, t: tuple[int, int] = SIMILARITY, wide_from: int = WIDE_FROM) -> DataFrame:
     """Pairs of sets (l_ later, r_ earlier, each with SET and the place of its first line) that pass the filters.
 
     Where a set had more candidates, r_n is null and key tells under which word. All lines of a set
     stand under the same words, so the first of them in a group is the first of all.
-    postings: key, SET, place, doc_id, line_no and active.
+    postings: key, SET, place, WIDE, doc_id, line_no and active.
     """
-    ordered = postings.repartition("key").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "line_no", "sid", "bits")
+    ordered = postings.repartition("key").sortWithinPartitions("key")
     cols = ["key", *SET, "place", "active", "line_no", *[c for c in WIDE if c in postings.columns]]
     names = ["key", *side("l"), *side("r")]
+    by = ["key", "doc_id", "line_no", "sid", "bits"]
     kind = postings.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
 
         def solve(c, ids):
+            ages = pa.table([pa.array(c[0]), ids, *[pa.array(c[cols.index(x)]) for x in by[2:]]], names=by)
+            aged = pc.sort_indices(ages, sort_keys=[(x, "ascending") for x in by], null_placement="at_end")
+            c, ids = [x[aged.to_numpy()] for x in c], ids.take(aged)
             order = np.lexsort((c[2], c[1], c[0]))  # stable, so the oldest line of a set stays in front
             again = np.zeros(len(order), bool)
             again[1:] = np.all([x[order][1:] == x[order][:-1] for x in c[:3]], axis=0)
             first = np.sort(order[~again])
             key, sid, bits, n, place, active, no, *wide = (x[first] for x in c)
             parity = [x.view(U) for x in (bits, *wide)]
-            i, j, more = group_candidates(key, n.astype(np.int64), place.astype(np.int64), parity, active.astype(bool), named, t)
+            i, j, more = group_candidates(key, n.astype(np.int64), place.astype(np.int64), parity, active.astype(bool), named, t, wide_from)
             m = np.nonzero(more)[0]
             left, right = np.concatenate([i, m]), np.concatenate([j, m])
             gone = np.concatenate([np.zeros(len(i), bool), np.ones(len(m), bool)])
@@ -256,7 +276,7 @@ def candidates(postings: DataFrame, named: int, t: tuple[int, int] = SIMILARITY)
             yield from solve(*gathered())
 
     types = {"n": "int", "line_no": "int", "doc_id": kind}
-    return ordered.select(*cols, "doc_id").mapInArrow(run, "key long, " + ", ".join(f"{x} {types.get(x[2:], 'long')}" for x in names[1:]))
+    return ordered.select(*cols, "doc_id").mapInArrow(run, "key int, " + ", ".join(f"{x} {types.get(x[2:], 'long')}" for x in names[1:]))
 
 
 def word_arrays(docs: DataFrame, wanted: DataFrame, shortest: int) -> DataFrame:
@@ -318,8 +338,8 @@ def row_hash(text: Column | str) -> Column:
 
 def _removed(docs: DataFrame, shortest: int, t: tuple[int, int] = SIMILARITY, part: int = PART, named: int = NAMED, slots: int = SLOTS) -> DataFrame:
     """doc_id, row (a hash of the whole text, which tells rows of one id apart) and line_no of the removed lines."""
-    counts = word_counts(docs, slots)
-    lines = stored(line_sets(docs, shortest))
+    counted = stored(counted_lines(docs, shortest, slots))
+    counts, lines = slot_totals(counted, slots), counted.filter("slot IS NULL").drop("slot", "times")
     age = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
     postings = prefix_words(docs, counts, shortest, t, part)
     named_pairs = stored(candidates(postings.withColumn("active", F.lit(True)), named, t))
@@ -332,10 +352,10 @@ def _removed(docs: DataFrame, shortest: int, t: tuple[int, int] = SIMILARITY, pa
             break
         if under is None:
             keys = more.select("key").distinct()
-            under = stored(prefix_words(docs, counts, shortest, t, part, wide=True).join(maybe_broadcast(keys, fits(keys, WANTED)), "key", "left_semi"))
+            under = stored(prefix_words(docs, counts, shortest, t, part, wide_from=0).join(maybe_broadcast(keys, fits(keys, WANTED)), "key", "left_semi"))
         named *= FACTOR
         marked = under.join(more, ["key", *SET], "left").withColumn("active", F.coalesce("open", F.lit(False)))
-        named_pairs = stored(candidates(marked, named, t))
+        named_pairs = stored(candidates(marked, named, t, wide_from=0))
         similar = stored(similar.union(verified(named_pairs.filter("r_n IS NOT NULL"), docs, shortest, t)).distinct())
     firsts = lines.groupBy(*SET).agg(F.min(age).alias("age"), F.count(F.lit(1)).alias("lines"))
     repeated = firsts.join(similar.withColumn("all", F.lit(True)), SET, "left").withColumn("all", F.coalesce("all", F.lit(False))).filter("all OR lines > 1")
