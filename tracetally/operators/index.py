@@ -107,8 +107,10 @@ def stage(items: DataFrame, incoming: DataFrame, fingerprint: str, at: int, batc
         F.first(F.struct("o_id", "o_fp")).alias("o"),
     ).select("id", "n.*", "changed", F.col("o.o_fp").alias("o_fp"))
     # natural key: a stored holder keeps it, otherwise the earliest id of the batch
-    touched = folded.select("id", *NATURAL, F.struct(F.lit(1), F.col("seq"), "id").alias("claim"))
-    kept = items.join(folded.select("id"), "id", "left_anti").select(
+    # folded apart from the texts: a struct that is aggregated keeps all its members, whoever reads it
+    claims = accepted.groupBy("id").agg(F.max_by(F.struct("seq", *NATURAL), F.struct("updated_at", "seq")).alias("n")).select("id", "n.*")
+    touched = claims.select("id", *NATURAL, F.struct(F.lit(1), F.col("seq"), "id").alias("claim"))
+    kept = items.join(claims.select("id"), "id", "left_anti").select(
         "id", *NATURAL, F.struct(F.lit(0), F.lit(0).cast("long").alias("seq"), "id").alias("claim")
     )
     owners = (
