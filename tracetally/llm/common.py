@@ -27,6 +27,15 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 stored = cut  # write a table to the shared folder and read it back: later steps restart from durable files
 
 
+kept_by_worker: dict[str, object] = {}  # what tasks of an operator leave in their Python worker for its next tasks
+
+
+def fresh_worker() -> None:
+    """Python workers go on to tasks of other operators: gives back what is kept in this one, and what Arrow holds unused."""
+    kept_by_worker.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def per_row(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """Apply a function to every row (as positional arguments); it returns a list of output tuples.
 
@@ -37,6 +46,7 @@ def per_row(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFra
     types = _arrow_types(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # of the worker's tasks before
         apply = make()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
@@ -60,6 +70,7 @@ def keep_rows(df: DataFrame, text_col: str, wanted: Callable[[str], bool]) -> Da
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, free_name, per_row, stored, texts
+from .common import SLICE_ROWS, free_name, fresh_worker, per_row, stored, texts
 from .components import components
 from .simhash import BUCKET, RUN, block_masks, signed
 
@@ -208,6 +208,7 @@ def bucket_links(keyed: DataFrame, named: int | None, similar: float, radius: in
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         held: list[np.ndarray] | None = None
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
@@ -231,6 +232,7 @@ def with_digest(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataF
     at, key = docs.columns.index(text_col), docs.columns.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)

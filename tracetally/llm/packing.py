@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scan import numbered
-from .common import per_row, stored, texts
+from .common import kept_by_worker, per_row, stored, texts
 
 SIZE = 2048
 CLOSING = (0).to_bytes(4, "little")
@@ -99,13 +99,10 @@ class WordEncoder:
         return ids
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if path not in kept_by_worker:
+        kept_by_worker[path] = WordEncoder(path)
+    return kept_by_worker[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
